@@ -303,7 +303,7 @@ def _back(factor: str) -> str:
  (SELECT a.symbol, a.k, a.date, a.avg_close, (a.k - 60) % 7 + 1 AS step, b.avg_close AS base, a.m FROM k a JOIN k b ON b.symbol = a.symbol AND b.k = a.k - (a.k - 60) % 7 - 1 WHERE a.k >= 60 AND a.k - (a.k - 60) % 7 + 6 < a.m)"""
 
 
-_BACK = f"""{NUMBERED}, k AS MATERIALIZED (SELECT symbol, date, avg_close, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS m FROM numbered QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 186),
+_BACK = f"""{NUMBERED}, k AS MATERIALIZED (SELECT symbol, date, avg_close, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS m FROM (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY i DESC) <= 186)),
  b AS (SELECT 'persistence' AS model_id, * FROM ({_back('1')}) UNION ALL SELECT 'rising', * FROM ({_back('exp(0.01 * step)')})),
  w AS MATERIALIZED (SELECT model_id, symbol, window_id, min(date) AS window_start, max(date) AS window_end, round(sqrt(avg((p - avg_close) ** 2)), 2) AS rmse, round(avg(abs(p - avg_close)), 2) AS mae, round(avg((p - avg_close) / avg_close) * 100, 3) AS mean_err_pct,
   max(CASE WHEN step = 1 THEN (p > base)::INT END) = max(CASE WHEN step = 1 THEN (avg_close > base)::INT END) AS dir_correct FROM b GROUP BY 1, 2, 3),
