@@ -40,7 +40,10 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
 
     def covered(placed: Column) -> Column:
         def same(one: Column, other: Column) -> Column:
-            return (one["h"] == other["h"]) & (F.slice(words, one["i"] + 1, width) == F.slice(words, other["i"] + 1, width))
+            equal = one["h"] == other["h"]
+            for k in range(width):
+                equal = equal & (F.get(words, one["i"] + k) == F.get(words, other["i"] + k))
+            return equal
 
         twin = lambda p, at: F.coalesce(same(p, F.get(placed, at + 1)), F.lit(False)) | F.coalesce(same(p, F.get(placed, at - 1)), F.lit(False))
         return let(F.sort_array(F.transform(F.filter(placed, twin), lambda p: p["i"])), length)
@@ -49,7 +52,8 @@ def repeated_window_words(words: Column, width: int = WINDOW) -> Column:
         gap = lambda p, at: F.least(F.lit(width), F.coalesce(F.get(places, at + 1) - p, F.lit(width)))
         return F.aggregate(F.transform(places, gap), F.lit(0), lambda a, x: a + x)
 
-    windows = F.transform(F.sequence(F.lit(1), n - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
+    # Single elements, as a slice copies the whole array first.
+    windows = F.transform(F.sequence(F.lit(0), n - width), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)]))
     return F.when(n <= width, 0).otherwise(let(windows, count)).cast("long")
 
 
