@@ -37,8 +37,13 @@ def chunk_spans(lines: Column, spread: int, reach: int = 2) -> Column:
     return let(F.transform(lines, lambda line: F.xxhash64(line)), cut)
 
 
+def _part(lines: Column, first: Column, n: Column) -> Column:
+    """n lines from the first on, n >= 1; a slice would copy the whole array first."""
+    return F.transform(F.sequence(first, first + n - 1), lambda i: F.get(lines, i))
+
+
 def _chunk_text(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, chunk["first"] + 1, chunk["n"]), "\n")
+    return F.array_join(_part(lines, chunk["first"], chunk["n"]), "\n")
 
 
 def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = 4, least: int = 2, scratch: Scratch | None = None) -> DataFrame:
@@ -53,7 +58,7 @@ def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     lines = F.split("text", "\n")
 
     def hashes(line_array: Column) -> Column:
-        part = lambda c: F.slice(line_array, c["first"] + 1, c["n"])
+        part = lambda c: _part(line_array, c["first"], c["n"])
         worth = lambda c: (c["n"] >= least) & (F.size(F.filter(part(c), lambda x: x.rlike(HAS_WORD))) >= least)
         return F.transform(F.filter(chunk_spans(line_array, spread), worth), lambda c: F.struct(F.xxhash64(_chunk_text(line_array, c)).alias("h"), c.alias("c")))
 
@@ -93,7 +98,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         edges = F.concat(F.array(F.lit(0)), F.transform(gone, lambda c: c["first"] + c["n"]))
         stops = F.concat(F.transform(gone, lambda c: c["first"]), F.array(F.size(ls)))
         parts = F.filter(F.zip_with(edges, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"] > p["a"])
-        return F.array_join(F.transform(parts, lambda p: F.array_join(F.slice(ls, p["a"] + 1, p["b"] - p["a"]), "\n")), "\n")
+        return F.array_join(F.transform(parts, lambda p: F.array_join(_part(ls, p["a"], p["b"] - p["a"]), "\n")), "\n")
 
     kept = let(lines, rest)
     removed = F.aggregate("__gone", F.lit(0), lambda n, c: n + c["n"])
