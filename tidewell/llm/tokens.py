@@ -46,35 +46,50 @@ class UnigramCounter:
         # A blank with the word after it, or a run of characters outside the vocabulary.
         self.stretches = re.compile(f"{BLANK}[{alone}]*|[{alone}]+|[^{alone}{BLANK}]+")
         self.seen: dict[str, tuple[int, float]] = {}
+        self.parts: dict[str, tuple[int, float]] = {}
+        self.beside = {p[i : i + 2] for p in self.names for i in range(len(p) - 1)}
 
     def viterbi(self, s: str) -> tuple[int, float]:
         """Pieces and score of the best path through one stretch."""
         n = len(s)
-        best = [None] * (n + 1)
-        best[0] = (0.0, 0, 0)  # score, pieces so far, length of the unknown run that ends here
         ends: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(s):
+        for end, match in self.automaton.iter(s):  # for each end the longest piece, so the earliest start, first
             ends[end].append(match)
+        scores, counts, runs = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)  # runs: unknowns up to here
         for end in range(n):
-            top = None
-            single = False
-            for length, score, _ in sorted(ends[end], key=lambda m: -m[0]):  # earliest start first
-                single |= length == 1
-                before = best[end + 1 - length]
-                total = before[0] + score
-                if top is None or total > top[0]:
-                    top = (total, before[1] + 1, 0)
-            if not single:
-                before = best[end]
-                total = before[0] + self.unknown
-                if top is None or total > top[0]:
-                    if self.byte_fallback:
-                        added = len(s[end].encode())
-                    else:
-                        added = 0 if before[2] else 1
-                    top = (total, before[1] + added, before[2] + 1)
-            best[end + 1] = top
-        return best[n][1], best[n][0]
+            found, at = ends[end], end + 1
+            top = pieces = None
+            for length, score, _ in found:
+                total = scores[at - length] + score
+                if top is None or total > top:
+                    top, pieces = total, counts[at - length] + 1
+            if not found or found[-1][0] != 1:
+                total = scores[end] + self.unknown
+                if top is None or total > top:
+                    top, runs[at] = total, runs[end] + 1
+                    pieces = counts[end] + (len(s[end].encode()) if self.byte_fallback else int(not runs[end]))
+            scores[at], counts[at] = top, pieces
+        return counts[n], scores[n]
+
+    def stretch(self, s: str) -> tuple[int, float]:
+        """A stretch in parts, between neighbours that stand side by side in no piece."""
+        if not self.byte_fallback or len(s) < 2:
+            return self.viterbi(s)
+        beside, known = self.beside, self.parts
+        tokens, score, begin = 0, 0.0, 0
+        for at in range(1, len(s) + 1):
+            if at < len(s) and s[at - 1 : at + 1] in beside:
+                continue
+            part = s[begin:at]
+            got = known.get(part)
+            if got is None:
+                got = self.viterbi(part)
+                if len(part) <= 64:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[part] = got
+            tokens, score, begin = tokens + got[0], score + got[1], at
+        return tokens, score
 
     def count(self, text: str | None) -> tuple[int, float]:
         if not text:
@@ -86,7 +101,7 @@ class UnigramCounter:
         for stretch in self.stretches.findall(s):
             got = seen.get(stretch)
             if got is None:
-                got = self.viterbi(stretch)
+                got = self.stretch(stretch)
                 if len(stretch) <= 64:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
