@@ -64,3 +64,58 @@ def quality_counts(text):
     windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
     repeat = {p for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for p in range(i, i + 8)}
     return len(w), chars, symbols, len(full) - len(set(full)), len(repeat)
+
+
+def _long(value, seed):
+    return xxhash.xxh64_intdigest((value % 2**64).to_bytes(8, "little"), seed)
+
+
+def chunks(text, spread=4, reach=2):
+    """Chunks of lines: [(first line, lines)]."""
+    lines = text.split("\n")
+    hashes = [xxhash.xxh64_intdigest(x.encode(), 42) for x in lines]
+    starts = [0]
+    for i in range(max(1, reach - 1), len(lines)):
+        rolled = 42
+        for back in range(reach):
+            rolled = _long(hashes[i - back], rolled)
+        if (rolled if rolled < 2**63 else rolled - 2**64) % spread == 0:
+            starts.append(i)
+    return [(s, lines[s:e]) for s, e in zip(starts, [*starts[1:], len(lines)], strict=True)]
+
+
+def line_dedup(docs, spread=4, least=2):
+    """Texts of (id, text) pairs of distinct ids without repeated chunks."""
+    found, lead = {}, {}
+    for i, text in docs:
+        if text is None or i is None:
+            continue
+        found[i] = chunks(text, spread)
+        for first, part in found[i]:
+            if sum(bool(words(x)) for x in part) >= least:
+                key = tuple(part)
+                lead[key] = min(lead.get(key, (i, first)), (i, first))
+    out = {}
+    for i, text in docs:
+        if i in found:
+            text = "\n".join(x for first, part in found[i] if lead.get(tuple(part), (i, first)) == (i, first) for x in part)
+        out[i] = text
+    return out
+
+
+def overlap(text, items, window=13):
+    """(words, hit words, item ids) of a text against (id, text) items."""
+    fold = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    split = lambda t: fold.findall((t or "").translate({c: c + 32 for c in range(65, 91)}))
+    w, hit, ids = split(text), set(), set()
+    for item, body in items:
+        b = split(body)
+        n = min(window, len(b))
+        if not n:
+            continue
+        grams = {tuple(b[j : j + n]) for j in range(len(b) - n + 1)}
+        for s in range(len(w) - n + 1):
+            if tuple(w[s : s + n]) in grams:
+                hit.update(range(s, s + n))
+                ids.add(item)
+    return len(w), len(hit), ids

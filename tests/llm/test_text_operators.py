@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,12 +65,20 @@ def test_simhash_groups_equal_brute_force(spark, corpus):
 
 def test_golay_keys_meet_at_four_errors():
     r = random.Random(1)
-    for _ in range(4000):
-        f = r.getrandbits(64)
-        g = f
+    some = [r.getrandbits(64) for _ in range(4000)]
+    near = []
+    for f in some:
         for bit in r.sample(range(64), r.randrange(5)):
-            g ^= 1 << bit
-        assert set(simhash.fingerprint_keys(f)) & set(simhash.fingerprint_keys(g))
+            f ^= 1 << bit
+        near.append(f)
+
+    def keys(prints):
+        out = [set() for _ in prints]
+        for row, key in zip(*simhash.fingerprint_keys(np.array(prints, np.uint64).view(np.int64)), strict=True):
+            out[row].add(int(key))
+        return out
+
+    assert all(a & b for a, b in zip(keys(some), keys(near), strict=True))
 
 
 def test_dense_cluster_and_chain(spark):
@@ -87,8 +96,9 @@ def test_dense_cluster_and_chain(spark):
         step ^= 15 << 4 * i
     prints |= {r.getrandbits(63) for _ in range(200)}
     rows = sorted(prints)
-    got = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in rows], "fingerprint long")).collect()
-    assert {x.fingerprint: x.group for x in got} == brute.components([(f, f) for f in rows])
+    for crowd in (64, 3):
+        got = simhash.link_fingerprints(spark.createDataFrame([(f,) for f in rows], "fingerprint long"), crowd=crowd).collect()
+        assert {x.fingerprint: x.group for x in got} == brute.components([(f, f) for f in rows])
 
 
 def test_components(spark):
@@ -173,10 +183,6 @@ def test_quality_on_labels(spark):
     assert good > 0.97 and bad < 0.35, (good, bad, str(rules))
 
 
-def chunks(text, spread):
-    return None
-
-
 def test_line_dedup(spark):
     r = random.Random(6)
     block = [rng_text(r, 8) for _ in range(14)]
@@ -289,8 +295,8 @@ def test_packing_pieces_equal_the_tokenizer(spark, corpus):
 @pytest.mark.parametrize("by", ["norm", "dot"])
 def test_packing_keeps_every_capacity(by):
     r = random.Random(7)
-    histogram = {n: r.randrange(1, 60) for n in r.sample(range(1, 201), 120)}
-    capacity = packing.Capacity(200, 6, 12000) if by == "norm" else packing.Capacity(200, 9, 40000)
+    histogram = {n: r.randrange(1, 60) for n in r.sample(range(1, 151), 120)}
+    capacity = packing.Capacity(200, 6, 24000) if by == "norm" else packing.Capacity(200, 9, 40000)
     runs = packing.plan_bins(histogram, capacity, by=by)
     bins, ranks = {}, {}
     for length, rank, n, first, offset in runs.tolist():
@@ -331,8 +337,6 @@ def test_forward_sums_all_segmentations():
 
     path = vocabulary_path()
     names = {p: i for i, (p, _) in enumerate(load_pieces(path))}
-    import numpy as np
-
     table = np.random.default_rng(1).random((len(names) + 1, 2)) / len(names)
     model = langid.LanguageModel(["a", "b"], table, path)
 
@@ -346,7 +350,10 @@ def test_forward_sums_all_segmentations():
                 out += table[piece, lang] * total(s[n:], lang)
         return out
 
-    for word in ("ander", "theñ", "日本語ab"):
+    words = ["ander", "theñ", "日本語ab", "a"]
+    together = model.short_words(words)
+    for i, word in enumerate(words):
         for lang in (0, 1):
             assert model.word(word)[lang] == pytest.approx(math.log(total("▁" + word, lang)))
+            assert together[i, lang] == pytest.approx(model.word(word)[lang])
     assert model.word("abcd" * 100)[0] < -1000

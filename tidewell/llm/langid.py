@@ -13,22 +13,37 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import Scratch
-from tidewell.llm.vocabulary import BLANK, DEFAULT_VOCABULARY, NEVER, load_pieces, piece_automaton, vocabulary_path
+from tidewell.llm.vocabulary import BLANK, DEFAULT_VOCABULARY, load_pieces, piece_automaton, vocabulary_path
 
 UNDETERMINED = "und"
 #: Runs of letters, lower-cased; nothing else of a text is scored.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Probability of a character that is no piece, and the count added to each piece.
 UNKNOWN, SMOOTHING = 1e-9, 0.05
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 _TINY = 1e-120
+#: Words of more characters are scored one by one, with scaling; a character that no piece has.
+SHORT, GAP = 28, "\n"
+
+
+@lru_cache(maxsize=2)
+def piece_codes(path: str) -> ahocorasick.Automaton:
+    """Finds every piece in a string; each match is 64 * id + length."""
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, (piece, _) in enumerate(load_pieces(path)):
+        automaton.add_word(piece, 64 * i + len(piece))
+    automaton.make_automaton()
+    return automaton
 
 
 def words_of(text: str | None) -> list[str]:
@@ -40,15 +55,14 @@ class Segmenter:
 
     def __init__(self, path: str):
         self.automaton = piece_automaton(path)
-        self.never = frozenset(i for i, (_, s) in enumerate(load_pieces(path)) if s <= NEVER)
+        self.codes = piece_codes(path)
 
     def ends(self, word: str) -> list[list[tuple[int, int]]]:
         """For each end, the (start, piece id) of the pieces there; -1 is an unknown character."""
         s = BLANK + word
         out: list[list[tuple[int, int]]] = [[] for _ in s]
         for end, (length, _, piece) in self.automaton.iter(s):
-            if piece not in self.never:
-                out[end].append((end + 1 - length, piece))
+            out[end].append((end + 1 - length, piece))
         for end, found in enumerate(out):
             if all(start != end for start, _ in found):
                 found.append((end, -1))
@@ -91,26 +105,72 @@ class LanguageModel:
                             a[j] /= scale
         return [math.log(a) + b if a > 0 else -1e6 for a, b in zip(alpha[-1], logs, strict=True)]
 
-    def text(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.languages:
-            return UNDETERMINED, 0.0
-        at = list(map(self.seen.get, words))
-        if None in at:
-            if len(self.seen) + len(words) > REMEMBERED:
-                self._start()
-                at = [None] * len(words)
-            for i, word in enumerate(words):
-                if at[i] is None:
-                    at[i] = self.seen.get(word)
-                if at[i] is None:
-                    n = at[i] = self.seen[word] = len(self.seen)
-                    if n == len(self.scores):
-                        self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
-                    self.scores[n] = self.word(word)
-        total = self.scores[np.array(at)].sum(axis=0)
-        best = int(total.argmax())
-        return self.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
+    def short_words(self, words: list[str]) -> np.ndarray:
+        """Log probabilities of many words of up to SHORT characters at once.
+
+        All words are searched in one pass, parted by a character that is in
+        no piece. alpha[p] is the probability of all segmentations up to
+        character p; the places of one distance from their word's start are
+        filled together.
+        """
+        joined = GAP + "".join(BLANK + w + GAP for w in words)
+        flat = np.fromiter(chain.from_iterable(self.segmenter.codes.iter(joined)), np.int64).reshape(-1, 2)
+        found = np.stack((flat[:, 0], flat[:, 1] % 64, flat[:, 1] // 64), axis=1)
+        sizes = np.array([len(w) + 2 for w in words])
+        last = np.cumsum(sizes) - 1  # last character of each word
+        gap = np.zeros(len(joined), bool)
+        gap[0] = True
+        gap[last + 1] = True
+        single = np.zeros(len(joined), bool)
+        single[found[found[:, 1] == 1, 0]] = True
+        alone = np.flatnonzero(~single & ~gap)
+        found = np.concatenate((found, np.stack((alone, np.ones_like(alone), np.full_like(alone, -1)), axis=1)))
+        begin = np.repeat(last + 1 - sizes, sizes)  # gap before the word, for the characters up to the gap after it
+        steps = found[:, 0] - begin[found[:, 0] - 1]
+        order = np.lexsort((found[:, 0], steps))
+        found, steps = found[order], steps[order]
+        alpha = np.zeros((len(joined), len(self.languages)))
+        alpha[gap] = 1.0
+        bounds = np.searchsorted(steps, np.arange(1, steps[-1] + 2))
+        for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+            part = found[at:end]
+            value = alpha[part[:, 0] - part[:, 1]] * self.table[part[:, 2]]
+            first = np.flatnonzero(np.concatenate(([True], part[1:, 0] != part[:-1, 0])))
+            alpha[part[first, 0]] = np.add.reduceat(value, first)
+        return np.log(np.maximum(alpha[last], 1e-300))
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Scores new words and remembers them."""
+        n = len(self.seen)
+        while n + len(words) > len(self.scores):
+            self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
+        short = [w for w in words if len(w) <= SHORT]
+        for at in range(0, len(short), 20_000):
+            part = short[at : at + 20_000]
+            self.scores[n + at : n + at + len(part)] = self.short_words(part)
+        for at, word in enumerate([*short, *(w for w in words if len(w) > SHORT)]):
+            self.seen[word] = n + at
+            if at >= len(short):
+                self.scores[n + at] = self.word(word)
+
+    def texts(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, probability) of each text."""
+        found = [words_of(t) for t in texts]
+        new = set().union(*found).difference(self.seen)
+        if len(self.seen) + len(new) > REMEMBERED:
+            self._start()
+            new = set().union(*found)
+        if new and self.languages:
+            self._learn_words(sorted(new))
+        out = []
+        for words in found:
+            if not words or not self.languages:
+                out.append((UNDETERMINED, 0.0))
+                continue
+            total = self.scores[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            best = int(total.argmax())
+            out.append((self.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+        return out
 
     def expected(self, word: str, language: int) -> dict[int, float]:
         """Expected number of each piece in a word of one language (forward-backward)."""
@@ -219,7 +279,16 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into:
             _MODELS.clear()
             _MODELS[id(value)] = (value, LanguageModel(*value, vocabulary_path(vocabulary)))
         own = _MODELS[id(value)][1]
-        return pd.DataFrame([own.text(t) for t in texts], columns=["lang_pred", "score"])
+        out: list[tuple[str, float]] = []
+        part: list[str | None] = []
+        size = 0
+        for t in texts:  # in parts of about a million characters
+            part.append(t)
+            size += len(t or "")
+            if size > 1_000_000:
+                out += own.texts(part)
+                part, size = [], 0
+        return pd.DataFrame(out + own.texts(part), columns=["lang_pred", "score"])
 
     return docs.withColumn(into, judged.asNondeterministic()(F.col(text)))
 

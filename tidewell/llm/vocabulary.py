@@ -9,8 +9,6 @@ import ahocorasick
 
 DEFAULT_VOCABULARY = "piece_bpe_32k.model"
 BLANK = "▁"
-#: A piece that the vocabulary marks as never to be produced has this score or less.
-NEVER = -1e8
 
 
 def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
