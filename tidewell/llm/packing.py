@@ -33,7 +33,7 @@ from tidewell.llm.common import Scratch
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
 #: Stretches of text, and words, that a Python worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 class WordTokenizer:
@@ -45,7 +45,11 @@ class WordTokenizer:
 
     #: Characters whose lower case is one composed character: ASCII and Latin-1 letters.
     PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^a-zà-öø-ÿ0-9]+")
+    PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    #: Bytes as the characters that stand for them in byte-level vocabularies: those that can be
+    #: seen stand for themselves, the others follow on from 256.
+    SEEN = (*range(33, 127), *range(161, 173), *range(174, 256))
+    BYTES = {b: b for b in SEEN} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(SEEN)))}
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,7 +69,9 @@ class WordTokenizer:
         for piece in self.PIECES.findall(s.lower()):
             ids = known.get(piece)
             if ids is None:
-                ids = self._exact(piece)
+                # A piece is one pre-token, so the merges alone remain to be done.
+                tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.BYTES))
+                ids = array("I", [t.id for t in tokens]).tobytes()
                 if len(known) >= REMEMBERED:
                     known.clear()
                 known[piece] = ids
@@ -232,7 +238,7 @@ def _place(shared):
     return placed
 
 
-def pack(pieces: DataFrame, *, capacity: Capacity = Capacity(), length: str = "length", order: tuple[str, ...] = ("doc", "piece", "ids_crc32"), group: int = 20_000, scratch: Scratch | None = None, **options) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: Capacity = Capacity(), length: str = "length", order: tuple[str, ...] = ("doc", "piece", "ids_crc32"), group: int = 2_500, scratch: Scratch | None = None, **options) -> DataFrame:
     """Adds sequence_id and offset to every piece; columns of these names are replaced.
 
     Only the histogram of lengths reaches the driver, at most one row for each
