@@ -70,7 +70,8 @@ def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
     # Bytes of the chunks whose hash repeats, and of no others.
     cut = lambda ls: F.transform("open", lambda c: F.struct(c.alias("c"), _chunk_text(ls, c).alias("bytes")))
-    texts = rows.join(again, ["doc", "key"]).select("doc", "key", F.explode(let(lines, cut)).alias("x"))
+    # Both sides grow with the corpus, so the plan is a merge join at every size.
+    texts = rows.join(again.hint("merge"), ["doc", "key"]).select("doc", "key", F.explode(let(lines, cut)).alias("x"))
     texts = scratch.keep(texts.select("doc", "key", "x.c", "x.bytes"))
     leads = scratch.keep(texts.groupBy("bytes").agg(F.min(F.struct("doc", "key", "c")).alias("lead"), F.max(F.struct("doc", "key", "c")).alias("tail")).filter("lead < tail").drop("tail"))
     late = texts.join(leads, "bytes").filter(F.struct("doc", "key", "c") != F.col("lead"))
@@ -89,7 +90,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """
     found = repeated_chunks(docs, doc_id=doc_id, text=text, spread=spread, least=least)
     found = found.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
-    joined = docs.join(found, (F.col(doc_id).cast("long") == F.col("__doc")) & (row_key(text) == F.col("__key")), "left")
+    joined = docs.join(found.hint("merge"), (F.col(doc_id).cast("long") == F.col("__doc")) & (row_key(text) == F.col("__key")), "left")
     lines = F.split(F.col(text), "\n")
 
     def rest(ls: Column) -> Column:
