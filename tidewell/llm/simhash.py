@@ -14,6 +14,7 @@ on pairs of keys propose links; every link is verified on all 64 bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -62,21 +63,24 @@ def syndrome(words: np.ndarray) -> np.ndarray:
     return rest
 
 
-def segment_keys(segment: int) -> np.ndarray:
-    """Indices (top 12 bits) of the codewords within 4 bits of a segment."""
+def segment_keys(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (top 12 bits) of the codewords within 4 bits of each segment, and which of the columns are in use."""
     table, counts = golay_keys()
-    at = int(syndrome(np.array([segment], np.int64))[0])
-    return (segment ^ table[at, : counts[at]]) >> 11
+    at = syndrome(segments)
+    return (segments[:, None] ^ table[at]) >> 11, np.arange(table.shape[1]) < counts[at][:, None]
 
 
-def fingerprint_keys(fingerprint: int) -> np.ndarray:
-    """Keys of all pairs of segments: pair number and two 12-bit indices."""
-    bits = fingerprint & ((1 << 64) - 1)
-    keys = [segment_keys(bits >> at & ((1 << width) - 1)) for at, width in SEGMENTS]
-    out = []
+def fingerprint_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): for each pair of segments, pair number and two 12-bit indices."""
+    bits = fingerprints.astype(np.int64).view(np.uint64)
+    found = [segment_keys((bits >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)) for at, width in SEGMENTS]
+    rows, keys = [], []
     for n, (i, j) in enumerate(combinations(range(3), 2)):
-        out.append((n << 24 | keys[i][:, None] << 12 | keys[j][None, :]).ravel())
-    return np.concatenate(out)
+        (a, has_a), (b, has_b) = found[i], found[j]
+        row, x, y = np.nonzero(has_a[:, :, None] & has_b[:, None, :])
+        rows.append(row)
+        keys.append(n << 24 | a[row, x] << 12 | b[row, y])
+    return np.concatenate(rows), np.concatenate(keys)
 
 
 def text_fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -107,50 +111,59 @@ def add_fingerprint(docs: DataFrame, *, text: str = "text", shingle: int = 4, in
     return docs.withColumn(into, made.asNondeterministic()(F.col(text)))
 
 
-def _keys(fingerprint: str):
-    @F.pandas_udf("array<int>")
-    def made(fingerprints: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint_keys(f).astype(np.int32) for f in fingerprints])
+def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each row once for each of its keys; columns f and, if there, g."""
+    for batch in batches:
+        for at in range(0, len(batch), 4000):
+            part = batch.iloc[at : at + 4000]
+            rows, keys = fingerprint_keys(part["f"].to_numpy(np.int64))
+            yield pd.DataFrame({c: part[c].to_numpy(np.int64)[rows] for c in part.columns} | {"key": keys.astype(np.int32)})
 
-    return made(fingerprint)
 
-
-def link_fingerprints(prints: DataFrame, *, scratch: Scratch | None = None) -> DataFrame:
+def link_fingerprints(prints: DataFrame, *, crowd: int = 64, scratch: Scratch | None = None) -> DataFrame:
     """(fingerprint, group): groups of distinct fingerprints linked at up to 4 bits.
 
     group is the smallest fingerprint that can be reached. Pairs within a
     dense bucket are not all emitted: first every member is compared with the
-    smallest and largest member of its bucket; after these links are joined
-    up, only members outside a bucket's commonest group are compared with the
-    others, which finds every link between different groups.
+    smallest and largest member of its bucket. After these links are joined
+    up, only members of different groups are compared: in buckets of up to
+    `crowd` members all of them, in larger ones those outside the bucket's
+    commonest group with all others. Both ways find every link between
+    different groups, so `crowd` does not change the result.
     """
     scratch = scratch or Scratch(prints.sparkSession)
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= ERRORS
     distinct = prints.select(F.col("fingerprint").alias("f")).distinct()
-    keyed = distinct.select("f", F.explode(_keys("f")).alias("key"))
-    keyed = scratch.keep(keyed)
-    ends = keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi")).filter("lo < hi")
-    ends = scratch.keep(ends)
-    busy = scratch.keep(keyed.join(ends, "key"))
-    scratch.drop(keyed)
-    star = busy.filter((F.col("f") != F.col("lo")) & near("f", "lo")).select(F.col("f").alias("u"), F.col("lo").alias("v"))
-    star = star.unionByName(busy.filter((F.col("f") != F.col("hi")) & near("f", "hi")).select(F.col("f").alias("u"), F.col("hi").alias("v")))
-    star = scratch.keep(star.distinct())
+    keyed = scratch.keep(distinct.mapInPandas(_keyed, "f long, key int"))
+    ends = keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("n"))
+    ends = scratch.keep(ends.filter("n > 1"))
+    to_lo, to_hi = (F.col("f") != F.col("lo")) & near("f", "lo"), (F.col("f") != F.col("hi")) & near("f", "hi")
+    star = keyed.join(ends, (keyed["key"] == ends["key"]) & (to_lo | to_hi))  # only verified links leave the join
+    star = star.select("f", F.explode(F.array_compact(F.array(F.when(to_lo, F.col("lo")), F.when(to_hi, F.col("hi"))))).alias("v"))
+    star = star.select(F.col("f").alias("u"), "v").distinct()
     groups = scratch.keep(connected_components(star, scratch=scratch).withColumnRenamed("node", "f"))
-
-    # Links between different groups, bucket by bucket.
-    member = scratch.keep(busy.select("key", "f").join(groups, "f", "left").select("key", "f", F.coalesce("component", "f").alias("g")))
-    scratch.drop(busy, ends)
-    sizes = member.groupBy("key", "g").agg(F.count("*").alias("n"))
+    crowded = scratch.keep(ends.filter(F.col("n") > crowd).select("key"))
+    scratch.drop(keyed, ends)
+
+    # Links between different groups.
+    first = scratch.keep(distinct.join(groups, "f", "left").select("f", F.coalesce("component", "f").alias("g")))
+    member = scratch.keep(first.mapInPandas(_keyed, "f long, g long, key int"))
+    few = member.join(crowded, "key", "left_anti")
+    one, other = few.select("key", F.col("f").alias("f1"), F.col("g").alias("g1")), few.select("key", F.col("f").alias("f2"), F.col("g").alias("g2"))
+    cross = one.join(other, (one["key"] == other["key"]) & (F.col("g1") < F.col("g2")) & near("f1", "f2")).select("g1", "g2")
+
+    many = member.join(crowded, "key", "left_semi")
+    sizes = many.groupBy("key", "g").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "g")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
     mixed = scratch.keep(mixed.select("key", F.col("top.g").alias("common")))
-    inside = member.join(mixed, "key")
+    inside = many.join(mixed, "key")
     rare = scratch.keep(inside.filter("g <> common").select("key", F.col("f").alias("f1"), F.col("g").alias("g1")))
     every = scratch.keep(inside.select("key", F.col("f").alias("f2"), F.col("g").alias("g2")))
-    cross = rare.join(every, (rare["key"] == every["key"]) & (F.col("g1") != F.col("g2")) & near("f1", "f2"))
-    cross = cross.select(F.col("g1").alias("u"), F.col("g2").alias("v")).distinct()
-    joined = connected_components(cross, scratch=scratch).select(F.col("node").alias("g"), F.col("component").alias("wider"))
-    first = distinct.join(groups, "f", "left").select("f", F.coalesce("component", "f").alias("g"))
+    rest = rare.join(every, (rare["key"] == every["key"]) & (F.col("g1") != F.col("g2")) & near("f1", "f2")).select("g1", "g2")
+
+    links = cross.unionByName(rest).select(F.col("g1").alias("u"), F.col("g2").alias("v"))
+    joined = connected_components(links, scratch=scratch).select(F.col("node").alias("g"), F.col("component").alias("wider"))
+    scratch.drop(member)
     return first.join(joined, "g", "left").select(F.col("f").alias("fingerprint"), F.coalesce("wider", "g").alias("group"))
 
 
