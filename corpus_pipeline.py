@@ -24,8 +24,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; n_chars follows the text."""
-    kept = lines.drop_repeated_lines(docs)
+    """Repeated passages of lines go; n_chars follows the text."""
+    kept = lines.drop_repeated_lines(docs, whole=True)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

@@ -4,6 +4,10 @@ A rolling hash over the hashes of neighbouring lines chooses chunk boundaries,
 so a boundary depends on the lines beside it alone and inserted lines move no
 other boundary. Chunks of several lines that occur more than once are removed
 everywhere but at their first place, after their bytes have been compared.
+
+Chunks alone miss what repeats between two boundaries. With whole=True the runs
+of `least` neighbouring lines with a word are compared too, at every line, so
+that a repeated passage goes from its first to its last line.
 """
 
 from __future__ import annotations
@@ -37,6 +41,17 @@ def chunk_spans(lines: Column, spread: int, reach: int = 2) -> Column:
     return let(F.transform(lines, lambda line: F.xxhash64(line)), cut)
 
 
+def line_windows(lines: Column, least: int) -> Column:
+    """Runs of `least` neighbouring lines that have a word, and the lines between them: array of (first line, lines)."""
+    full = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(HAS_WORD))
+
+    def runs(at: Column) -> Column:
+        last = F.filter(F.transform(at, lambda i, k: F.struct(F.get(at, k - (least - 1)).alias("first"), i.alias("last"))), lambda x: x["first"].isNotNull())
+        return F.transform(last, lambda x: F.struct(x["first"].alias("first"), (x["last"] - x["first"] + 1).alias("n")))
+
+    return let(full, runs)
+
+
 def _part(lines: Column, first: Column, n: Column) -> Column:
     """n lines from the first on, n >= 1; a slice would copy the whole array first."""
     return F.transform(F.sequence(first, first + n - 1), lambda i: F.get(lines, i))
@@ -46,11 +61,13 @@ def _chunk_text(lines: Column, chunk: Column) -> Column:
     return F.array_join(_part(lines, chunk["first"], chunk["n"]), "\n")
 
 
-def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = 4, least: int = 2, scratch: Scratch | None = None) -> DataFrame:
+def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = 4, least: int = 2, whole: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """(doc, key, gone): chunks of each text that stand earlier in the corpus.
 
     gone is an array of (first line, lines). Earlier means a smaller (doc, key,
     first line). Only chunks with at least `least` lines that have a word count.
+    With whole=True line_windows count as well, so that spans in gone overlap;
+    a window that overlaps its first place in the same text stays.
     """
     scratch = scratch or Scratch(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), row_key(text).alias("key"), F.col(text).alias("text"))
@@ -60,7 +77,13 @@ def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     def hashes(line_array: Column) -> Column:
         part = lambda c: _part(line_array, c["first"], c["n"])
         worth = lambda c: (c["n"] >= least) & (F.size(F.filter(part(c), lambda x: x.rlike(HAS_WORD))) >= least)
-        return F.transform(F.filter(chunk_spans(line_array, spread), worth), lambda c: F.struct(F.xxhash64(_chunk_text(line_array, c)).alias("h"), c.alias("c")))
+        spans = F.filter(chunk_spans(line_array, spread), worth)
+        if whole:
+            # As numbers, so that equal spans are found by hashing.
+            number = lambda c: c["first"].cast("long") * (1 << 32) + c["n"]
+            spans = F.array_union(F.transform(spans, number), F.transform(line_windows(line_array, least), number))
+            spans = F.transform(spans, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("first"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("n")))
+        return F.transform(spans, lambda c: F.struct(F.xxhash64(_chunk_text(line_array, c)).alias("h"), c.alias("c")))
 
     hashed = rows.select("doc", "key", F.explode(let(lines, hashes)).alias("x")).select("doc", "key", "x.h", "x.c")
     hashed = scratch.keep(hashed)  # narrow: no text
@@ -74,38 +97,41 @@ def repeated_chunks(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     texts = rows.join(again.hint("merge"), ["doc", "key"]).select("doc", "key", F.explode(let(lines, cut)).alias("x"))
     texts = scratch.keep(texts.select("doc", "key", "x.c", "x.bytes"))
     leads = scratch.keep(texts.groupBy("bytes").agg(F.min(F.struct("doc", "key", "c")).alias("lead"), F.max(F.struct("doc", "key", "c")).alias("tail")).filter("lead < tail").drop("tail"))
-    late = texts.join(leads, "bytes").filter(F.struct("doc", "key", "c") != F.col("lead"))
+    apart = (F.col("doc") != F.col("lead.doc")) | (F.col("key") != F.col("lead.key")) | (F.col("c.first") >= F.col("lead.c.first") + F.col("lead.c.n"))
+    late = texts.join(leads, "bytes").filter(apart)
     found = scratch.keep(late.groupBy("doc", "key").agg(F.collect_set("c").alias("gone")))
     scratch.drop(hashed, seen, texts, leads)
     return found
 
 
-def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = 4, least: int = 2, into: str = "deduped") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", spread: int = 4, least: int = 2, whole: bool = False, into: str = "deduped") -> DataFrame:
     """Adds the struct column `into`: n_lines, n_removed, kept (the text that is left).
 
     Null texts have 0 lines and stay null, the empty text has one empty line;
     rows of a null id are left alone; rows that repeat an id and text lose the
-    same chunks, so a repeated row does not count as a repetition. A column
+    same chunks, so a repeated row does not count as a repetition. With
+    whole=True every line goes that stands in a window of `least` lines seen
+    earlier; the first place of each line stays. A column
     named `into` is replaced. Texts without a repeated chunk keep their bytes.
     """
-    found = repeated_chunks(docs, doc_id=doc_id, text=text, spread=spread, least=least)
-    found = found.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+    found = repeated_chunks(docs, doc_id=doc_id, text=text, spread=spread, least=least, whole=whole)
+    # The numbers of the removed lines, in order, each once.
+    gone = F.sort_array(F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))))
+    found = found.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), gone.alias("__gone"))
     joined = docs.join(found.hint("merge"), (F.col(doc_id).cast("long") == F.col("__doc")) & (row_key(text) == F.col("__key")), "left")
     lines = F.split(F.col(text), "\n")
 
     def rest(ls: Column) -> Column:
-        # What lies between the removed chunks, in order.
-        gone = F.array_sort("__gone")
-        edges = F.concat(F.array(F.lit(0)), F.transform(gone, lambda c: c["first"] + c["n"]))
-        stops = F.concat(F.transform(gone, lambda c: c["first"]), F.array(F.size(ls)))
+        # What lies between the removed lines, in order.
+        edges = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda i: i + 1))
+        stops = F.concat("__gone", F.array(F.size(ls)))
         parts = F.filter(F.zip_with(edges, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"] > p["a"])
         return F.array_join(F.transform(parts, lambda p: F.array_join(_part(ls, p["a"], p["b"] - p["a"]), "\n")), "\n")
 
     kept = let(lines, rest)
-    removed = F.aggregate("__gone", F.lit(0), lambda n, c: n + c["n"])
     result = F.struct(
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
         F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias("kept"))
     return joined.withColumn(into, result).drop("__doc", "__key", "__gone")
 

@@ -47,7 +47,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = lines.dedup_lines(docs)
+    done = lines.dedup_lines(docs, whole=True)
     return done.select("doc_id", "deduped.n_lines", "deduped.n_removed", F.sha2("deduped.kept", 256).alias("kept_sha256"))
 
 
