@@ -1,3 +1,3 @@
 """Registers the queries of all modules."""
 
-from tidewell.plans import queries_basic, queries_forecast, queries_series  # noqa: F401
+from tidewell.plans import queries_basic, queries_every, queries_forecast, queries_series  # noqa: F401

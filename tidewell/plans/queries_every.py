@@ -1,0 +1,18 @@
+"""Queries from every row, beside those whose SQL takes one row in several."""
+
+from __future__ import annotations
+
+from tidewell.plans import queries_forecast
+from tidewell.plans.catalog import ORACLES, query
+
+
+def _without(name: str, condition: str) -> str:
+    """The SQL of a query without the condition that thins its rows."""
+    assert condition in ORACLES[name], name
+    return ORACLES[name].replace(condition, "")
+
+
+@query(_without("walk_forward", " AND f.i % 5 = 0"))
+def walk_forward_all(spark, sf):
+    """Persistence over the folds, from all sequences."""
+    return queries_forecast.walk_forward(spark, sf, every=1)

@@ -287,10 +287,10 @@ _WALK = f"""{FOLDS}, r AS (SELECT *, ln(avg_close / lag(avg_close) OVER (PARTITI
 
 
 @query(f"WITH {_WALK} SELECT symbol, {r6('avg(rmse) AS rmse', 'avg(mae) AS mae', 'avg(direction_pct) AS direction_pct')}, count(*) AS folds FROM m GROUP BY 1")
-def walk_forward(spark, sf):
-    """Persistence over the folds, from every fifth row."""
+def walk_forward(spark, sf, every=5):
+    """Persistence over the folds, from every fifth row; walk_forward_all has all rows."""
     rows = ind.log_return(numbered(spark, sf))
-    folds = features.walk_forward_folds(numbered(spark, sf)).filter("i % 5 = 0")
+    folds = features.walk_forward_folds(numbered(spark, sf)).filter(F.col("i") % every == 0)
     steps = folds.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("at", F.col("i") + F.col("step"))
     inside = F.col("i") + 7 < F.when(F.col("part") == "train", F.col("train_end")).otherwise(F.col("val_end"))
     came = rows.select("symbol", F.col("i").alias("at"), F.col("log_return").alias("y_true"))
