@@ -18,13 +18,13 @@ PREDICTIONS = f"""{RETURNS}, drifting AS (SELECT *, CASE WHEN count(log_return)
   FROM drifting, (SELECT unnest(range(1, 8)) AS step) WHERE drift IS NOT NULL AND i % 7 = 0)"""
 
 
-def paths(spark, sf) -> DataFrame:
-    """Drift forecasts of 7 days from every 7th row, with volatility and price path."""
+def paths(spark, sf, every: int = 7) -> DataFrame:
+    """Drift forecasts of 7 days from each row whose number `every` divides, with volatility and price path."""
     rows = indicators.realized_vol(indicators.log_return(numbered(spark, sf)))
-    moves = forecast.drift_forecast(rows, 7, every=7)
+    moves = forecast.drift_forecast(rows, 7, every=every)
     sigma = rows.select("symbol", "i", rows["realized_vol"].alias("sigma"))
     return forecast.price_path(moves.join(sigma, ["symbol", "i"]))
 
 
-def predictions(spark, sf) -> DataFrame:
-    return forecast.to_predictions(forecast.derive_signals(paths(spark, sf)), horizon=7, model_id="drift", version=2)
+def predictions(spark, sf, every: int = 7) -> DataFrame:
+    return forecast.to_predictions(forecast.derive_signals(paths(spark, sf, every)), horizon=7, model_id="drift", version=2)

@@ -206,8 +206,8 @@ def seed_ready(spark, sf):
 @query(f"""WITH {PREDICTIONS} SELECT p.symbol, {day('p.run_date')}, {day('p.prediction_date')}, step::BIGINT AS step, {r6('predicted_price', 'avg_close AS actual_price')},
  round(CASE WHEN predicted_price <> 0 THEN (predicted_price - avg_close) / avg_close * 100 END, 4) + 0.0 AS error_pct
  FROM pred p LEFT JOIN daily d ON d.symbol = p.symbol AND d.date = p.prediction_date""")
-def history_join(spark, sf):
-    return lookup.history_join(predictions(spark, sf), daily(spark, sf)).select("symbol", "run_date", "prediction_date", "step", "predicted_price", "actual_price", "error_pct")
+def history_join(spark, sf, every=7):
+    return lookup.history_join(predictions(spark, sf, every), daily(spark, sf)).select("symbol", "run_date", "prediction_date", "step", "predicted_price", "actual_price", "error_pct")
 
 
 NEAR = f"""{TICKS}, near AS (SELECT symbol, d::DATE AS date, event_time, seq, price FROM ticks JOIN (SELECT unnest(generate_series(DATE '2023-12-31', DATE '2024-03-01', INTERVAL 1 DAY)) AS d)
@@ -247,8 +247,8 @@ def first_tick_error(spark, sf):
 
 
 @query(f"WITH {PREDICTIONS} SELECT symbol, {day('prediction_date')}, {day('run_date')}, {r6('predicted_price')} FROM pred QUALIFY row_number() OVER (PARTITION BY symbol, prediction_date ORDER BY run_date DESC, model_id, step) = 1")
-def latest_run(spark, sf):
-    return lookup.latest_run(predictions(spark, sf)).select("symbol", "prediction_date", "run_date", "predicted_price")
+def latest_run(spark, sf, every=7):
+    return lookup.latest_run(predictions(spark, sf, every)).select("symbol", "prediction_date", "run_date", "predicted_price")
 
 
 @query(f"""WITH {TICKS}, {TICK_DAILY.replace(" WHERE symbol <> 'view'", '')},
@@ -297,16 +297,16 @@ _TWO = f"""{PREDICTIONS}, two AS (SELECT symbol, run_date, prediction_date, step
  UNION ALL SELECT symbol, run_date, (prediction_date + 1)::DATE, step, predicted_price * 1.1, 'other' FROM pred)"""
 
 
-def _two_models(spark, sf):
-    pred = predictions(spark, sf).select("symbol", "run_date", "prediction_date", "step", "predicted_price", "model_id")
+def _two_models(spark, sf, every=7):
+    pred = predictions(spark, sf, every).select("symbol", "run_date", "prediction_date", "step", "predicted_price", "model_id")
     other = pred.withColumn("prediction_date", F.date_add("prediction_date", 1)).withColumn("predicted_price", F.col("predicted_price") * 1.1).withColumn("model_id", F.lit("other"))
     return pred.withColumn("model_id", F.when(F.col("step") % 2 == 0, F.col("model_id"))).unionByName(other)
 
 
 @query(f"""WITH {_TWO} SELECT symbol, {day('prediction_date')}, {r6('predicted_price')}, model_id FROM two
  QUALIFY row_number() OVER (PARTITION BY symbol, prediction_date ORDER BY coalesce(model_id = 'drift', false) DESC, run_date, model_id NULLS FIRST, step) = 1""")
-def dedupe_forecast(spark, sf):
-    found = lookup.dedupe_forecast(_two_models(spark, sf), F.col("model_id") == "drift")
+def dedupe_forecast(spark, sf, every=7):
+    found = lookup.dedupe_forecast(_two_models(spark, sf, every), F.col("model_id") == "drift")
     return found.select("symbol", "prediction_date", "predicted_price", "model_id")
 
 
@@ -314,8 +314,8 @@ def dedupe_forecast(spark, sf):
  p AS (SELECT symbol, prediction_date AS date, predicted_price, row_number() OVER (PARTITION BY symbol ORDER BY prediction_date) AS k FROM pred WHERE run_date = (SELECT max(q.run_date) FROM pred q WHERE q.symbol = pred.symbol))
  SELECT symbol, {day()}, {r6('avg_close AS actual')}, NULL::DOUBLE AS forecast, false AS is_forecast FROM h
  UNION ALL SELECT symbol, {day()}, {r6('CASE WHEN k = 1 THEN (SELECT arg_max(avg_close, date) FROM daily d WHERE d.symbol = p.symbol) END AS actual', 'predicted_price AS forecast')}, true FROM p""")
-def forecast_series(spark, sf):
-    pred = predictions(spark, sf)
+def forecast_series(spark, sf, every=7):
+    pred = predictions(spark, sf, every)
     newest = pred.groupBy("symbol").agg(F.max("run_date").alias("run_date"))
     return lookup.forecast_series(daily(spark, sf), pred.join(newest, ["symbol", "run_date"]), 30)
 
@@ -339,8 +339,8 @@ def _catalog(spark, sf):
 @query(f"""WITH {_TWO}, h AS (SELECT *, CASE WHEN step > 5 THEN 15 ELSE 7 END AS horizon FROM two WHERE prediction_date >= DATE '1998-01-01')
  SELECT symbol, {day('run_date')}, {day('prediction_date')}, step::BIGINT AS step, model_id, horizon::BIGINT AS horizon, {r6('predicted_price')} FROM h
  WHERE CASE symbol WHEN 'A' THEN coalesce(model_id = 'drift', false) OR (model_id IS NULL AND horizon = 15) WHEN 'N' THEN coalesce(model_id = 'drift', false) OR (model_id IS NULL AND horizon = 7) ELSE horizon = 7 END""")
-def active_forecast(spark, sf):
-    rows = _two_models(spark, sf).withColumn("horizon", F.when(F.col("step") > 5, 15).otherwise(7))
+def active_forecast(spark, sf, every=7):
+    rows = _two_models(spark, sf, every).withColumn("horizon", F.when(F.col("step") > 5, 15).otherwise(7))
     found = lookup.active_forecast(rows, _catalog(spark, sf), as_of="1998-01-01")
     return found.select("symbol", "run_date", "prediction_date", "step", "model_id", "horizon", "predicted_price")
 
@@ -402,15 +402,15 @@ def table_counts(spark, sf):
  (SELECT trend_strength FROM pred q WHERE q.symbol = pred.symbol GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS dominant_strength,
  CASE WHEN count(*) FILTER (direction = 'UP') > count(*) FILTER (direction = 'DOWN') THEN 'Bullish' WHEN count(*) FILTER (direction = 'UP') < count(*) FILTER (direction = 'DOWN') THEN 'Bearish' ELSE 'Neutral' END AS label
  FROM pred GROUP BY symbol""")
-def forecast_outlook(spark, sf):
-    return stats.outlook_label(stats.forecast_outlook(predictions(spark, sf)))
+def forecast_outlook(spark, sf, every=7):
+    return stats.outlook_label(stats.forecast_outlook(predictions(spark, sf, every)))
 
 
 @query(f"""WITH {PREDICTIONS}, c AS (SELECT symbol, run_date, count(*) FILTER (direction = 'UP') AS up, count(*) FILTER (direction = 'DOWN') AS down FROM pred GROUP BY 1, 2)
  SELECT symbol, {day('run_date')}, CASE WHEN up > down THEN 'Bullish' WHEN down > up THEN 'Bearish' ELSE 'Neutral' END AS label FROM c""")
-def outlook_label(spark, sf):
+def outlook_label(spark, sf, every=7):
     side = lambda d: F.count_if(F.col("direction") == d).alias(f"n_{d.lower()}")
-    counts = predictions(spark, sf).groupBy("symbol", "run_date").agg(side("UP"), side("DOWN"), side("FLAT"))
+    counts = predictions(spark, sf, every).groupBy("symbol", "run_date").agg(side("UP"), side("DOWN"), side("FLAT"))
     return stats.outlook_label(counts, flat=False).select("symbol", "run_date", "label")
 
 
@@ -443,8 +443,8 @@ def correlation_labels(spark, sf):
 
 @query(f"""WITH {PREDICTIONS} SELECT p.symbol, {day('p.run_date')}, step::BIGINT AS step, CASE WHEN e < 2 THEN 'good' WHEN e < 5 THEN 'fair' WHEN e IS NOT NULL THEN 'poor' END AS band
  FROM (SELECT pred.symbol, run_date, step, abs(round((predicted_price - avg_close) / avg_close * 100, 4)) AS e FROM pred LEFT JOIN daily ON daily.symbol = pred.symbol AND date = prediction_date) p""")
-def error_bands(spark, sf):
-    joined = lookup.history_join(predictions(spark, sf), daily(spark, sf))
+def error_bands(spark, sf, every=7):
+    joined = lookup.history_join(predictions(spark, sf, every), daily(spark, sf))
     return joined.select("symbol", "run_date", "step", error_band(F.col("error_pct")).alias("band"))
 
 
