@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,12 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (single-machine tests) an own temporary folder is used.
+    Where it is unset, a local master gets an own temporary folder; on a
+    cluster that is an error, as executors would not see each other's files.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
     if sc.applicationId not in _OWN_DIRS:
         _OWN_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidewell-")
     return _OWN_DIRS[sc.applicationId]
@@ -52,13 +58,21 @@ class Scratch:
 
     A kept table cuts the lineage and survives the loss of any executor. The
     shuffle files of the job that wrote it are not needed any more, so Spark is
-    asked to remove them at once.
+    asked to remove them at once. What is not dropped before is deleted when
+    the driver ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex[:12]}"
         self.made = 0
+        store, folder = self._store(self.root)
+        store.mkdirs(folder)
+        store.deleteOnExit(folder)
+
+    def _store(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), folder
 
     def path(self) -> str:
         self.made += 1
@@ -74,10 +88,36 @@ class Scratch:
 
     def drop(self, *kept: DataFrame) -> None:
         """Deletes tables of keep() that nothing reads any more."""
-        jvm = self.spark._jvm
         for df in kept:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            store, folder = self._store(df._scratch_path)
+            store.delete(folder, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added until df has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """make(), kept in the Python worker until another key is asked for.
+
+    Workers are used again by later stages, so each holds the tables of one
+    operator at a time.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
 def row_key(text: str = "text") -> Column:

@@ -1,15 +1,22 @@
 """SimHash near-duplicate groups found by Golay-code fuzzy hashing.
 
-A 64-bit fingerprint is cut into segments of 23, 23 and 18 bits. The binary
-Golay code (23, 12) is perfect: every 23-bit word is at most 3 bits from one
-codeword. The keys of a segment are the indices of all codewords within 4 bits
-(one, or six if the nearest is 3 bits away). Two segments that differ in at
-most 2 bits share a key: the codeword nearest to the word half way between
-them is within 4 bits of both.
-
-Fingerprints that differ in at most 4 of 64 bits have two of the three
-segments with at most 2 errors together, so they share a pair of keys. Joins
-on pairs of keys propose links; every link is verified on all 64 bits.
+A 64-bit fingerprint is cut into three segments of 21, 21 and 22 bits, each
+padded with zeros to 23. The binary Golay code (23, 12) is perfect: every
+23-bit word is at most 3 bits from one codeword. The fuzzy keys of a segment
+are the indices of all codewords within 4 bits (one, or six if the nearest is
+3 bits away). Two segments that differ in at most 2 bits share one: the
+codeword nearest to the word half way between them is within 4 bits of both.
+
+Fingerprints that differ in at most 4 of 64 bits are met by one of two kinds
+of keys, by pigeonhole on the errors of the segments:
+
+* a segment without errors, and of the other two one with at most 2: the first
+  exactly, the second by its fuzzy keys (6 ordered pairs of segments);
+* else errors are 1, 1 and at most 2: a fuzzy key of one segment, and of each of
+  the others the half that has no error (3 segments, 4 choices of halves).
+
+A key has 31 to 34 bits, so at random few fingerprints share one. Joins on keys
+propose links; every link is verified on all 64 bits.
 """
 
 from __future__ import annotations
@@ -24,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Scratch, row_key, word_bounds
+from tidewell.llm.common import Scratch, row_key, unused, word_bounds
 from tidewell.llm.components import connected_components
 
 #: Generator polynomial of the binary Golay code, a fixed value.
 GOLAY = 0b101011100011
-SEGMENTS = ((0, 23), (23, 23), (46, 18))
+SEGMENTS = ((0, 21), (21, 21), (42, 22))
 ERRORS = 4
 SEED = 42
 _UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -71,15 +78,23 @@ def segment_keys(segments: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprint_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): for each pair of segments, pair number and two 12-bit indices."""
+    """(row, key) of all keys: family, exact bits and the index of a codeword."""
     bits = fingerprints.astype(np.int64).view(np.uint64)
-    found = [segment_keys((bits >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)) for at, width in SEGMENTS]
-    rows, keys = [], []
-    for n, (i, j) in enumerate(combinations(range(3), 2)):
-        (a, has_a), (b, has_b) = found[i], found[j]
-        row, x, y = np.nonzero(has_a[:, :, None] & has_b[:, None, :])
-        rows.append(row)
-        keys.append(n << 24 | a[row, x] << 12 | b[row, y])
+    segments = [(bits >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
+    fuzzy = [segment_keys(s) for s in segments]
+    rows, keys, family = [], [], 0
+    for j, (indices, used) in enumerate(fuzzy):
+        row, slot = np.nonzero(used)
+        index = indices[row, slot]
+        others = [i for i in range(3) if i != j]
+        exact = [segments[i] for i in others]
+        # Each of the two other segments has its lower or its upper half free of errors.
+        halves = [((s & 1023) << 1, s >> 10 << 1 | 1) for s in exact]
+        exact += [a << 13 | b for a in halves[0] for b in halves[1]]
+        for part in exact:
+            rows.append(row)
+            keys.append(family << 40 | part[row] << 12 | index)
+            family += 1
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -112,59 +127,56 @@ def add_fingerprint(docs: DataFrame, *, text: str = "text", shingle: int = 4, in
 
 
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row once for each of its keys; columns f and, if there, g."""
+    """Each fingerprint f once for each of its keys."""
     for batch in batches:
         for at in range(0, len(batch), 4000):
-            part = batch.iloc[at : at + 4000]
-            rows, keys = fingerprint_keys(part["f"].to_numpy(np.int64))
-            yield pd.DataFrame({c: part[c].to_numpy(np.int64)[rows] for c in part.columns} | {"key": keys.astype(np.int32)})
+            part = batch["f"].to_numpy(np.int64)[at : at + 4000]
+            rows, keys = fingerprint_keys(part)
+            yield pd.DataFrame({"f": part[rows], "key": keys})
 
 
-def link_fingerprints(prints: DataFrame, *, crowd: int = 64, scratch: Scratch | None = None) -> DataFrame:
+def link_fingerprints(prints: DataFrame, *, crowd: int = 64, emit: int = 20_000, scratch: Scratch | None = None) -> DataFrame:
     """(fingerprint, group): groups of distinct fingerprints linked at up to 4 bits.
 
-    group is the smallest fingerprint that can be reached. Pairs within a
-    dense bucket are not all emitted: first every member is compared with the
-    smallest and largest member of its bucket. After these links are joined
-    up, only members of different groups are compared: in buckets of up to
-    `crowd` members all of them, in larger ones those outside the bucket's
-    commonest group with all others. Both ways find every link between
-    different groups, so `crowd` does not change the result.
+    group is the smallest fingerprint that can be reached. Keys are emitted by
+    tasks of about `emit` fingerprints; only keys that several fingerprints
+    share go on. Pairs within a dense bucket are not all emitted: first every
+    member is compared with the smallest and largest member of its bucket.
+    After these links are joined up, only members of different groups are
+    compared: those outside the bucket's commonest group with all others. In
+    buckets of more than `crowd` members both sides are dealt to as many parts
+    as that takes. Every link between different groups is found, so neither
+    number changes the result.
     """
     scratch = scratch or Scratch(prints.sparkSession)
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= ERRORS
-    distinct = prints.select(F.col("fingerprint").alias("f")).distinct()
-    keyed = scratch.keep(distinct.mapInPandas(_keyed, "f long, key int"))
-    ends = keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("n"))
-    ends = scratch.keep(ends.filter("n > 1"))
+    distinct = scratch.keep(prints.select(F.col("fingerprint").alias("f")).distinct())
+    tasks = max(1, -(-distinct.count() // emit))
+    keyed = scratch.keep(distinct.repartition(tasks, "f").mapInPandas(_keyed, "f long, key long"))
+    ends = keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("n")).filter("n > 1")
+    shared = scratch.keep(keyed.join(ends, "key"))  # members of shared buckets alone
+    scratch.drop(keyed)
+
     to_lo, to_hi = (F.col("f") != F.col("lo")) & near("f", "lo"), (F.col("f") != F.col("hi")) & near("f", "hi")
-    star = keyed.join(ends, (keyed["key"] == ends["key"]) & (to_lo | to_hi))  # only verified links leave the join
-    star = star.select("f", F.explode(F.array_compact(F.array(F.when(to_lo, F.col("lo")), F.when(to_hi, F.col("hi"))))).alias("v"))
+    star = shared.select("f", F.explode(F.array_compact(F.array(F.when(to_lo, F.col("lo")), F.when(to_hi, F.col("hi"))))).alias("v"))
     star = star.select(F.col("f").alias("u"), "v").distinct()
     groups = scratch.keep(connected_components(star, scratch=scratch).withColumnRenamed("node", "f"))
-    crowded = scratch.keep(ends.filter(F.col("n") > crowd).select("key"))
-    scratch.drop(keyed, ends)
+    first = scratch.keep(distinct.join(groups, "f", "left").select("f", F.coalesce("component", "f").alias("g")))
 
     # Links between different groups.
-    first = scratch.keep(distinct.join(groups, "f", "left").select("f", F.coalesce("component", "f").alias("g")))
-    member = scratch.keep(first.mapInPandas(_keyed, "f long, g long, key int"))
-    few = member.join(crowded, "key", "left_anti")
-    one, other = few.select("key", F.col("f").alias("f1"), F.col("g").alias("g1")), few.select("key", F.col("f").alias("f2"), F.col("g").alias("g2"))
-    cross = one.join(other, (one["key"] == other["key"]) & (F.col("g1") < F.col("g2")) & near("f1", "f2")).select("g1", "g2")
-
-    many = member.join(crowded, "key", "left_semi")
-    sizes = many.groupBy("key", "g").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "g")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
-    mixed = scratch.keep(mixed.select("key", F.col("top.g").alias("common")))
-    inside = many.join(mixed, "key")
-    rare = scratch.keep(inside.filter("g <> common").select("key", F.col("f").alias("f1"), F.col("g").alias("g1")))
-    every = scratch.keep(inside.select("key", F.col("f").alias("f2"), F.col("g").alias("g2")))
-    rest = rare.join(every, (rare["key"] == every["key"]) & (F.col("g1") != F.col("g2")) & near("f1", "f2")).select("g1", "g2")
-
-    links = cross.unionByName(rest).select(F.col("g1").alias("u"), F.col("g2").alias("v"))
+    member = shared.select("key", "f", "n").join(first, "f")
+    sizes = member.groupBy("key", "g").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "g")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
+    inside = scratch.keep(member.join(mixed.select("key", F.col("top.g").alias("common")), "key"))
+    parts = F.ceil(F.col("n") / crowd).cast("int")  # of both sides of a bucket: rare members meet every part of the others
+    rare = inside.filter("g <> common").select("key", F.col("f").alias("f1"), F.col("g").alias("g1"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    every = inside.select("key", F.col("f").alias("f2"), F.col("g").alias("g2"), F.pmod(F.xxhash64("f"), parts).cast("int").alias("part"))
+    met = (rare["key"] == every["key"]) & (rare["part"] == every["part"]) & (F.col("g1") != F.col("g2")) & near("f1", "f2")
+    links = rare.join(every, met).select(F.col("g1").alias("u"), F.col("g2").alias("v"))
     joined = connected_components(links, scratch=scratch).select(F.col("node").alias("g"), F.col("component").alias("wider"))
-    scratch.drop(member)
-    return first.join(joined, "g", "left").select(F.col("f").alias("fingerprint"), F.coalesce("wider", "g").alias("group"))
+    grouped = scratch.keep(first.join(joined, "g", "left").select(F.col("f").alias("fingerprint"), F.coalesce("wider", "g").alias("group")))
+    scratch.drop(distinct, shared, groups, first, inside)
+    return grouped
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
@@ -177,13 +189,14 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     kept. `key` is a hash of the text, to join results back to repeated ids.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc"), row_key(text).alias("key"), F.col(text).alias("__text"))
-    rows = scratch.keep(add_fingerprint(rows, text="__text", shingle=shingle).drop("__text"))
+    rows = docs.select(F.col(doc_id).alias("doc"), row_key(text).alias("key"), F.col(text).alias("text"))
+    rows = scratch.keep(add_fingerprint(rows, shingle=shingle).drop("text"))
     firsts = scratch.keep(rows.groupBy("fingerprint").agg(F.min("doc").alias("first")))
     groups = link_fingerprints(firsts, scratch=scratch)
-    grouped = scratch.keep(firsts.join(groups, "fingerprint"))
-    lowest = scratch.keep(grouped.groupBy("group").agg(F.min("first").alias("component_id")))
+    grouped = firsts.join(groups, "fingerprint")
+    lowest = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
     lowest = scratch.keep(grouped.join(lowest, "group").select("fingerprint", "component_id"))
+    scratch.drop(firsts, groups)
     return rows.join(lowest, "fingerprint").select("doc", "key", "fingerprint", "component_id")
 
 
@@ -195,6 +208,7 @@ def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle)
     gone = found.filter("component_id is not null and (doc is null or doc <> component_id)")
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("key").alias("__key")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("__doc")) & (row_key(text) == F.col("__key"))
+    doc, key = unused(docs, "__doc", "__key")
+    gone = gone.select(F.col("doc").alias(doc), F.col("key").alias(key)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(doc)) & (row_key(text) == F.col(key))
     return docs.join(gone, same, "left_anti")
