@@ -1,24 +1,29 @@
 """Benchmark decontamination by winnowing.
 
 Both sides keep the minimum k-gram hash of every sliding window of w k-grams.
-Two texts that share a span of at least k + w - 1 words share such a minimum,
-so joining the kept fingerprints misses no shared span of that length. Each
-hit is then extended to the benchmark windows around it and compared byte by
-byte.
+Two texts that share a span of k + w - 1 words share such a minimum, so joining
+the kept fingerprints misses no shared span of that length. Hits of the join
+are then extended: the windows of a text around its fingerprint that was met
+are joined with those of the benchmark by their words.
 
 A benchmark window is `window` consecutive words of an item; an item of fewer
 words, but not none, is a single window. Items of each shorter length get
 their own (k, w) with k + w - 1 equal to that length.
+
+Documents and benchmark are tables in every step and of any size; nothing of
+either passes the driver.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import GramHasher, covered, row_key, sliding_min, word_bounds
+from tidewell.llm.common import GramHasher, Scratch, covered, sliding_min, unused, word_bounds
 
 #: A-Z become a-z; every ASCII character that is no letter or digit becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -32,152 +37,160 @@ def fold_words(text: str | None) -> bytes:
     return b" ".join(text.encode().translate(FOLD).split()) if text else b""
 
 
-class BenchmarkIndex:
-    """Fingerprints and windows of benchmark items whose size the caller has checked."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
-        self.ids = [i for i, _ in items]
-        self.texts = [t for _, t in items]
-        lengths, hashes, owners, begins, finishes = [], [], [], [], []
-        kept: dict[tuple[int, int], list[np.ndarray]] = {}
-        for at, (_, joined) in enumerate(items):
-            data, starts, ends = word_bounds(joined)
-            if not len(starts):
-                continue
-            size = min(window, len(starts))
-            k = min(GRAM, size)
+def winnow(joined: bytes, sizes: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each window size: (size, kept fingerprints, first window of each, number of windows)."""
+    data, starts, ends = word_bounds(joined)
+    n, prefix, grams = len(starts), None, {}
+    for size in sizes:
+        if n < size:
+            continue
+        if prefix is None:
             prefix = _HASHER.prefix(data)
-            grams = _HASHER.spans(prefix, starts[: len(starts) - k + 1], ends[k - 1 :])
-            kept.setdefault((size, k), []).append(sliding_min(grams, size - k + 1))
-            first, last = starts[: len(starts) - size + 1], ends[size - 1 :]
-            hashes.append(_HASHER.spans(prefix, first, last))
-            begins.append(first)
-            finishes.append(last)
-            owners.append(np.full(len(first), at))
-            lengths.append(np.full(len(first), size))
-        self.fingerprints = {tier: np.unique(np.concatenate(v)) for tier, v in kept.items()}
-        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        self.hashes = join(hashes, np.uint64)
-        order = np.argsort(self.hashes, kind="stable")
-        self.hashes = self.hashes[order]
-        self.owners, self.begins, self.finishes, self.lengths = (join(x, np.int64)[order] for x in (owners, begins, finishes, lengths))
-
-    def find(self, joined: bytes) -> tuple[int, int, list[str], list[int], list[int]]:
-        """Words, hit words, ids of items that occur, and starts and lengths of hit windows."""
-        data, starts, ends = word_bounds(joined)
-        n = len(starts)
-        prefix, grams, spans, found = None, {}, [], set()
-        for (size, k), known in self.fingerprints.items():
-            if n < size:
-                continue
-            if prefix is None:
-                prefix = _HASHER.prefix(data)
-            if k not in grams:
-                grams[k] = _HASHER.spans(prefix, starts[: n - k + 1], ends[k - 1 :])
-            minima = sliding_min(grams[k], size - k + 1)  # one for each window of `size` words
-            place = np.searchsorted(known, minima)
-            place[place == len(known)] = 0
-            near = np.flatnonzero(known[place] == minima)  # windows that may be a benchmark's
-            if not len(near):
-                continue
-            whole = _HASHER.spans(prefix, starts[near], ends[near + size - 1])
-            low, high = np.searchsorted(self.hashes, whole, "left"), np.searchsorted(self.hashes, whole, "right")
-            for i in np.flatnonzero(high > low):
-                at = near[i]
-                mine = joined[starts[at] : ends[at + size - 1]]
-                same = [self.owners[j] for j in range(low[i], high[i]) if self.lengths[j] == size and self.texts[self.owners[j]][self.begins[j] : self.finishes[j]] == mine]
-                if same:
-                    found.update(same)
-                    spans.append((at, size))
-        if not spans:
-            return n, 0, [], [], []
-        at, size = np.array(sorted(set(spans))).T
-        hit = covered(n, at, size)
-        ids = {self.ids[o] for o in found} - {None}
-        return n, int(hit.sum()), sorted(ids), at.tolist(), size.tolist()
-
-
-def _chunks(spark, bench: DataFrame, item_id: str, text: str, limit: int):
-    """The benchmark in parts of about `limit` bytes, at most twice that unless one item is larger."""
-    size = bench.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    parts = max(1, -(-size // limit))
-    keyed = bench.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t"), F.pmod(F.xxhash64(item_id, text), F.lit(parts)).alias("p"))
-    for p in range(parts):
-        yield [(r.i, fold_words(r.t)) for r in keyed.filter(F.col("p") == p).select("i", "t").toLocalIterator()]
+        k = min(GRAM, size)
+        if k not in grams:
+            grams[k] = _HASHER.spans(prefix, starts[: n - k + 1], ends[k - 1 :])
+        minima = sliding_min(grams[k], size - k + 1)  # one for each window of `size` words
+        first = np.flatnonzero(np.concatenate(([True], minima[1:] != minima[:-1])))
+        yield size, minima[first].view(np.int64), first, np.diff(np.concatenate((first, [len(minima)])))
+
+
+def text_key(text: str) -> Column:
+    """SHA-256 of a text: equal for equal texts alone."""
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
+def _item_windows(window: int):
+    """Windows of items: size, fingerprint, the words, and the item's id."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch["item"], batch["text"], strict=True):
+                joined = fold_words(text)
+                _, starts, ends = word_bounds(joined)
+                for size, prints, first, count in winnow(joined, [min(window, len(starts))] if len(starts) else []):
+                    at = np.repeat(prints, count)
+                    rows += [(size, p, joined[a:b].decode(), item) for p, a, b in zip(at.tolist(), starts.tolist(), ends[size - 1 :].tolist(), strict=False)]
+                    if len(rows) > 20_000:
+                        yield pd.DataFrame(rows, columns=["size", "print", "words", "item"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["size", "print", "words", "item"]).astype({"size": "int32", "print": "int64"})
+
+    return run
+
+
+def _prints(sizes: list[int]):
+    """Fingerprints of documents, with the windows that each stands for."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts, total = [], 0
+            for key, text in zip(batch["key"], batch["text"], strict=True):
+                for size, prints, first, count in winnow(fold_words(text), sizes):
+                    parts.append((key, size, prints, first, count))
+                    total += len(prints)
+                    if total > 100_000:
+                        yield _stacked(parts)
+                        parts, total = [], 0
+            if parts:
+                yield _stacked(parts)
+
+    return run
+
+
+def _stacked(parts: list[tuple]) -> pd.DataFrame:
+    lengths = [len(p[2]) for p in parts]
+    keys = np.empty(len(parts), object)
+    keys[:] = [p[0] for p in parts]
+    spread = {"key": np.repeat(keys, lengths), "size": np.repeat(np.array([p[1] for p in parts], np.int32), lengths)}
+    return pd.DataFrame(spread | {name: np.concatenate([p[i] for p in parts]) for i, name in ((2, "print"), (3, "first"), (4, "count"))})
+
+
+def _met_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The windows of a document that stand for fingerprints that were met."""
+    for batch in batches:
+        for key, text, met in zip(batch["key"], batch["text"], batch["met"], strict=True):
+            joined = fold_words(text)
+            _, starts, ends = word_bounds(joined)
+            rows = [(size, s) for size, first, count in sorted((m["size"], m["first"], m["count"]) for m in met) for s in range(first, first + count)]
+            for at in range(0, len(rows), 20_000):
+                part = rows[at : at + 20_000]
+                yield pd.DataFrame({"key": [key] * len(part), "size": [size for size, _ in part], "start": [s for _, s in part], "words": [joined[starts[s] : ends[s + size - 1]].decode() for size, s in part]})
 
 
 def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, limit: int = 8 << 20, into: str = "overlap") -> DataFrame:
-    """Adds the struct column `into`: n_words, n_hit, item_ids, starts of hit windows.
-
-    A benchmark of up to `limit` bytes is broadcast and documents are not
-    shuffled. A larger one goes in parts of that size, one pass over the
-    documents for each, and the hits of the passes are joined by (text) key.
-    Null texts and texts without words have no words and no hits; items of a
-    null id count as hits but are not listed; equal items count one by one.
-    A column named `into` is replaced.
+    """Adds the struct column `into`: n_words, n_hit, item_ids, starts and sizes of hit windows.
+
+    With a benchmark of more than `limit` bytes every join sorts and merges;
+    below, Spark may broadcast tables that its own limit allows. Rows are the
+    same either way. Null texts and texts without words have no words and no hits; items of a null id count as hits
+    but are not listed; equal items count one by one. Repeated rows get equal
+    results; an empty table of documents gives none, an empty benchmark no
+    hits. Texts are whole, of any length. A column named `into` is replaced;
+    all others stay as they are.
     """
     spark = docs.sparkSession
-    passes = []
-    for items in _chunks(spark, bench, item_id, item_text, limit):
-        shared = spark.sparkContext.broadcast(items)
-        passes.append(_lookup(shared, window))
-    if len(passes) == 1:
-        return docs.withColumn(into, passes[0](F.col(text)))
-    hits = None
-    for look in passes:  # only documents with hits go on
-        found = docs.select(row_key(text).alias("k"), F.length(text).alias("len"), look(F.col(text)).alias("r")).filter("r.n_hit > 0")
-        found = found.select("k", "len", "r.starts", "r.sizes", "r.item_ids")
-        hits = found if hits is None else hits.unionByName(found)
-    flat = lambda c: F.flatten(F.collect_set(c))
-    merged = hits.groupBy("k", "len").agg(flat("starts").alias("starts"), F.array_distinct(flat("item_ids")).alias("item_ids"), F.collect_set(F.arrays_zip("starts", "sizes")).alias("spans"))
-    span_hits = F.expr("size(array_distinct(flatten(transform(flatten(spans), s -> sequence(s.starts, s.starts + s.sizes - 1)))))")
-    merged = merged.select(F.col("k").alias("__k"), F.col("len").alias("__len"), span_hits.cast("long").alias("__n"), F.array_sort("item_ids").alias("__ids"), F.array_sort(F.array_distinct("starts")).alias("__starts"))
-    words = docs.withColumn("__k0", row_key(text)).withColumn("__len0", F.length(text)).withColumn("__words", _count_words()(F.col(text)))
-    joined = words.join(merged, (F.col("__k0") == F.col("__k")) & F.col("__len0").eqNullSafe(F.col("__len")), "left")
-    empty = lambda kind: F.array().cast(kind)
+    scratch = Scratch(spark)
+    size = bench.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    how = lambda df: df.hint("merge") if size > limit else df
+
+    items = bench.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    known = scratch.keep(items.mapInPandas(_item_windows(window), "size int, print long, words string, item string").distinct())
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # at most `window` numbers
+    prints = scratch.keep(known.select("size", "print").distinct())
+    words = scratch.keep(known.groupBy("size", "words").agg(F.count("item").alias("items")))
+
+    # Fingerprints that texts and benchmark share.
+    texts = docs.select(text_key(text).alias("key"), F.col(text).alias("text")).filter("text is not null")
+    kept = texts.mapInPandas(_prints(sizes), "key binary, size int, print long, first long, count long")
+    met = kept.join(how(prints), ["size", "print"], "left_semi")
+    met = scratch.keep(met.groupBy("key").agg(F.collect_set(F.struct("size", "first", "count")).alias("met")))
+
+    # Their windows, compared by words.
+    near = texts.join(how(met), "key").dropDuplicates(["key"]).select("key", "text", "met")
+    near = near.mapInPandas(_met_windows, "key binary, size int, start long, words string")
+    hits = scratch.keep(near.join(how(words), ["size", "words"]).select("key", "size", "start", "words", "items"))
+    spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
+    listed = hits.filter("items > 0").select("key", "size", "words").distinct().join(how(known.filter("item is not null").select("size", "words", "item")), ["size", "words"])
+    listed = listed.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("ids"))
+    found = scratch.keep(spans.join(listed, "key", "left"))
+    scratch.drop(prints, words, met, hits, known)
+
+    key, other, at, ids = unused(docs, "__key", "__other", "__spans", "__ids")
+    found = found.select(F.col("key").alias(other), F.col("spans").alias(at), F.col("ids").alias(ids))
+    joined = docs.withColumn(key, text_key(text)).join(how(found), F.col(key) == F.col(other), "left")
+    none = F.array().cast("array<long>")
+    counts = _counted()(F.col(text), F.col(f"{at}.start"), F.col(f"{at}.size"))
+    joined = joined.withColumn(key, counts)
     result = F.struct(
-        F.col("__words").alias("n_words"), F.coalesce("__n", F.lit(0).cast("long")).alias("n_hit"),
-        F.coalesce("__ids", empty("array<string>")).alias("item_ids"), F.coalesce("__starts", empty("array<long>")).alias("starts"))
-    return joined.withColumn(into, result).drop("__k0", "__len0", "__words", "__k", "__len", "__n", "__ids", "__starts")
-
-
-def _count_words():
-    @F.pandas_udf("long")
-    def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([len(fold_words(t).split()) for t in texts], dtype="int64")
-
-    return counted
-
-
-_INDEXES: dict[tuple, tuple[list, BenchmarkIndex]] = {}
-
+        F.col(f"{key}.n_words").alias("n_words"), F.col(f"{key}.n_hit").alias("n_hit"), F.coalesce(F.col(ids), F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce(F.col(f"{at}.start"), none).alias("starts"), F.coalesce(F.col(f"{at}.size").cast("array<long>"), none).alias("sizes"))
+    return joined.withColumn(into, result).select(*[c for c in docs.columns if c != into], into)
 
-def _index(shared, window: int) -> BenchmarkIndex:
-    """Built once in each Python worker."""
-    items = shared.value
-    key = (id(items), window)
-    if key not in _INDEXES:
-        _INDEXES.clear()
-        _INDEXES[key] = (items, BenchmarkIndex(items, window))
-    return _INDEXES[key][1]
 
+def _counted():
+    """Words of a text, and those in its hit windows."""
 
-def _lookup(shared, window: int):
-    @F.pandas_udf("n_words long, n_hit long, item_ids array<string>, starts array<long>, sizes array<long>")
-    def looked_up(texts: pd.Series) -> pd.DataFrame:
-        index = _index(shared, window)
-        return pd.DataFrame([index.find(fold_words(t)) for t in texts], columns=["n_words", "n_hit", "item_ids", "starts", "sizes"])
+    @F.pandas_udf("n_words long, n_hit long")
+    def counted(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
+        out = []
+        for text, at, size in zip(texts, starts, sizes, strict=True):
+            joined = fold_words(text)
+            n = joined.count(b" ") + 1 if joined else 0
+            out.append((n, 0 if at is None else int(covered(n, np.asarray(at), np.asarray(size)).sum())))
+        return pd.DataFrame(out, columns=["n_words", "n_hit"]).astype("int64")
 
-    return looked_up.asNondeterministic()  # once for each row, also below a filter
+    return counted.asNondeterministic()  # once for each row, also below a filter
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, *, share: float = 0.05, **options) -> DataFrame:
     """Documents of which less than `share` of the words is hit; columns as given.
 
-    A document without a hit always stays.
+    A document without a hit always stays; so do null and empty texts.
     """
-    found = find_contamination(docs, bench, into="__overlap", **options)
-    return found.filter(~contaminated("__overlap", share)).drop("__overlap")
+    (into,) = unused(docs, "__overlap")
+    found = find_contamination(docs, bench, into=into, **options)
+    return found.filter(~contaminated(into, share)).drop(into)
 
 
 def contaminated(overlap: str = "overlap", share: float = 0.05):
