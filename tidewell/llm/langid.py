@@ -5,6 +5,10 @@ The probability of a word is the sum over all its segmentations into pieces,
 found by the forward algorithm; that of a text is the product over its words.
 Piece probabilities are learned by expectation-maximisation: expected piece
 counts over all segmentations of the words of each language.
+
+Beside the languages stands a background: mostly letters one by one, by their
+frequency in all languages together, and now and then any piece. Text that no
+language explains better than that has a score near 0.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Scratch
+from tidewell.llm.common import Scratch, held, unused
 from tidewell.llm.vocabulary import BLANK, DEFAULT_VOCABULARY, load_pieces, piece_automaton, vocabulary_path
 
 UNDETERMINED = "und"
@@ -30,8 +34,13 @@ UNDETERMINED = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Probability of a character that is no piece, and the count added to each piece.
 UNKNOWN, SMOOTHING = 1e-9, 0.05
-REMEMBERED = 300_000
-_TINY = 1e-120
+#: The same for the background, and its share that goes to all pieces alike.
+STRANGE, EVEN = 1e-6, 0.1
+#: Probability of the background before a text is seen, against that of each language.
+RARE = 1e-6
+#: Numbers in the table of remembered words; new words are scored in parts of as many.
+REMEMBERED, AT_ONCE = 1_200_000, 1_000_000
+_TINY, _LEAST = 1e-120, 1e-300
 #: Words of more characters are scored one by one, with scaling; a character that no piece has.
 SHORT, GAP = 28, "\n"
 
@@ -70,40 +79,33 @@ class Segmenter:
 
 
 class LanguageModel:
-    """Piece probabilities of some languages: rows are pieces, the last row is unknown."""
+    """Piece probabilities of some languages and, last, the background: rows are pieces, the last row is unknown."""
 
     def __init__(self, languages: list[str], table: np.ndarray, path: str):
         self.languages, self.table, self.path = languages, table, path
         self.segmenter = Segmenter(path)
-        self.rows: list[tuple[float, ...]] = [tuple(r) for r in table.tolist()]
+        self.reach = max(len(piece) for piece, _ in load_pieces(path))
         self._start()
 
     def _start(self) -> None:
         self.seen: dict[str, int] = {}
-        self.scores = np.zeros((4096, len(self.languages)))
+        self.scores = np.zeros((4096, self.table.shape[1]))
 
-    def word(self, word: str) -> list[float]:
-        """Log probability of a word in each language, over all segmentations."""
-        rows, k = self.rows, len(self.languages)
-        span = range(k)
+    def word(self, word: str) -> np.ndarray:
+        """Log probability of a word in each column, over all segmentations; of any length."""
+        k = self.table.shape[1]
         ends = self.segmenter.ends(word)
-        alpha = [[1.0] * k]
-        logs = [0.0] * k
+        alpha = np.ones((len(ends) + 1, k))
+        logs = np.zeros(k)
         for end, found in enumerate(ends):
-            now = [0.0] * k
-            for start, piece in found:
-                before, p = alpha[start], rows[piece]
-                for j in span:
-                    now[j] += before[j] * p[j]
-            alpha.append(now)
-            if end % 8 == 7 and min(now) < _TINY:  # keep long words within range
-                for j in span:
-                    scale = now[j]
-                    if 0 < scale < _TINY:
-                        logs[j] += math.log(scale)
-                        for a in alpha[-17:]:
-                            a[j] /= scale
-        return [math.log(a) + b if a > 0 else -1e6 for a, b in zip(alpha[-1], logs, strict=True)]
+            at = [start for start, _ in found]
+            alpha[end + 1] = (alpha[at] * self.table[[piece for _, piece in found]]).sum(axis=0)
+            if end % 8 == 7 and alpha[end + 1].min() < _TINY:  # keep long words within range
+                now = np.maximum(alpha[end + 1], _LEAST)
+                scale = np.where(now < _TINY, now, 1.0)
+                logs += np.log(scale)
+                alpha[max(0, end + 1 - self.reach) : end + 2] /= scale
+        return np.log(np.maximum(alpha[-1], _LEAST)) + logs
 
     def short_words(self, words: list[str]) -> np.ndarray:
         """Log probabilities of many words of up to SHORT characters at once.
@@ -129,7 +131,7 @@ class LanguageModel:
         steps = found[:, 0] - begin[found[:, 0] - 1]
         order = np.lexsort((found[:, 0], steps))
         found, steps = found[order], steps[order]
-        alpha = np.zeros((len(joined), len(self.languages)))
+        alpha = np.zeros((len(joined), self.table.shape[1]))
         alpha[gap] = 1.0
         bounds = np.searchsorted(steps, np.arange(1, steps[-1] + 2))
         for at, end in zip(bounds[:-1], bounds[1:], strict=True):
@@ -137,7 +139,7 @@ class LanguageModel:
             value = alpha[part[:, 0] - part[:, 1]] * self.table[part[:, 2]]
             first = np.flatnonzero(np.concatenate(([True], part[1:, 0] != part[:-1, 0])))
             alpha[part[first, 0]] = np.add.reduceat(value, first)
-        return np.log(np.maximum(alpha[last], 1e-300))
+        return np.log(np.maximum(alpha[last], _LEAST))
 
     def _learn_words(self, words: list[str]) -> None:
         """Scores new words and remembers them."""
@@ -145,8 +147,9 @@ class LanguageModel:
         while n + len(words) > len(self.scores):
             self.scores = np.concatenate((self.scores, np.zeros_like(self.scores)))
         short = [w for w in words if len(w) <= SHORT]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
+        step = max(1, AT_ONCE // (8 * self.table.shape[1]))
+        for at in range(0, len(short), step):
+            part = short[at : at + step]
             self.scores[n + at : n + at + len(part)] = self.short_words(part)
         for at, word in enumerate([*short, *(w for w in words if len(w) > SHORT)]):
             self.seen[word] = n + at
@@ -157,7 +160,7 @@ class LanguageModel:
         """(language, probability) of each text."""
         found = [words_of(t) for t in texts]
         new = set().union(*found).difference(self.seen)
-        if len(self.seen) + len(new) > REMEMBERED:
+        if (len(self.seen) + len(new)) * self.table.shape[1] > REMEMBERED:
             self._start()
             new = set().union(*found)
         if new and self.languages:
@@ -168,71 +171,131 @@ class LanguageModel:
                 out.append((UNDETERMINED, 0.0))
                 continue
             total = self.scores[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))].sum(axis=0)
-            best = int(total.argmax())
-            out.append((self.languages[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())))
+            total[-1] += math.log(RARE)
+            best = int(total[: len(self.languages)].argmax())
+            out.append((self.languages[best], float(1 / np.exp(np.clip(total - total[best], -700, 700)).sum())))
         return out
 
     def expected(self, word: str, language: int) -> dict[int, float]:
-        """Expected number of each piece in a word of one language (forward-backward)."""
+        """Expected number of each piece in a word of one language, of any length (forward-backward)."""
         ends = self.segmenter.ends(word)
-        p = lambda piece: self.rows[piece][language]
-        alpha = [1.0] + [0.0] * len(ends)
-        for end, found in enumerate(ends):
-            alpha[end + 1] = sum(alpha[start] * p(piece) for start, piece in found)
-        if not alpha[-1] > 1e-290:
-            return {}
+        column = self.table[:, language]
+        steps = [[(start, piece, p) for (start, piece), p in zip(found, column[[piece for _, piece in found]].tolist(), strict=True)] for found in ends]
+        alpha = [1.0]
+        for found in steps:
+            alpha.append(sum([alpha[start] * p for start, _, p in found]))
+        if alpha[-1] < 1e-250:
+            return self.expected_in_logs(ends, language)
         beta = [0.0] * len(ends) + [1.0]
         out: dict[int, float] = {}
         for end in range(len(ends) - 1, -1, -1):
-            for start, piece in ends[end]:
-                part = p(piece) * beta[end + 1]
+            after = beta[end + 1]
+            for start, piece, p in steps[end]:
+                part = p * after
                 beta[start] += part
                 if piece >= 0:
                     out[piece] = out.get(piece, 0.0) + alpha[start] * part / alpha[-1]
         return out
 
+    def expected_in_logs(self, ends: list[list[tuple[int, int]]], language: int) -> dict[int, float]:
+        """The same for words whose probability is beyond the range of numbers."""
+        p = self.table[[piece for found in ends for _, piece in found], language]
+        logs = np.log(np.maximum(p, _LEAST)).tolist()
+        alpha, at = [0.0], 0
+        for found in ends:
+            alpha.append(_log_sum([alpha[start] + logs[at + i] for i, (start, _) in enumerate(found)]))
+            at += len(found)
+        beta: list[list[float]] = [[] for _ in ends] + [[0.0]]
+        out: dict[int, float] = {}
+        for end in range(len(ends) - 1, -1, -1):
+            at -= len(ends[end])
+            after = _log_sum(beta[end + 1]) if beta[end + 1] else -math.inf  # no way on from here
+            for i, (start, piece) in enumerate(ends[end]):
+                part = logs[at + i] + after
+                beta[start].append(part)
+                if piece >= 0:
+                    out[piece] = out.get(piece, 0.0) + math.exp(alpha[start] + part - alpha[-1])
+        return out
+
+
+def _log_sum(values: list[float]) -> float:
+    if len(values) == 1:
+        return values[0]
+    top = max(values)
+    return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
+
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         counts: Counter = Counter()
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            counts.update((lang, w) for w in words_of(text) if len(w) <= 60)
+            counts.update((lang, w) for w in words_of(text))
         if counts:
             yield pd.DataFrame([(a, b, n) for (a, b), n in counts.items()], columns=["lang", "word", "n"])
 
 
-def learn_languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = DEFAULT_VOCABULARY, fit_rows: int = 1200, most_languages: int = 500, rounds: int = 2) -> LanguageModel:
+def letter_pieces(path: str) -> dict[str, int]:
+    """Pieces of one character."""
+    return {piece: i for i, (piece, _) in enumerate(load_pieces(path)) if len(piece) == 1}
+
+
+def background(counts: dict[int, float], path: str) -> np.ndarray:
+    """Column of the background: pieces of one character by their counts, and a share for all pieces alike."""
+    seen = np.zeros(len(load_pieces(path)) + 1)
+    for piece, n in counts.items():
+        seen[piece] = n
+    column = (1 - EVEN) * seen / max(seen.sum(), 1.0) + EVEN / (len(seen) - 1)
+    column[-1] = STRANGE
+    return column
+
+
+def learn_languages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", vocabulary: str = DEFAULT_VOCABULARY, fit_rows: int = 1200, rounds: int = 2) -> LanguageModel:
     """Learns from about `fit_rows` documents of each language, those of the smallest id hash.
 
-    Rows with a null text, id or language are left out. Of more than
-    `most_languages` languages the commonest are learned. Only expected counts
-    by language and piece reach the driver: their number is bounded by the
-    vocabulary. Without rows the model has no language and answers "und".
+    Every language is learned, from whole texts; rows with a null text, id or
+    language are left out. Only expected counts by language and piece reach
+    the driver: their number is bounded by languages and vocabulary. Without
+    rows the model has no language and answers "und". Repeated rows count as
+    often as they stand there.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     path = vocabulary_path(vocabulary)
     size = len(load_pieces(path))
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
-    found = known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(most_languages).collect()
-    languages = sorted(r["l"] for r in found)
+    known = known.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1_000_000)).alias("h"))
+    shares = scratch.keep(known.groupBy("lang").agg(F.least(F.lit(1_000_000), F.floor(1_000_000.0 * fit_rows / F.count("*")) + 1).alias("share")))
+    languages = sorted(r["lang"] for r in shares.select("lang").collect())
     if not languages:
-        return LanguageModel([], np.zeros((size + 1, 0)), path)
-    shares = {r["l"]: min(1_000_000, int(1_000_000 * fit_rows / r["n"]) + 1) for r in found}
-    share = F.coalesce(*[F.when(F.col(lang) == name, F.lit(shares[name])) for name in languages])
-    sample = known.filter(F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1_000_000)) < share).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+        return LanguageModel([], np.stack([background({}, path)], axis=1), path)
+    sample = known.join(shares, "lang").filter("h < share").select("lang", "text")
     words = sample.mapInPandas(_count_words, "lang string, word string, n long")
     words = scratch.keep(words.groupBy("lang", "word").agg(F.sum("n").alias("n")))
     table = np.full((size + 1, len(languages)), 1.0 / size)
     table[-1] = UNKNOWN
     for _ in range(rounds):
-        counts = _expected_counts(words, languages, table, path, vocabulary)
-        table = counts + SMOOTHING
+        table = _expected_counts(words, languages, table, path, vocabulary) + SMOOTHING
         table[-1] = 0
         table /= table.sum(axis=0)
         table[-1] = UNKNOWN
-    scratch.drop(words)
-    return LanguageModel(languages, table, path)
+    counted = words.mapInPandas(_count_letters(vocabulary), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    scratch.drop(words, shares)
+    return LanguageModel(languages, np.column_stack((table, background({r["piece"]: r["n"] for r in counted}, path))), path)
+
+
+def _count_letters(vocabulary: str):
+    """Pieces of one character in all words, with the blank before each."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        letters = letter_pieces(vocabulary_path(vocabulary))
+        for batch in batches:
+            counts: Counter = Counter()
+            for word, n in zip(batch["word"], batch["n"], strict=True):
+                for c in BLANK + word:
+                    if c in letters:
+                        counts[letters[c]] += n
+            yield pd.DataFrame({"piece": list(counts), "n": [float(n) for n in counts.values()]}).astype({"piece": "int32", "n": "float64"})
+
+    return run
 
 
 def _expected_counts(words: DataFrame, languages: list[str], table: np.ndarray, path: str, vocabulary: str) -> np.ndarray:
@@ -244,9 +307,7 @@ def _expected_counts(words: DataFrame, languages: list[str], table: np.ndarray,
         counts: dict[tuple[int, int], float] = {}
         for batch in batches:
             for lang, word, n in zip(batch["lang"], batch["word"], batch["n"], strict=True):
-                at = place.get(lang)
-                if at is None:
-                    continue
+                at = place[lang]
                 for piece, expected in model.expected(word, at).items():
                     counts[at, piece] = counts.get((at, piece), 0.0) + n * expected
         if counts:
@@ -258,15 +319,14 @@ def _expected_counts(words: DataFrame, languages: list[str], table: np.ndarray,
     return out
 
 
-_MODELS: dict[int, tuple] = {}
-
-
 def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into: str = "language") -> DataFrame:
     """Adds the struct column `into`: lang_pred and score (0 to 1).
 
     The score is the probability of the language among those learned, each as
-    likely before. Null texts and texts without a letter are "und" with score
-    0; ties go to the first language by name. Whole texts are scored. A column
+    likely before, and the background, a millionth as likely: near 0 for gibberish and for scripts
+    that no language was learned from. Null texts and texts without a letter
+    are "und" with score 0; ties go to the first language by name. Whole texts
+    are scored, repeated rows alike; an empty table stays empty. A column
     named `into` is replaced. No shuffle.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.table))
@@ -274,11 +334,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", into:
 
     @F.pandas_udf("lang_pred string, score double")
     def judged(texts: pd.Series) -> pd.DataFrame:
-        value = shared.value
-        if id(value) not in _MODELS:  # once in each Python worker
-            _MODELS.clear()
-            _MODELS[id(value)] = (value, LanguageModel(*value, vocabulary_path(vocabulary)))
-        own = _MODELS[id(value)][1]
+        value = shared.value  # kept beside the model, so that no other value gets its id
+        own = held(("languages", id(value)), lambda: (value, LanguageModel(*value, vocabulary_path(vocabulary))))[1]
         out: list[tuple[str, float]] = []
         part: list[str | None] = []
         size = 0
@@ -299,7 +356,12 @@ def held_out(doc_id: str = "doc_id", parts: int = 5):
 
 
 def drop_unidentified(docs: DataFrame, model: LanguageModel, *, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Documents with a language of score `least` or more; columns as given."""
-    judged = identify(docs, model, text=text, into="__language")
-    kept = judged.filter((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= least))
-    return kept.drop("__language")
+    """Documents with a language of score `least` or more; columns as given.
+
+    Null texts, texts without a letter, gibberish and scripts that were not
+    learned go.
+    """
+    (into,) = unused(docs, "__language")
+    judged = identify(docs, model, text=text, into=into)
+    kept = judged.filter((F.col(f"{into}.lang_pred") != UNDETERMINED) & (F.col(f"{into}.score") >= least))
+    return kept.drop(into)
