@@ -21,14 +21,13 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Scratch
+from tidewell.llm.common import Scratch, held, unused
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 0
@@ -41,6 +40,8 @@ class WordTokenizer:
 
     The tokenizer drops white space and never merges across it, so the ids of
     a text are those of its stretches between white space, one after another.
+    With `specials`, names of special tokens in a text become their ids, as in
+    the library by default; without, they are ordinary text.
     """
 
     #: Characters whose lower case is one composed character: ASCII and Latin-1 letters.
@@ -51,11 +52,13 @@ class WordTokenizer:
     SEEN = (*range(33, 127), *range(161, 173), *range(174, 256))
     BYTES = {b: b for b in SEEN} | {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(SEEN)))}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not specials
+        added = self.tokenizer.get_added_tokens_decoder().values() if specials else ()
+        self.marks = {t.content[:2] for t in added}  # how special tokens begin
         self.stretches: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -83,7 +86,8 @@ class WordTokenizer:
         if not text:
             return b""
         # str.split() also splits at the four separators below; the tokenizer does not.
-        if not unicodedata.is_normalized("NFC", text) or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        odd = any(c in text for c in "\x1c\x1d\x1e\x1f") or any(m in text for m in self.marks)
+        if odd or not unicodedata.is_normalized("NFC", text):
             return self._exact(text)
         words = text.split()
         known = self.stretches
@@ -101,16 +105,12 @@ class WordTokenizer:
         return b"".join(found)
 
 
-@lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
-def _tokenize(vocabulary: str, limit: int, with_ids: bool):
+def _tokenize(vocabulary: str, limit: int, with_ids: bool, specials: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tidewell.llm.vocabulary import vocabulary_path
 
-        tokenizer = word_tokenizer(vocabulary_path(vocabulary))
+        path = vocabulary_path(vocabulary)
+        tokenizer = held(("words", path, specials), lambda: WordTokenizer(path, specials))
         end = array("I", [END_ID]).tobytes()
         for batch in batches:
             rows = []
@@ -133,16 +133,18 @@ def _pieces(rows: list[tuple]) -> pd.DataFrame:
     return frame.astype({"doc": "Int64"})
 
 
-def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = 2048, with_ids: bool = True) -> DataFrame:
+def token_pieces(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = 2048, with_ids: bool = True, specials: bool = False) -> DataFrame:
     """(doc, piece, start, length, ids_crc32, ids): a row for each piece of each row of docs.
 
     A document is its ids and the end id; null and empty texts are the end id
     alone. Documents of more than `limit` ids are cut into pieces of `limit`,
     of which the last may be shorter. ids is packed little-endian unsigned
-    32-bit numbers, null unless `with_ids`.
+    32-bit numbers, null unless `with_ids`. A null id is kept; repeated rows
+    have pieces of their own; an empty table has none. With `specials`, names
+    of special tokens in a text become their ids, else they are text.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    return rows.mapInPandas(_tokenize(vocabulary, limit, with_ids), "doc long, piece int, start long, length long, ids_crc32 long, ids binary")
+    return rows.mapInPandas(_tokenize(vocabulary, limit, with_ids, specials), "doc long, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 @dataclass(frozen=True)
@@ -220,17 +222,11 @@ def plan_bins(histogram: dict[int, int], capacity: Capacity = Capacity(), *, by:
     return np.array(runs, np.int64).reshape(-1, 5)
 
 
-_PLANS: dict[int, tuple] = {}
-
-
 def _place(shared):
     @F.pandas_udf("sequence_id long, offset long")
     def placed(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
         runs = shared.value  # sorted by length, then rank
-        if id(runs) not in _PLANS:
-            _PLANS.clear()
-            _PLANS[id(runs)] = (runs, runs[:, 0] * (1 << 44) + runs[:, 1])
-        starts = _PLANS[id(runs)][1]
+        starts = held(("runs", id(runs)), lambda: (runs, runs[:, 0] * (1 << 44) + runs[:, 1]))[1]
         length, rank = lengths.to_numpy(np.int64), ranks.to_numpy(np.int64)
         at = np.searchsorted(starts, length * (1 << 44) + rank, "right") - 1
         return pd.DataFrame({"sequence_id": runs[at, 3] + rank - runs[at, 1], "offset": runs[at, 4]})
@@ -244,8 +240,8 @@ def pack(pieces: DataFrame, *, capacity: Capacity = Capacity(), length: str = "l
     Only the histogram of lengths reaches the driver, at most one row for each
     length up to the capacity. Ranks are dealt in groups of about `group`
     pieces of one length, so a length that many pieces share is many groups.
-    Equal pieces (repeated rows) get places of their own. Lengths must be 1 or
-    more and fit the capacity. `pieces` should be a written table: it is read
+    Equal pieces (repeated rows) get places of their own; an empty table stays
+    empty. Lengths must be 1 or more and fit the capacity. `pieces` should be a written table: it is read
     three times and must be the same each time.
     """
     spark = pieces.sparkSession
@@ -255,22 +251,26 @@ def pack(pieces: DataFrame, *, capacity: Capacity = Capacity(), length: str = "l
     runs = runs[np.lexsort((runs[:, 1], runs[:, 0]))]
     shared = spark.sparkContext.broadcast(runs)
     salts = [max(1, -(-histogram.get(i, 0) // group)) for i in range(capacity.tokens + 1)]
-    salt = F.pmod(F.xxhash64(*order), F.get(F.lit(salts), F.col(length).cast("int")))
-    salted = pieces.withColumn("__salt", salt)
-    sizes = salted.groupBy(F.col(length).alias("__l"), F.col("__salt").alias("__s")).agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("__l").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = scratch.keep(sizes.select("__l", "__s", F.coalesce(before, F.lit(0)).alias("__before")))
-    ranked = salted.join(sizes, (F.col(length) == F.col("__l")) & (F.col("__salt") == F.col("__s")))
-    within = Window.partitionBy("__l", "__s").orderBy(*order)
-    ranked = ranked.withColumn("__rank", F.col("__before") + F.row_number().over(within) - 1)
-    placed = ranked.withColumn("__at", _place(shared)(F.col(length), F.col("__rank")))
-    placed = placed.withColumn("sequence_id", F.col("__at.sequence_id")).withColumn("offset", F.col("__at.offset"))
-    return placed.drop("__salt", "__l", "__s", "__before", "__rank", "__at")
-
-
-def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: Capacity = Capacity(), with_ids: bool = True, **options) -> DataFrame:
-    """token_pieces() of docs, packed: every piece with its sequence and offset."""
+    salt, l, s, before, rank, at = unused(pieces, "__salt", "__l", "__s", "__before", "__rank", "__at")
+    salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*order), F.get(F.lit(salts), F.col(length).cast("int"))))
+    sizes = salted.groupBy(F.col(length).alias(l), F.col(salt).alias(s)).agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(l).orderBy(s).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = scratch.keep(sizes.select(l, s, F.coalesce(ahead, F.lit(0)).alias(before)))
+    ranked = salted.join(sizes, (F.col(length) == F.col(l)) & (F.col(salt) == F.col(s)))
+    within = Window.partitionBy(l, s).orderBy(*order)
+    ranked = ranked.withColumn(rank, F.col(before) + F.row_number().over(within) - 1)
+    placed = ranked.withColumn(at, _place(shared)(F.col(length), F.col(rank)))
+    placed = placed.withColumn("sequence_id", F.col(f"{at}.sequence_id")).withColumn("offset", F.col(f"{at}.offset"))
+    return placed.drop(salt, l, s, before, rank, at)
+
+
+def pack_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, capacity: Capacity = Capacity(), with_ids: bool = True, specials: bool = False, **options) -> DataFrame:
+    """token_pieces() of docs, packed: every piece with its sequence and offset.
+
+    With the default capacity documents and cost never bind before the tokens
+    do: a sequence of 2048 tokens has at most 2048 documents and 2048 ** 2 cost.
+    """
     scratch = Scratch(docs.sparkSession)
-    pieces = token_pieces(docs, doc_id=doc_id, text=text, vocabulary=vocabulary, limit=capacity.tokens, with_ids=with_ids)
+    pieces = token_pieces(docs, doc_id=doc_id, text=text, vocabulary=vocabulary, limit=capacity.tokens, with_ids=with_ids, specials=specials)
     pieces = scratch.keep(pieces if with_ids else pieces.drop("ids"))
     return pack(pieces, capacity=capacity, scratch=scratch, **options)
