@@ -3,7 +3,8 @@
 Every rule is a regular expression with literal tokens that any matching URL
 must contain. Rules are filed under the one of their tokens that the fewest
 URLs contain; the tokens of a URL fetch its candidate rules, and only those
-run. DataFrame functions only; no shuffle of the pages.
+run. DataFrame functions only. A few rules are part of the plan, without a
+shuffle of the pages; many are a table that is joined on the token.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import Scratch, unused
+
 TOKEN = r"[^a-z0-9]+"
 
 
@@ -111,27 +114,56 @@ def _candidates(target: Column, rules: tuple[Rule, ...], filed: dict[str, str])
     return F.concat(fetched, always)
 
 
-def judge_urls(pages: DataFrame, *, url: str = "url", rules: tuple[Rule, ...] = RULES, otherwise: str = "allow", most_rules: int = 5000, into: str = "judged") -> DataFrame:
+def _rule_row(rule: Rule) -> tuple:
+    return rule.name, len(rule.name) + (1_000_000 if rule.explicit else 0), rule.verdict, rule.explicit, rule.pattern, list(rule.tokens)
+
+
+def rule_table(urls: DataFrame, target: Column, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rules that have tokens, each under the token that the fewest of all URLs contain; ties as in rarest_tokens."""
+    spark = urls.sparkSession
+    listed = spark.createDataFrame([_rule_row(r) for r in rules if r.tokens], "name string, rank int, verdict string, explicit boolean, pattern string, tokens array<string>")
+    each = listed.withColumn("token", F.explode("tokens")).drop("tokens")
+    counted = urls.select(F.explode(url_tokens(target)).alias("token")).join(each.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("seen"))
+    row = F.struct(F.coalesce("seen", F.lit(0)), -F.length("token"), "token")
+    filed = each.join(counted, "token", "left").groupBy("name", "rank", "verdict", "explicit", "pattern").agg(F.min(row).alias("at"))
+    return filed.select(F.col("at.token").alias("token"), "rank", "name", "verdict", "explicit", "pattern")
+
+
+def _best_by_join(pages: DataFrame, target: Column, rules: tuple[Rule, ...], scratch: Scratch) -> DataFrame:
+    """(target, best): the rule of every distinct target that one with a token fits."""
+    filed = scratch.keep(rule_table(pages, target, rules))
+    asked = pages.select(target.alias("target")).distinct().select("target", F.explode(url_tokens(F.col("target"))).alias("token"))
+    fits = asked.join(filed, "token").filter(F.regexp_like("target", F.col("pattern")))
+    return fits.groupBy("target").agg(F.max(F.struct("rank", "name", "verdict", "explicit")).alias("best"))
+
+
+def judge_urls(pages: DataFrame, *, url: str = "url", rules: tuple[Rule, ...] = RULES, otherwise: str = "allow", in_plan: int = 1000, into: str = "judged") -> DataFrame:
     """Adds the struct column `into`: host, path, rule, matched, verdict.
 
     rule is the longest explicit (host) rule that fits, else null; matched is
     the name of the rule that gave the verdict, of whatever kind; where none
-    fits the verdict is `otherwise`. Null URLs and URLs without :// have an empty host and
-    path. The rules are part of the plan: more than `most_rules` are refused.
-    A column named `into` is replaced.
+    fits the verdict is `otherwise`. Null URLs and URLs without :// have an
+    empty host and path. Repeated rows are judged alike; an empty table stays
+    empty; URLs are whole, of any length. More than `in_plan` rules go as a
+    table, with the same result. A column named `into` is replaced, all others
+    stay as they are.
     """
-    if len(rules) > most_rules:
-        raise ValueError(f"{len(rules)} rules; at most {most_rules} fit into a plan")
+    host, path, best, other = unused(pages, "__host", "__path", "__best", "__target")
+    parts = pages.withColumn(host, host_of(F.col(url))).withColumn(path, path_of(F.col(url)))
+    both = F.concat(F.col(host), F.col(path))
     target = F.concat(host_of(F.col(url)), path_of(F.col(url)))
-    filed = rarest_tokens(pages, target, rules)
-    parts = pages.withColumn("__host", host_of(F.col(url))).withColumn("__path", path_of(F.col(url)))
-    both = F.concat("__host", "__path")
-    fits = F.filter(_candidates(both, rules, filed), lambda r: F.regexp_like(both, r["pattern"]))
-    best = F.array_max(F.transform(fits, lambda r: F.struct(r["rank"], r["name"], r["verdict"], r["explicit"])))
-    parts = parts.withColumn("__best", best)
+    few = len(rules) <= in_plan
+    inside = rules if few else tuple(r for r in rules if not r.tokens)
+    fits = F.filter(_candidates(both, inside, rarest_tokens(pages, target, inside) if few else {}), lambda r: F.regexp_like(both, r["pattern"]))
+    top = F.array_max(F.transform(fits, lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["verdict"].alias("verdict"), r["explicit"].alias("explicit"))))
+    if few:
+        parts = parts.withColumn(best, top)
+    else:
+        found = _best_by_join(pages, target, rules, Scratch(pages.sparkSession)).withColumnsRenamed({"target": other, "best": best})
+        parts = parts.join(found, both == F.col(other), "left").withColumn(best, F.greatest(F.col(best), top)).drop(other)
     result = F.struct(
-        F.col("__host").alias("host"), F.col("__path").alias("path"),
-        F.when(F.col("__best.explicit"), F.col("__best.name")).alias("rule"),
-        F.col("__best.name").alias("matched"),
-        F.coalesce("__best.verdict", F.lit(otherwise)).alias("verdict"))
-    return parts.withColumn(into, result).drop("__host", "__path", "__best")
+        F.col(host).alias("host"), F.col(path).alias("path"),
+        F.when(F.col(f"{best}.explicit"), F.col(f"{best}.name")).alias("rule"),
+        F.col(f"{best}.name").alias("matched"),
+        F.coalesce(f"{best}.verdict", F.lit(otherwise)).alias("verdict"))
+    return parts.withColumn(into, result).drop(host, path, best)
