@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import Scratch, let, row_key
+from tidewell.llm.common import Scratch, let, row_key, unused
 
 #: A line with a word: anything but ASCII white space.
 HAS_WORD = r"[^\x20\x09-\x0D]"
@@ -117,23 +117,24 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     found = repeated_chunks(docs, doc_id=doc_id, text=text, spread=spread, least=least, whole=whole)
     # The numbers of the removed lines, in order, each once.
     gone = F.sort_array(F.array_distinct(F.flatten(F.transform("gone", lambda c: F.sequence(c["first"], c["first"] + c["n"] - 1)))))
-    found = found.select(F.col("doc").alias("__doc"), F.col("key").alias("__key"), gone.alias("__gone"))
-    joined = docs.join(found.hint("merge"), (F.col(doc_id).cast("long") == F.col("__doc")) & (row_key(text) == F.col("__key")), "left")
+    doc, key, out = unused(docs, "__doc", "__key", "__gone")
+    found = found.select(F.col("doc").alias(doc), F.col("key").alias(key), gone.alias(out))
+    joined = docs.join(found.hint("merge"), (F.col(doc_id).cast("long") == F.col(doc)) & (row_key(text) == F.col(key)), "left")
     lines = F.split(F.col(text), "\n")
 
     def rest(ls: Column) -> Column:
         # What lies between the removed lines, in order.
-        edges = F.concat(F.array(F.lit(0)), F.transform("__gone", lambda i: i + 1))
-        stops = F.concat("__gone", F.array(F.size(ls)))
+        edges = F.concat(F.array(F.lit(0)), F.transform(out, lambda i: i + 1))
+        stops = F.concat(out, F.array(F.size(ls)))
         parts = F.filter(F.zip_with(edges, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"))), lambda p: p["b"] > p["a"])
         return F.array_join(F.transform(parts, lambda p: F.array_join(_part(ls, p["a"], p["b"] - p["a"]), "\n")), "\n")
 
     kept = let(lines, rest)
     result = F.struct(
         F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_removed"),
-        F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept).alias("kept"))
-    return joined.withColumn(into, result).drop("__doc", "__key", "__gone")
+        F.when(F.col(out).isNull(), 0).otherwise(F.size(out)).cast("long").alias("n_removed"),
+        F.when(F.col(out).isNull(), F.col(text)).otherwise(kept).alias("kept"))
+    return joined.withColumn(into, result).drop(doc, key, out)
 
 
 def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -141,6 +142,7 @@ def drop_repeated_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
 
     Documents that had no word before stay as they are. Columns as given.
     """
-    done = dedup_lines(docs, doc_id=doc_id, text=text, into="__lines", **options)
-    left = (F.col("__lines.n_removed") == 0) | F.col("__lines.kept").rlike(HAS_WORD)
-    return done.filter(left).withColumn(text, F.col("__lines.kept")).select(*docs.columns)
+    (into,) = unused(docs, "__lines")
+    done = dedup_lines(docs, doc_id=doc_id, text=text, into=into, **options)
+    left = (F.col(f"{into}.n_removed") == 0) | F.col(f"{into}.kept").rlike(HAS_WORD)
+    return done.filter(left).withColumn(text, F.col(f"{into}.kept")).select(*docs.columns)

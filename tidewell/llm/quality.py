@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import SPACES, Scratch, let
+from tidewell.llm.common import SPACES, Scratch, let, unused
 
 WINDOW = 8
 
@@ -223,11 +223,10 @@ def _prune(rows: DataFrame, rule: tuple[Threshold, ...]) -> tuple[Threshold, ...
     return shorter[max(range(len(shorter)), key=lambda i: worth[i])]
 
 
-def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the struct columns __stats and __feat."""
+def with_features(docs: DataFrame, text: str = "text", into: str = "__both") -> DataFrame:
+    """docs with the struct column `into`: s (the statistics) and f (the features)."""
     # The statistics are used many times over: bound once, then read.
-    stats = docs.withColumn("__both", let(text_statistics(F.col(text)), lambda s: F.struct(s.alias("s"), F.struct(*[make(s).cast("double").alias(name) for name, make in FEATURES.items()]).alias("f"))))
-    return stats.withColumn("__stats", F.col("__both.s")).withColumn("__feat", F.col("__both.f")).drop("__both")
+    return docs.withColumn(into, let(text_statistics(F.col(text)), lambda s: F.struct(s.alias("s"), F.struct(*[make(s).cast("double").alias(name) for name, make in FEATURES.items()]).alias("f"))))
 
 
 def learn_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", fit_rows: int = 20_000, **options) -> DecisionList:
@@ -239,8 +238,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     scratch = Scratch(docs.sparkSession)
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(quality).isNotNull())
     known = known.select(F.col(doc_id).alias("__id"), (F.col(quality) == 0).alias("bad")).orderBy(F.xxhash64("__id"), "__id").limit(fit_rows)
-    chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
-    rows = with_features(chosen, "__text").select("__feat.*", "bad")
+    chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")  # fit_rows bounds it
+    rows = with_features(chosen, "__text").select("__both.f.*", "bad")
     return fit_decision_list(scratch.keep(rows), **options)
 
 
@@ -248,11 +247,13 @@ def judge_quality(docs: DataFrame, rules: DecisionList, *, text: str = "text", i
     """Adds the struct column `into`: the statistics, base_failed and kept.
 
     Base rules: fewer than 20 words, or over 30 % of the words in repeated
-    windows of 8 words. Null and empty texts have no words and fail. A column
-    named `into` is replaced. No shuffle.
+    windows of 8 words. Null and empty texts have no words and fail; repeated
+    rows are judged alike and an empty table stays empty. Texts are whole, of
+    any length. A column named `into` is replaced, all others stay. No shuffle.
     """
-    rated = with_features(docs, text)
-    s = F.col("__stats")
+    (both,) = unused(docs, "__both")
+    rated = with_features(docs, text, both)
+    s = F.col(f"{both}.s")
     failed = (s["n_words"] < 20) | (100 * s["n_repeat_words"] > 30 * s["n_words"])
-    result = F.struct(s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["lines"]["dup"].alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), (~failed & ~rules.bad("__feat.")).alias("kept"))
-    return rated.withColumn(into, result).drop("__stats", "__feat")
+    result = F.struct(s["n_words"].alias("n_words"), s["word_chars"].alias("word_chars"), s["n_symbols"].alias("n_symbols"), s["lines"]["dup"].alias("n_dup_lines"), s["n_repeat_words"].alias("n_repeat_words"), failed.alias("base_failed"), (~failed & ~rules.bad(f"{both}.f.")).alias("kept"))
+    return rated.withColumn(into, result).drop(both)

@@ -18,12 +18,12 @@ bounded memory of recent stretches saves work on frequent words.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.llm.common import held
 from tidewell.llm.vocabulary import BLANK, DEFAULT_VOCABULARY, load_pieces, piece_automaton, vocabulary_path
 
 #: Score of an unknown piece, less than the lowest of the vocabulary.
@@ -111,23 +111,23 @@ class UnigramCounter:
         return tokens, score
 
 
-@lru_cache(maxsize=2)
-def unigram_counter(path: str) -> UnigramCounter:
-    return UnigramCounter(path)
-
-
 def count_tokens(docs: DataFrame, text: str = "text", *, vocabulary: str = DEFAULT_VOCABULARY, into: str = "tokens") -> DataFrame:
     """Adds the struct column `into` (n_tokens long, score double) to every row.
 
     `vocabulary` is a public vocabulary's name or path; it is read on the
     executors. Null and empty texts have 0 tokens and score 0. A column of the
-    name `into` is replaced; all others stay as they are. No shuffle.
+    name `into` is replaced; all others stay as they are. Repeated rows are
+    counted alike, an empty table stays empty, and texts are whole, of any
+    length. Equal scores go by the tokenizer's rule above. All pieces match as
+    ordinary text, those named like control or byte pieces (<s>, <0x41>) too.
+    No shuffle.
     """
     path = vocabulary if "/" in vocabulary else None
 
     @F.pandas_udf("n_tokens long, score double")
     def counted(texts: pd.Series) -> pd.DataFrame:
-        counter = unigram_counter(path or vocabulary_path(vocabulary))
+        place = path or vocabulary_path(vocabulary)
+        counter = held(("unigrams", place), lambda: UnigramCounter(place))
         return pd.DataFrame([counter.count(t) for t in texts], columns=["n_tokens", "score"])
 
     return docs.withColumn(into, counted(F.col(text).cast("string")))
