@@ -152,13 +152,16 @@ def link_fingerprints(prints: DataFrame, *, crowd: int = 64, emit: int = 20_000,
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= ERRORS
     distinct = scratch.keep(prints.select(F.col("fingerprint").alias("f")).distinct())
     tasks = max(1, -(-distinct.count() // emit))
-    keyed = scratch.keep(distinct.repartition(tasks, "f").mapInPandas(_keyed, "f long, key long"))
-    ends = keyed.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.count("*").alias("n")).filter("n > 1")
-    shared = scratch.keep(keyed.join(ends, "key"))  # members of shared buckets alone
-    scratch.drop(keyed)
+    # Keys are made twice, once to be counted and once for the members of shared ones, and not stored.
+    keyed = distinct.repartition(tasks, "f").mapInPandas(_keyed, "f long, key long")
+    counted = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+    shared = scratch.keep(keyed.join(counted, "key"))
+    scratch.drop(counted)
 
+    ends = shared.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
     to_lo, to_hi = (F.col("f") != F.col("lo")) & near("f", "lo"), (F.col("f") != F.col("hi")) & near("f", "hi")
-    star = shared.select("f", F.explode(F.array_compact(F.array(F.when(to_lo, F.col("lo")), F.when(to_hi, F.col("hi"))))).alias("v"))
+    star = shared.join(ends, (shared["key"] == ends["key"]) & (to_lo | to_hi))  # only verified links leave the join
+    star = star.select("f", F.explode(F.array_compact(F.array(F.when(to_lo, F.col("lo")), F.when(to_hi, F.col("hi"))))).alias("v"))
     star = star.select(F.col("f").alias("u"), "v").distinct()
     groups = scratch.keep(connected_components(star, scratch=scratch).withColumnRenamed("node", "f"))
     first = scratch.keep(distinct.join(groups, "f", "left").select("f", F.coalesce("component", "f").alias("g")))
