@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import GramHasher, Scratch, covered, sliding_min, unused, word_bounds
+from tidewell.llm.common import GramHasher, Scratch, sliding_min, unused, word_bounds
 
 #: A-Z become a-z; every ASCII character that is no letter or digit becomes a space.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -115,22 +115,12 @@ def _met_windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [(size, s) for size, first, count in sorted((m["size"], m["first"], m["count"]) for m in met) for s in range(first, first + count)]
             for at in range(0, len(rows), 20_000):
                 part = rows[at : at + 20_000]
-                yield pd.DataFrame({"key": [key] * len(part), "size": [size for size, _ in part], "start": [s for _, s in part], "words": [joined[starts[s] : ends[s + size - 1]].decode() for size, s in part]})
+                yield pd.DataFrame({"key": [key] * len(part), "n": len(starts), "size": [size for size, _ in part], "start": [s for _, s in part], "words": [joined[starts[s] : ends[s + size - 1]].decode() for size, s in part]})
 
 
-def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, limit: int = 8 << 20, into: str = "overlap") -> DataFrame:
-    """Adds the struct column `into`: n_words, n_hit, item_ids, starts and sizes of hit windows.
-
-    With a benchmark of more than `limit` bytes every join sorts and merges;
-    below, Spark may broadcast tables that its own limit allows. Rows are the
-    same either way. Null texts and texts without words have no words and no hits; items of a null id count as hits
-    but are not listed; equal items count one by one. Repeated rows get equal
-    results; an empty table of documents gives none, an empty benchmark no
-    hits. Texts are whole, of any length. A column named `into` is replaced;
-    all others stay as they are.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+def contaminated_texts(docs: DataFrame, bench: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, limit: int = 8 << 20) -> DataFrame:
+    """(key, n_words, n_hit, spans, ids) of every distinct text with a hit; key is text_key()."""
+    scratch = Scratch(docs.sparkSession)
     size = bench.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
     how = lambda df: df.hint("merge") if size > limit else df
 
@@ -148,51 +138,77 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text",
 
     # Their windows, compared by words.
     near = texts.join(how(met), "key").dropDuplicates(["key"]).select("key", "text", "met")
-    near = near.mapInPandas(_met_windows, "key binary, size int, start long, words string")
-    hits = scratch.keep(near.join(how(words), ["size", "words"]).select("key", "size", "start", "words", "items"))
-    spans = hits.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
+    near = near.mapInPandas(_met_windows, "key binary, n long, size int, start long, words string")
+    hits = scratch.keep(near.join(how(words), ["size", "words"]).select("key", "n", "size", "start", "words", "items"))
+    spans = hits.groupBy("key").agg(F.first("n").alias("n_words"), F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
     listed = hits.filter("items > 0").select("key", "size", "words").distinct().join(how(known.filter("item is not null").select("size", "words", "item")), ["size", "words"])
     listed = listed.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("ids"))
-    found = scratch.keep(spans.join(listed, "key", "left"))
+    found = scratch.keep(spans.join(listed, "key", "left").select("key", "n_words", _union_length("spans").alias("n_hit"), "spans", "ids"))
     scratch.drop(prints, words, met, hits, known)
+    return found
+
+
+def _union_length(spans: str) -> Column:
+    """Words in any of the sorted spans (start, size)."""
+    start = F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("n"))
+
+    def step(seen: Column, s: Column) -> Column:
+        end = s["start"] + s["size"]
+        return F.struct(F.greatest(seen["end"], end).alias("end"), (seen["n"] + F.greatest(F.lit(0).cast("long"), end - F.greatest(seen["end"], s["start"]))).alias("n"))
+
+    return F.aggregate(spans, start, step)["n"]
+
 
-    key, other, at, ids = unused(docs, "__key", "__other", "__spans", "__ids")
-    found = found.select(F.col("key").alias(other), F.col("spans").alias(at), F.col("ids").alias(ids))
-    joined = docs.withColumn(key, text_key(text)).join(how(found), F.col(key) == F.col(other), "left")
+def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text", places: bool = True, into: str = "overlap", **options) -> DataFrame:
+    """Adds the struct column `into`: n_words, n_hit, item_ids, starts and sizes of hit windows.
+
+    With a benchmark of more than `limit` bytes every join sorts and merges;
+    below, Spark may broadcast tables that its own limit allows. Rows are the
+    same either way. Null texts and texts without words have no words and no
+    hits; items of a null id count as hits but are not listed; equal items
+    count one by one. Repeated rows get equal results; an empty table of
+    documents gives none, an empty benchmark no hits. Texts are whole, of any
+    length. Without `places` starts and sizes are empty. A column named `into`
+    is replaced; all others stay as they are.
+    """
+    found = contaminated_texts(docs, bench, text=text, **options)
+    if not places:  # a narrow table, that more often fits a broadcast
+        found = Scratch(docs.sparkSession).keep(found.select("key", "n_hit", "ids"))
+    key, other, hit, at, ids = unused(docs, "__key", "__other", "__hit", "__spans", "__ids")
+    found = found.select(F.col("key").alias(other), F.col("n_hit").alias(hit), F.col("ids").alias(ids), *[F.col("spans").alias(at)] * places)
+    joined = docs.withColumn(key, text_key(text)).join(found, F.col(key) == F.col(other), "left")
+    joined = joined.withColumn(key, _count_words()(F.col(text)))
     none = F.array().cast("array<long>")
-    counts = _counted()(F.col(text), F.col(f"{at}.start"), F.col(f"{at}.size"))
-    joined = joined.withColumn(key, counts)
+    part = lambda c: F.coalesce(F.col(f"{at}.{c}").cast("array<long>"), none) if places else none
     result = F.struct(
-        F.col(f"{key}.n_words").alias("n_words"), F.col(f"{key}.n_hit").alias("n_hit"), F.coalesce(F.col(ids), F.array().cast("array<string>")).alias("item_ids"),
-        F.coalesce(F.col(f"{at}.start"), none).alias("starts"), F.coalesce(F.col(f"{at}.size").cast("array<long>"), none).alias("sizes"))
+        F.col(key).alias("n_words"), F.coalesce(F.col(hit), F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.col(ids), F.array().cast("array<string>")).alias("item_ids"),
+        part("start").alias("starts"), part("size").alias("sizes"))
     return joined.withColumn(into, result).select(*[c for c in docs.columns if c != into], into)
 
 
-def _counted():
-    """Words of a text, and those in its hit windows."""
-
-    @F.pandas_udf("n_words long, n_hit long")
-    def counted(texts: pd.Series, starts: pd.Series, sizes: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, at, size in zip(texts, starts, sizes, strict=True):
-            joined = fold_words(text)
-            n = joined.count(b" ") + 1 if joined else 0
-            out.append((n, 0 if at is None else int(covered(n, np.asarray(at), np.asarray(size)).sum())))
-        return pd.DataFrame(out, columns=["n_words", "n_hit"]).astype("int64")
+def _count_words():
+    @F.pandas_udf("long")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([joined.count(b" ") + 1 if (joined := fold_words(t)) else 0 for t in texts], dtype="int64")
 
     return counted.asNondeterministic()  # once for each row, also below a filter
 
 
-def drop_contaminated(docs: DataFrame, bench: DataFrame, *, share: float = 0.05, **options) -> DataFrame:
+def drop_contaminated(docs: DataFrame, bench: DataFrame, *, text: str = "text", share: float = 0.05, **options) -> DataFrame:
     """Documents of which less than `share` of the words is hit; columns as given.
 
-    A document without a hit always stays; so do null and empty texts.
+    A document without a hit always stays; so do null and empty texts. Only
+    the keys of texts that go are joined with the documents.
     """
-    (into,) = unused(docs, "__overlap")
-    found = find_contamination(docs, bench, into=into, **options)
-    return found.filter(~contaminated(into, share)).drop(into)
+    (key,) = unused(docs, "__key")
+    found = contaminated_texts(docs, bench, text=text, **options).filter(_too_much(F.col("n_hit"), F.col("n_words"), share))
+    gone = Scratch(docs.sparkSession).keep(found.select(F.col("key").alias(key)))
+    return docs.join(gone, text_key(text) == F.col(key), "left_anti")
+
+
+def contaminated(overlap: str = "overlap", share: float = 0.05) -> Column:
+    return _too_much(F.col(f"{overlap}.n_hit"), F.col(f"{overlap}.n_words"), share)
 
 
-def contaminated(overlap: str = "overlap", share: float = 0.05):
-    part = round(1 / share)
-    return (F.col(f"{overlap}.n_hit") > 0) & (part * F.col(f"{overlap}.n_hit") >= F.col(f"{overlap}.n_words"))
+def _too_much(hit: Column, words: Column, share: float) -> Column:
+    return (hit > 0) & (round(1 / share) * hit >= words)

@@ -19,7 +19,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), places=False)
     ids = F.array_sort("overlap.item_ids")
     return found.select("doc_id", "overlap.n_words", "overlap.n_hit", F.size(ids).cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
