@@ -3,6 +3,10 @@
 Frames count rows, not time, and never cross symbols. "Expanding" indicators
 have a value from the first row on; "strict" ones are null until their window
 is full. The several kinds of RSI and bands are kept apart on purpose.
+
+Row frames work inside the given keys: in_blocks() runs one or more of them on
+blocks of a series, so that a long one is many tasks. Recurrences go in blocks
+of their own accord, or share those they are called in.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.series import linear_recurrence, series_index
+from tidewell.operators.series import decayed_sums, in_blocks, recurrence_halo, series_index
 from tidewell.operators.stats import pearson
 
 KEYS = ("symbol",)
@@ -33,9 +37,9 @@ def add_sma(df: DataFrame, col: str, n: int, *, order=("date",), keys=KEYS, into
     return df.withColumn(into or f"sma_{n}", F.avg(col).over(frame(n, order, keys)))
 
 
-def historical_sma(daily: DataFrame, periods=(20, 50, 200), col: str = "avg_close") -> DataFrame:
+def historical_sma(daily: DataFrame, periods=(20, 50, 200), col: str = "avg_close", *, order=("date",), keys=KEYS) -> DataFrame:
     """Expanding averages over several periods: one exchange and one sort for all."""
-    return daily.select("*", *[F.avg(col).over(frame(n)).alias(f"sma_{n}") for n in periods])
+    return daily.select("*", *[F.avg(col).over(frame(n, order, keys)).alias(f"sma_{n}") for n in periods])
 
 
 def add_bollinger(df: DataFrame, col: str = "avg_close", n: int = 20, k: float = 2.0, *, order=("date",), keys=KEYS) -> DataFrame:
@@ -90,45 +94,76 @@ def rsi_wilder(df: DataFrame, col: str = "avg_close", n: int = 14, guard: float
 
     Null for the first n rows; 100 where the mean loss is 0.
     """
-    rows = _moves(_indexed(df, order, keys), col, order, keys)
-    first = frame(n, order, keys)
-    term = lambda c: F.when(F.col("i") == n, F.avg(c).over(first)).when(F.col("i") > n, F.col(c) / n)
-    rows = linear_recurrence(rows, (n - 1) / n, {"__up": term("__gain"), "__down": term("__loss")}, keys=keys)
-    strength = F.when(F.col("__down") > 0, F.col("__up") / (F.col("__down") + guard))
-    value = F.when(F.col("__down") > 0, 100 - 100 / (1 + strength)).otherwise(100.0)
-    return rows.withColumn(into or f"rsi_{n}", F.when(F.col("i") >= n, value)).drop("__change", "__gain", "__loss", "__up", "__down")
+    decay = (n - 1) / n
+
+    def add(rows: DataFrame, within) -> DataFrame:
+        first = frame(n, order, within)
+        term = lambda c: F.when(F.col("i") == n, F.avg(c).over(first)).when(F.col("i") > n, F.col(c) / n)
+        rows = decayed_sums(_moves(rows, col, order, within), {"__up": decay, "__down": decay}, {"__up": term("__gain"), "__down": term("__loss")}, within)
+        strength = F.when(F.col("__down") > 0, F.col("__up") / (F.col("__down") + guard))
+        value = F.when(F.col("__down") > 0, 100 - 100 / (1 + strength)).otherwise(100.0)
+        return rows.withColumn(into or f"rsi_{n}", F.when(F.col("i") >= n, value)).drop("__change", "__gain", "__loss", "__up", "__down")
+
+    return in_blocks(_indexed(df, order, keys), recurrence_halo(decay) + n, add, decays=(decay,), keys=keys)
 
 
 def rsi_ewm(df: DataFrame, col: str = "avg_close", n: int = 14, *, order=("date",), keys=KEYS) -> DataFrame:
     """RSI from adjusted exponential weights: each mean is a ratio of two recurrences. Null for the first n rows."""
-    rows = _moves(_indexed(df, order, keys), col, order, keys)
-    real = lambda c: F.when(F.col("i") >= 1, c)
-    rows = linear_recurrence(rows, (n - 1) / n, {"__up": real(F.col("__gain")), "__down": real(F.col("__loss")), "__weight": real(F.lit(1.0))}, keys=keys)
-    strength = F.try_divide(F.col("__up"), F.col("__weight")) / (F.try_divide(F.col("__down"), F.col("__weight")) + 1e-6)
-    return rows.withColumn(f"rsi_{n}", F.when(F.col("i") >= n, 100 - 100 / (1 + strength))).drop("__change", "__gain", "__loss", "__up", "__down", "__weight")
+    decay = (n - 1) / n
+
+    def add(rows: DataFrame, within) -> DataFrame:
+        real = lambda c: F.when(F.col("i") >= 1, c)
+        terms = {"__up": real(F.col("__gain")), "__down": real(F.col("__loss")), "__weight": real(F.lit(1.0))}
+        rows = decayed_sums(_moves(rows, col, order, within), dict.fromkeys(terms, decay), terms, within)
+        strength = F.try_divide(F.col("__up"), F.col("__weight")) / (F.try_divide(F.col("__down"), F.col("__weight")) + 1e-6)
+        return rows.withColumn(f"rsi_{n}", F.when(F.col("i") >= n, 100 - 100 / (1 + strength))).drop("__change", "__gain", "__loss", "__up", "__down", "__weight")
+
+    return in_blocks(_indexed(df, order, keys), recurrence_halo(decay) + 1, add, decays=(decay,), keys=keys)
+
+
+def _emas(rows: DataFrame, spans: dict[str, int], col: str, start: int, order, keys) -> DataFrame:
+    """Exponential means of several spans within a block, in one pass; null before their seeds."""
+    alpha = {name: 2 / (span + 1) for name, span in spans.items()}
+    seed = {name: start + span - 1 for name, span in spans.items()}
+    term = lambda k: F.when(F.col("i") == seed[k], F.avg(col).over(frame(spans[k], order, keys))).when(F.col("i") > seed[k], alpha[k] * F.col(col))
+    rows = decayed_sums(rows, {k: 1 - a for k, a in alpha.items()}, {k: term(k) for k in spans}, keys)
+    return rows.withColumns({k: F.when(F.col("i") >= seed[k], F.col(k)) for k in spans})
+
+
+def _span_halo(*spans: int) -> int:
+    """Rows before a block that count in exponential means of means."""
+    return sum(recurrence_halo(1 - 2 / (span + 1)) + span for span in spans)
+
+
+def _span_decays(*spans: int) -> tuple[float, ...]:
+    return tuple(1 - 2 / (span + 1) for span in spans)
 
 
 def ema(df: DataFrame, span: int, col: str = "avg_close", *, start: int = 0, order=("date",), keys=KEYS, into: str | None = None) -> DataFrame:
     """Exponential mean, begun with the plain mean of `span` rows from row `start` on; null before."""
     into = into or f"ema_{span}"
-    rows = _indexed(df, order, keys)
-    alpha, seed = 2 / (span + 1), start + span - 1
-    term = F.when(F.col("i") == seed, F.avg(col).over(frame(span, order, keys))).when(F.col("i") > seed, alpha * F.col(col))
-    rows = linear_recurrence(rows, 1 - alpha, {into: term}, keys=keys)
-    return rows.withColumn(into, F.when(F.col("i") >= seed, F.col(into)))
+    add = lambda rows, within: _emas(rows, {into: span}, col, start, order, within)
+    return in_blocks(_indexed(df, order, keys), _span_halo(span), add, decays=_span_decays(span), keys=keys)
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, *, col: str = "avg_close", order=("date",), keys=KEYS) -> DataFrame:
     """MACD line, its signal (an exponential mean of the line from its first value) and histogram."""
-    rows = ema(ema(df, fast, col, order=order, keys=keys, into="__fast"), slow, col, order=order, keys=keys, into="__slow")
-    rows = rows.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
-    rows = ema(rows, signal, "macd", start=max(fast, slow) - 1, order=order, keys=keys, into="macd_signal")
-    return rows.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+
+    def add(rows: DataFrame, within) -> DataFrame:
+        rows = _emas(rows, {"__fast": fast, "__slow": slow}, col, 0, order, within)
+        rows = rows.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
+        rows = _emas(rows, {"macd_signal": signal}, "macd", max(fast, slow) - 1, order, within)
+        return rows.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+
+    return in_blocks(_indexed(df, order, keys), _span_halo(max(fast, slow), signal), add, decays=_span_decays(fast, slow, signal), keys=keys)
 
 
 def macd_norm(df: DataFrame, *, col: str = "avg_close", order=("date",), keys=KEYS) -> DataFrame:
-    rows = ema(ema(df, 12, col, order=order, keys=keys, into="__fast"), 26, col, order=order, keys=keys, into="__slow")
-    return rows.withColumn("macd_norm", (F.col("__fast") - F.col("__slow")) / (F.col(col) + 1e-10)).drop("__fast", "__slow")
+    def add(rows: DataFrame, within) -> DataFrame:
+        rows = _emas(rows, {"__fast": 12, "__slow": 26}, col, 0, order, within)
+        return rows.withColumn("macd_norm", (F.col("__fast") - F.col("__slow")) / (F.col(col) + 1e-10)).drop("__fast", "__slow")
+
+    return in_blocks(_indexed(df, order, keys), _span_halo(26), add, decays=_span_decays(12, 26), keys=keys)
 
 
 def log_return(df: DataFrame, k: int = 1, *, col: str = "avg_close", order=("date",), keys=KEYS, into: str = "log_return") -> DataFrame:
@@ -195,12 +230,22 @@ def rolling_corr(pairs: DataFrame, n: int, *, x: str = "x", y: str = "y", order=
 
 
 def acf(df: DataFrame, col: str, lags: int = 20, *, index: str = "i", keys=KEYS) -> DataFrame:
-    """Autocorrelation at lags 0 to `lags`, with the band of 1.96 / sqrt(n): an equi-join on shifted row numbers."""
-    rows = df.filter(F.col(col).isNotNull()).select(*keys, F.col(index).alias("i"), F.col(col).alias("v"))
-    moments = rows.groupBy(*keys).agg(F.avg("v").alias("m"), F.count("*").alias("n"), F.var_pop("v").alias("var"))
+    """Autocorrelation at lags 0 to `lags`, with the band of 1.96 / sqrt(n).
+
+    Products with the rows before are summed in one pass over blocks; only
+    sums by series leave it. Row numbers must be dense; null values pair with nothing.
+    """
+    rows = df.select(*keys, F.col(index).alias("i"), F.col(col).cast("double").alias("v"))
+    moments = rows.groupBy(*keys).agg(F.avg("v").alias("m"), F.count("v").alias("n"), F.var_pop("v").alias("var")).filter("n > 0")
     centred = rows.join(moments.select(*keys, "m"), list(keys)).select(*keys, "i", (F.col("v") - F.col("m")).alias("d"))
-    shifted = centred.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"), "i", "d").select(*keys, "lag", (F.col("i") + F.col("lag")).alias("i"), F.col("d").alias("e"))
-    summed = shifted.join(centred, [*keys, "i"]).groupBy(*keys, "lag").agg(F.sum(F.col("d") * F.col("e")).alias("s"))
+
+    def add(part: DataFrame, within) -> DataFrame:
+        w = Window.partitionBy(*within).orderBy("i")
+        return part.select("*", *[(F.col("d") * F.lag("d", k).over(w)).alias(f"p_{k}") for k in range(lags + 1)])
+
+    sums = in_blocks(centred, lags, add, keys=keys).groupBy(*keys).agg(*[F.sum(f"p_{k}").alias(f"p_{k}") for k in range(lags + 1)])
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"p_{k}").alias("s")) for k in range(lags + 1)]))
+    summed = sums.select(*keys, each.alias("x")).select(*keys, "x.lag", "x.s").filter("s is not null")
     joined = summed.join(moments, list(keys))
     return joined.select(*keys, "lag", F.try_divide("s", F.col("n") * F.col("var")).alias("acf"), (1.96 / F.sqrt("n")).alias("band"))
 
@@ -213,9 +258,11 @@ def actual_direction(daily: DataFrame, band: float = 0.01, *, col: str = "avg_cl
 
 
 def technical_view(sma: DataFrame, n: int) -> DataFrame:
-    """The last n rows of each symbol, then RSI, bands, MACD and candles within them."""
+    """The last n rows of each symbol, then RSI, bands, MACD and candles within them, in one pass."""
     from tidewell.sources.sinks import last_rows
 
-    rows = series_index(last_rows(sma, n))
-    rows = macd(bollinger_strict(rsi_wilder(rows, guard=0.0)))
-    return candles(rows, widen=False)
+    def add(rows: DataFrame, within) -> DataFrame:
+        rows = macd(bollinger_strict(rsi_wilder(rows, guard=0.0, keys=within), keys=within), keys=within)
+        return candles(rows, keys=within, widen=False)
+
+    return in_blocks(series_index(last_rows(sma, n)), _span_halo(26, 9), add, decays=(13 / 14, *_span_decays(12, 26, 9)))

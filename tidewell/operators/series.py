@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: The key that blocks of a series add to its own.
+BLOCK = "__block"
+#: Rows of a block, unless powers of a decay set a bound.
+ROWS = 4096
+#: A weight of exp(-NEGLIGIBLE) is nothing to a double; powers within a block stay below exp(RANGE).
+NEGLIGIBLE, RANGE = 42.0, 600.0
+
 
 def series_index(df: DataFrame, time: str = "date", *, keys: tuple[str, ...] = ("symbol",), ties: tuple[str, ...] = (), into: str = "i", bucket: str = "month") -> DataFrame:
     """Adds a dense 0-based row number in each series.
@@ -23,44 +30,62 @@ def series_index(df: DataFrame, time: str = "date", *, keys: tuple[str, ...] = (
     return rows.join(offsets, [*keys, "__bucket"]).withColumn(into, F.col("__offset") + local - 1).drop("__bucket", "__offset")
 
 
-def recurrence_block(a: float) -> int:
-    """Rows of a block: powers of 1/a stay below 1e12 in it."""
-    return max(2, int(27.6 / -math.log(a)))
+def halo_partition(df: DataFrame, n: int, add: Callable[[DataFrame, tuple[str, ...]], DataFrame], *, blocks: int = ROWS, ahead: int = 0, index: str = "i", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """add(rows, keys) run on blocks of a series instead of on whole series.
+
+    The n - 1 rows before each block and the `ahead` rows after it are copied
+    into it, so row frames of up to n rows see all they need; the copies are
+    dropped afterwards.
+    """
+    own = F.expr(f"{index} div {blocks}")
+    reach = F.sequence(F.expr(f"greatest({index} - {ahead}, 0) div {blocks}"), F.expr(f"({index} + {n - 1}) div {blocks}"))
+    spread = df.withColumn(BLOCK, F.explode(reach))
+    return add(spread, (*keys, BLOCK)).filter(F.col(BLOCK) == own).drop(BLOCK)
+
 
+def recurrence_halo(a: float) -> int:
+    """Rows before a block that still count in a recurrence of decay a."""
+    return math.ceil(NEGLIGIBLE / -math.log(a)) + 1
 
-def linear_recurrence(df: DataFrame, a: float, terms: dict[str, Column], *, keys: tuple[str, ...] = ("symbol",), index: str = "i") -> DataFrame:
-    """Adds y with y[i] = a * y[i-1] + x[i] for each output name and term x; 0 < a < 1, y[-1] = 0.
 
-    A block scan: inside a block the sum of x[j] * a**-j is a window sum; the
-    last row of each block carries over to the blocks after it. The weight of
-    a block is below 1e-11, so three blocks back lie far below the precision
-    of a double. Null terms count as 0; rows before the first are no rows.
+def in_blocks(df: DataFrame, halo: int, add: Callable[[DataFrame, tuple[str, ...]], DataFrame], *, ahead: int = 0, decays: Iterable[float] = (), order: tuple[str, ...] = ("date",), keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """add(rows, keys) on blocks of rows, each with the `halo` rows before it and the `ahead` rows after it.
+
+    A row number i is used if df has one, and added for add() if not. Inside
+    a block (keys has it already) add() runs at once, so that several
+    indicators share one exchange. `decays` are those of the recurrences in
+    add(); their powers bound a block.
     """
-    size = recurrence_block(a)
-    block, offset = F.expr(f"{index} div {size}"), F.expr(f"{index} % {size}")
-    rows = df.select("*", block.alias("__block"), offset.cast("double").alias("__o"), *[F.coalesce(x, F.lit(0.0)).alias(f"__x_{n}") for n, x in terms.items()])
-    w = Window.partitionBy(*keys, "__block").orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
-    power = F.pow(F.lit(a), F.col("__o"))
-    local = [(power * F.sum(F.col(f"__x_{n}") * F.pow(F.lit(a), -F.col("__o"))).over(w)).alias(f"__l_{n}") for n in terms]
-    rows = rows.select("*", *local)
-    ends = rows.filter(F.col("__o") == size - 1)
-    steps = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a ** (size * (k - 1))).alias("w")) for k in (1, 2, 3)]))
-    carried = ends.select(*keys, "__block", *[f"__l_{n}" for n in terms], steps.alias("s"))
-    carried = carried.groupBy(*keys, (F.col("__block") + F.col("s.k")).alias("__block")).agg(*[F.sum(F.col(f"__l_{n}") * F.col("s.w")).alias(f"__c_{n}") for n in terms])
-    joined = rows.join(carried, [*keys, "__block"], "left")
-    out = {n: F.col(f"__l_{n}") + a * power * F.coalesce(F.col(f"__c_{n}"), F.lit(0.0)) for n in terms}
-    made = joined.select("*", *[c.alias(f"__y_{n}") for n, c in out.items()])
-    keep = [c for c in df.columns if c not in terms]
-    return made.select(*keep, *[F.col(f"__y_{n}").alias(n) for n in terms])
-
-
-def halo_partition(df: DataFrame, n: int, add: Callable[[DataFrame, tuple[str, ...]], DataFrame], *, blocks: int = 4096, index: str = "i", keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """add(rows, keys) run on blocks of a series instead of on whole series.
+    if BLOCK in keys:
+        return add(df, keys)
+    numbered = "i" in df.columns
+    rows = df if numbered else series_index(df, order[0], keys=keys, ties=tuple(order[1:]))
+    most = min((int(RANGE / -math.log(a)) - halo - ahead for a in decays), default=max(ROWS, 4 * (halo + ahead)))
+    if most < 1:
+        raise ValueError("decays too far apart for one pass")
+    made = halo_partition(rows, halo + 1, add, blocks=min(most, max(ROWS, 4 * (halo + ahead))), ahead=ahead, keys=keys)
+    return made if numbered else made.drop("i")
+
+
+def decayed_sums(rows: DataFrame, decays: dict[str, float], terms: dict[str, Column], keys: tuple[str, ...], index: str = "i") -> DataFrame:
+    """Adds y with y[i] = a * y[i-1] + x[i] within a block: the sum of x[j] * a**-j, times a**i, numbered from its first row."""
+    w = Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, 0)
+    at = (F.col(index) - F.first(index).over(w)).cast("double")
+    rows = rows.select("*", at.alias("__o"), *[F.coalesce(x, F.lit(0.0)).alias(f"__x_{n}") for n, x in terms.items()])
+    power = lambda n, sign: F.pow(F.lit(decays[n]), sign * F.col("__o"))
+    sums = {n: power(n, 1) * F.sum(F.col(f"__x_{n}") * power(n, -1)).over(w) for n in terms}
+    rest = [c for c in rows.columns if c not in terms and c != "__o" and not c.startswith("__x_")]
+    return rows.select(*rest, *[y.alias(n) for n, y in sums.items()])
+
 
-    The last n - 1 rows of each block are copied into the next, so row frames
-    of up to n rows see all they need; the copies are dropped afterwards.
+def linear_recurrence(df: DataFrame, a: float | dict[str, float], terms: dict[str, Column], *, keys: tuple[str, ...] = ("symbol",), index: str = "i") -> DataFrame:
+    """Adds y with y[i] = a * y[i-1] + x[i] for each output name and term x; 0 < a < 1, y[-1] = 0.
+
+    `a` is one decay or that of each name; all share one exchange. Blocks of
+    rows are summed apart, each from as many rows before it as still count in
+    a double. Null terms count as 0; rows before the first are no rows.
     """
-    own = F.expr(f"{index} div {blocks}")
-    also = F.when(F.col(index) % blocks > blocks - n, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = df.withColumn("__block", F.explode(also))
-    return add(spread, (*keys, "__block")).filter(F.col("__block") == own).drop("__block")
+    decays = a if isinstance(a, dict) else dict.fromkeys(terms, a)
+    rows = df if index == "i" else df.withColumn("i", F.col(index))
+    made = in_blocks(rows, recurrence_halo(max(decays.values())), lambda part, within: decayed_sums(part, decays, terms, within), decays=decays.values(), keys=keys)
+    return made if index == "i" else made.drop("i")

@@ -86,11 +86,16 @@ def backtest_windows(daily: DataFrame, pred: DataFrame, h: int, *, seed: int = 6
     return found
 
 
+def _exact_mean(column: str, places: int):
+    """Mean of numbers of so many decimal places, from their exact sum: the same in any order of rows."""
+    return F.sum(F.col(column).cast(f"decimal(38,{places})")).cast("double") / F.count(column)
+
+
 def backtest(windows: DataFrame) -> DataFrame:
     """Means over the windows of each symbol."""
     return windows.groupBy("symbol").agg(
-        F.count("*").alias("n_windows"), F.round(F.avg("rmse"), 2).alias("rmse_mean"), F.round(F.avg("mae"), 2).alias("mae_mean"),
-        F.round(F.avg("mean_err_pct"), 3).alias("mean_err_pct"), F.round(F.avg(F.col("dir_correct").cast("double")) * 100, 1).alias("dir_acc_pct"),
+        F.count("*").alias("n_windows"), F.round(_exact_mean("rmse", 2), 2).alias("rmse_mean"), F.round(_exact_mean("mae", 2), 2).alias("mae_mean"),
+        F.round(_exact_mean("mean_err_pct", 3), 3).alias("mean_err_pct"), F.round(F.avg(F.col("dir_correct").cast("double")) * 100, 1).alias("dir_acc_pct"),
     )
 
 
@@ -115,9 +120,11 @@ def evaluate_days(pred: DataFrame, ticks: DataFrame, daily: DataFrame, days: Dat
     wanted = days.select("symbol", "date").distinct()
     both = wanted.unionByName(wanted.select("symbol", F.date_sub("date", 1).alias("date")))
     prices = actual_price(ticks, daily, both)
-    now = prices.select("symbol", "date", "actual_price")
-    before = prices.select("symbol", F.date_add("date", 1).alias("date"), F.col("actual_price").alias("previous_price"))
-    joined = wanted.join(newest, ["symbol", "date"], "left").join(now, ["symbol", "date"], "left").join(before, ["symbol", "date"], "left")
+    # The price of the day before stands in the row before, if that is of that day.
+    w = Window.partitionBy("symbol").orderBy("date")
+    before = F.when(F.lag("date").over(w) == F.date_sub("date", 1), F.lag("actual_price").over(w))
+    both = prices.select("symbol", "date", "actual_price", before.alias("previous_price"))
+    joined = wanted.join(newest, ["symbol", "date"], "left").join(both, ["symbol", "date"], "left")
     reason = F.when(F.col("predicted_price").isNull(), "no_prediction").when(F.col("actual_price").isNull(), "no_actual_price")
     return accuracy_metrics(joined).withColumn("reason", reason)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import indicators as ind
 from tidewell.operators.lookup import attach_aux
-from tidewell.operators.series import series_index
+from tidewell.operators.series import in_blocks, recurrence_halo, series_index
 from tidewell.sources.sinks import last_rows
 
 #: Order of the feature columns.
@@ -22,14 +22,18 @@ def build_features(daily: DataFrame, aux: DataFrame | None = None, *, keys=("sym
     A missing auxiliary index is 0.5.
     """
     rows = daily if "i" in daily.columns else series_index(daily, keys=keys)
-    at = {"keys": keys}
-    rows = ind.log_return(rows, into="log_return_1d", **at)
-    rows = ind.momentum(rows, 30, into="momentum_30d", **at)
-    rows = ind.realized_vol(rows, 14, col="log_return_1d", into="realized_vol_14d", **at)
-    rows = ind.bb_pct_b(rows, **at)
-    rows = ind.atr_proxy(ind.log_volume(rows), col="log_return_1d")
-    rows = ind.rsi_wilder(rows, into="rsi_14", **at)
-    rows = ind.macd_norm(rows, **at)
+
+    def add(part: DataFrame, within) -> DataFrame:
+        at = {"keys": within}
+        part = ind.log_return(part, into="log_return_1d", **at)
+        part = ind.momentum(part, 30, into="momentum_30d", **at)
+        part = ind.realized_vol(part, 14, col="log_return_1d", into="realized_vol_14d", **at)
+        part = ind.bb_pct_b(part, **at)
+        part = ind.atr_proxy(ind.log_volume(part), col="log_return_1d")
+        part = ind.rsi_wilder(part, into="rsi_14", **at)
+        return ind.macd_norm(part, **at)
+
+    rows = in_blocks(rows, recurrence_halo(13 / 14) + 30, add, decays=(13 / 14, 11 / 13, 25 / 27), keys=keys)
     rows = attach_aux(rows, aux) if aux is not None else rows.withColumn("fear_greed", F.lit(0.5))
     return rows.select(*keys, "date", "i", "avg_close", *FEATURES)
 
@@ -134,7 +138,12 @@ def fold_features(folds: DataFrame) -> DataFrame:
 
 def planned_features(daily: DataFrame) -> DataFrame:
     """The smaller planned set: VWAP, two averages, RSI and the day's range."""
-    rows = ind.add_rsi(ind.historical_sma(ind.add_vwap(daily), (20, 50)))
+
+    def add(rows: DataFrame, keys) -> DataFrame:
+        rows = ind.add_vwap(rows, keys=keys)
+        return ind.add_rsi(ind.historical_sma(rows, (20, 50), keys=keys), keys=keys)
+
+    rows = in_blocks(daily, 60, add)
     return rows.withColumn("range_share", F.try_divide(F.col("daily_high") - F.col("daily_low"), F.col("daily_low")))
 
 

@@ -26,17 +26,17 @@ def strict(value: str, n: int, of: str = "avg_close", order: str = "date") -> st
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(f'avg(avg_close) OVER {W(10)} AS sma_10')} FROM daily")
 def sma(spark, sf):
-    return ind.add_sma(daily(spark, sf), "avg_close", 10).select("symbol", "date", "sma_10")
+    return series.in_blocks(daily(spark, sf), 10, lambda rows, keys: ind.add_sma(rows, "avg_close", 10, keys=keys)).select("symbol", "date", "sma_10")
 
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6('avg_close', *[f'avg(avg_close) OVER {W(n)} AS sma_{n}' for n in (20, 50, 200)])} FROM daily")
 def historical_sma(spark, sf):
-    return ind.historical_sma(daily(spark, sf)).select("symbol", "date", "avg_close", "sma_20", "sma_50", "sma_200")
+    return series.in_blocks(daily(spark, sf), 200, lambda rows, keys: ind.historical_sma(rows, keys=keys)).select("symbol", "date", "avg_close", "sma_20", "sma_50", "sma_200")
 
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(f'avg(avg_close) OVER {W(20)} AS bb_mid', f'avg(avg_close) OVER {W(20)} + 2 * stddev_samp(avg_close) OVER {W(20)} AS bb_upper', f'avg(avg_close) OVER {W(20)} - 2 * stddev_samp(avg_close) OVER {W(20)} AS bb_lower')} FROM daily")
 def bollinger(spark, sf):
-    return ind.add_bollinger(daily(spark, sf)).select("symbol", "date", "bb_mid", "bb_upper", "bb_lower")
+    return series.in_blocks(daily(spark, sf), 20, lambda rows, keys: ind.add_bollinger(rows, keys=keys)).select("symbol", "date", "bb_mid", "bb_upper", "bb_lower")
 
 
 _STRICT = {"bb_mid": f"avg(avg_close) OVER {W(20)}", "bb_upper": f"avg(avg_close) OVER {W(20)} + 2 * stddev_pop(avg_close) OVER {W(20)}", "bb_lower": f"avg(avg_close) OVER {W(20)} - 2 * stddev_pop(avg_close) OVER {W(20)}"}
@@ -44,7 +44,7 @@ _STRICT = {"bb_mid": f"avg(avg_close) OVER {W(20)}", "bb_upper": f"avg(avg_close
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(*[f'{strict(v, 20)} AS {k}' for k, v in _STRICT.items()])} FROM daily")
 def bollinger_strict(spark, sf):
-    return ind.bollinger_strict(daily(spark, sf)).select("symbol", "date", *_STRICT)
+    return series.in_blocks(daily(spark, sf), 20, lambda rows, keys: ind.bollinger_strict(rows, keys=keys)).select("symbol", "date", *_STRICT)
 
 
 _PCT_B = f"CASE WHEN stddev_pop(avg_close) OVER {W(20)} > 1e-10 THEN (avg_close - (avg(avg_close) OVER {W(20)} - 2 * stddev_pop(avg_close) OVER {W(20)})) / (4 * stddev_pop(avg_close) OVER {W(20)}) ELSE 0.5 END"
@@ -52,12 +52,12 @@ _PCT_B = f"CASE WHEN stddev_pop(avg_close) OVER {W(20)} > 1e-10 THEN (avg_close
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(f'{strict(_PCT_B, 20)} AS bb_pct_b')} FROM daily")
 def bb_pct_b(spark, sf):
-    return ind.bb_pct_b(daily(spark, sf)).select("symbol", "date", "bb_pct_b")
+    return series.in_blocks(daily(spark, sf), 20, lambda rows, keys: ind.bb_pct_b(rows, keys=keys)).select("symbol", "date", "bb_pct_b")
 
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(f'sum(avg_close * total_volume) OVER {W(60)} / (sum(total_volume) OVER {W(60)} + 1e-6) AS vwap')} FROM daily")
 def vwap(spark, sf):
-    return ind.add_vwap(daily(spark, sf)).select("symbol", "date", "vwap")
+    return series.in_blocks(daily(spark, sf), 60, lambda rows, keys: ind.add_vwap(rows, keys=keys)).select("symbol", "date", "vwap")
 
 
 def moves(source: str, col: str = "avg_close", order: str = "i") -> str:
@@ -73,25 +73,27 @@ def rsi_expanding(order: str) -> str:
 
 @query(f"WITH {NUMBERED}, {moves('numbered')} SELECT symbol, {day()}, {r6(rsi_expanding('i') + ' AS rsi_14')} FROM moves")
 def rsi(spark, sf):
-    return ind.add_rsi(daily(spark, sf)).select("symbol", "date", "rsi_14")
+    return series.in_blocks(daily(spark, sf), 15, lambda rows, keys: ind.add_rsi(rows, keys=keys)).select("symbol", "date", "rsi_14")
 
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(*[f'ln(avg_close / lag(avg_close, {k}) OVER {BY_DATE}) AS lr_{k}' for k in (1, 7, 30)])} FROM daily")
 def log_return(spark, sf):
-    rows = daily(spark, sf)
-    for k in (1, 7, 30):
-        rows = ind.log_return(rows, k, into=f"lr_{k}")
-    return rows.select("symbol", "date", "lr_1", "lr_7", "lr_30")
+    def add(rows, keys):
+        for k in (1, 7, 30):
+            rows = ind.log_return(rows, k, into=f"lr_{k}", keys=keys)
+        return rows
+
+    return series.in_blocks(daily(spark, sf), 30, add).select("symbol", "date", "lr_1", "lr_7", "lr_30")
 
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(strict(f'avg_close / (avg(avg_close) OVER {W(30)} + 1e-10) - 1', 30) + ' AS momentum')} FROM daily")
 def momentum(spark, sf):
-    return ind.momentum(daily(spark, sf)).select("symbol", "date", "momentum")
+    return series.in_blocks(daily(spark, sf), 30, lambda rows, keys: ind.momentum(rows, keys=keys)).select("symbol", "date", "momentum")
 
 
 @query(f"WITH {RETURNS} SELECT symbol, {day()}, {r6(strict(f'stddev_samp(log_return) OVER {W(14)}', 14, 'log_return') + ' AS realized_vol')} FROM returns")
 def realized_vol(spark, sf):
-    return ind.realized_vol(ind.log_return(daily(spark, sf))).select("symbol", "date", "realized_vol")
+    return series.in_blocks(daily(spark, sf), 15, lambda rows, keys: ind.realized_vol(ind.log_return(rows, keys=keys), keys=keys)).select("symbol", "date", "realized_vol")
 
 
 _AHEAD = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)"
@@ -99,24 +101,24 @@ _AHEAD = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 7 FOLL
 
 @query(f"WITH {RETURNS} SELECT symbol, {day()}, {r6(f'CASE WHEN count(log_return) OVER {_AHEAD} = 7 THEN stddev_samp(log_return) OVER {_AHEAD} END AS forward_vol')} FROM returns")
 def forward_vol(spark, sf):
-    return ind.forward_vol(ind.log_return(daily(spark, sf))).select("symbol", "date", "forward_vol")
+    return series.in_blocks(daily(spark, sf), 1, lambda rows, keys: ind.forward_vol(ind.log_return(rows, keys=keys), keys=keys), ahead=7).select("symbol", "date", "forward_vol")
 
 
 @query(f"WITH {RETURNS} SELECT symbol, {day()}, {r6('abs(log_return) AS atr_norm', 'coalesce(ln(CASE WHEN total_volume > 100 THEN total_volume END + 1), 0.0) AS log_volume')} FROM returns")
 def atr_and_log_volume(spark, sf):
-    rows = ind.log_return(daily(spark, sf)).withColumn("total_volume", F.when(F.col("total_volume") > 100, F.col("total_volume")))
+    rows = series.in_blocks(daily(spark, sf), 1, lambda part, keys: ind.log_return(part, keys=keys)).withColumn("total_volume", F.when(F.col("total_volume") > 100, F.col("total_volume")))
     return ind.log_volume(ind.atr_proxy(rows)).select("symbol", "date", "atr_norm", "log_volume")
 
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(f'coalesce(lag(avg_close) OVER {BY_DATE}, avg_close) AS open', 'avg_close * 1.001 AS high', 'avg_close * 0.999 AS low', 'avg_close AS close')} FROM daily")
 def simulate_ohlc(spark, sf):
-    return ind.simulate_ohlc(daily(spark, sf)).select("symbol", "date", "open", "high", "low", "close")
+    return series.in_blocks(daily(spark, sf), 1, lambda rows, keys: ind.simulate_ohlc(rows, keys=keys)).select("symbol", "date", "open", "high", "low", "close")
 
 
 @query(f"""WITH {DAILY}, o AS (SELECT *, coalesce(lag(avg_close) OVER {BY_DATE}, avg_close) AS open FROM daily)
  SELECT symbol, {day()}, {r6('open', 'greatest(open, avg_close, daily_high) AS high', 'least(open, avg_close, daily_low) AS low', 'avg_close AS close')} FROM o""")
 def candles(spark, sf):
-    return ind.candles(daily(spark, sf)).select("symbol", "date", "open", "high", "low", "close")
+    return series.in_blocks(daily(spark, sf), 1, lambda rows, keys: ind.candles(rows, keys=keys)).select("symbol", "date", "open", "high", "low", "close")
 
 
 _BAND = {"roll_mean": f"avg(avg_close) OVER {W(30)}", "roll_upper": f"avg(avg_close) OVER {W(30)} + stddev_samp(avg_close) OVER {W(30)}", "roll_lower": f"avg(avg_close) OVER {W(30)} - stddev_samp(avg_close) OVER {W(30)}"}
@@ -124,7 +126,7 @@ _BAND = {"roll_mean": f"avg(avg_close) OVER {W(30)}", "roll_upper": f"avg(avg_cl
 
 @query(f"WITH {DAILY} SELECT symbol, {day()}, {r6(*[f'{strict(v, 30)} AS {k}' for k, v in _BAND.items()])} FROM daily")
 def rolling_band(spark, sf):
-    return ind.rolling_band(daily(spark, sf)).select("symbol", "date", *_BAND)
+    return series.in_blocks(daily(spark, sf), 30, lambda rows, keys: ind.rolling_band(rows, keys=keys)).select("symbol", "date", *_BAND)
 
 
 @query(f"""WITH {DAILY}, t AS (SELECT *, max(avg_close) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM daily)
@@ -153,7 +155,7 @@ def acf(spark, sf):
 
 @query(f"WITH {RETURNS} SELECT symbol, {day()}, CASE WHEN log_return > 0.01 THEN 'UP' WHEN log_return < -0.01 THEN 'DOWN' WHEN log_return IS NOT NULL THEN 'FLAT' END AS actual_direction FROM returns")
 def actual_direction(spark, sf):
-    return ind.actual_direction(daily(spark, sf)).select("symbol", "date", "actual_direction")
+    return series.in_blocks(daily(spark, sf), 1, lambda rows, keys: ind.actual_direction(rows, keys=keys)).select("symbol", "date", "actual_direction")
 
 
 # -- recurrences ---------------------------------------------------------------------

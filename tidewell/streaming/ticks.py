@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewell.operators import indicators as ind
 from tidewell.operators.clean import price_alerts
+from tidewell.operators.series import in_blocks
 from tidewell.sources.sinks import upsert_table
 
 LATENESS = "10 minutes"
@@ -48,10 +49,14 @@ def flatten_window(df: DataFrame) -> DataFrame:
 
 def enrich_batch(df: DataFrame) -> DataFrame:
     """SMA-5 and -20, RSI-14, VWAP-60 and Bollinger-20 of one batch; its first rows have short windows."""
-    at = {"order": ORDER}
-    rows = ind.add_sma(ind.add_sma(df, "price", 5, **at), "price", 20, **at)
-    rows = ind.add_vwap(ind.add_rsi(rows, "price", 14, **at), "price", "volume", LOOK_BACK, **at)
-    return ind.add_bollinger(rows, "price", 20, 2.0, **at)
+
+    def add(rows: DataFrame, keys) -> DataFrame:
+        at = {"order": ORDER, "keys": keys}
+        rows = ind.add_sma(ind.add_sma(rows, "price", 5, **at), "price", 20, **at)
+        rows = ind.add_vwap(ind.add_rsi(rows, "price", 14, **at), "price", "volume", LOOK_BACK, **at)
+        return ind.add_bollinger(rows, "price", 20, 2.0, **at)
+
+    return in_blocks(df, LOOK_BACK, add, order=ORDER)
 
 
 ENRICHED = ("sma_5", "sma_20", "rsi_14", "vwap", "bb_mid", "bb_upper", "bb_lower")
