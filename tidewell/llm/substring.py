@@ -168,17 +168,18 @@ def repeated_spans(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     hits = scratch.keep(placed.join(grams, "gram"))
     scratch.drop(grams)
     sure = hits.filter("not branches")
-    origin = sure.filter("doc = source").groupBy("gram").agg(F.min(F.struct("key", "first")).alias("at"))
+    # Both sides of these joins are plain tables, so that Spark can split a hot key.
+    origin = scratch.keep(sure.filter("doc = source").groupBy("gram").agg(F.min(F.struct("key", "first")).alias("at")))
     sure = sure.filter("doc > source").join(origin, "gram").select("doc", "key", "first", "edges", F.col("source").alias("sdoc"), F.col("at.key").alias("skey"), F.col("at.first").alias("sfirst"))
 
     single = hits.filter("branches").groupBy("doc", "key").agg(F.collect_set(F.struct("first", "edges")).alias("open"))
     edges = usable.join(single, ["doc", "key"]).select("doc", "key", "text", "open")
     edges = scratch.keep(edges.mapInPandas(_edges(window, bits), "gram long, b long, doc long, key long, first int"))
-    sources = edges.groupBy("gram", "b").agg(F.min(F.struct("doc", "key", "first")).alias("at"), F.max("doc").alias("last")).filter("at.doc < last").drop("last")
+    sources = scratch.keep(edges.groupBy("gram", "b").agg(F.min(F.struct("doc", "key", "first")).alias("at"), F.max("doc").alias("last")).filter("at.doc < last").drop("last"))
     late = edges.join(sources, ["gram", "b"]).filter("doc > at.doc")
     late = late.select("doc", "key", "first", F.lit(1).alias("edges"), F.col("at.doc").alias("sdoc"), F.col("at.key").alias("skey"), F.col("at.first").alias("sfirst"))
     runs = scratch.keep(compact(sure.unionByName(late)))
-    scratch.drop(hits, edges)
+    scratch.drop(hits, edges, origin, sources)
 
     # The words of each span against those of its source.
     there = runs.select(F.col("sdoc").alias("doc"), F.col("skey").alias("key"), F.col("sfirst").alias("first"), "edges")
