@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,15 +18,24 @@ def persistence_forecast(daily: DataFrame, h: int, *, every: int = 1) -> DataFra
     return rows.select("symbol", "i", F.col("date").alias("run_date"), F.col("avg_close").alias("base_price"), steps).withColumn("log_return", F.lit(0.0))
 
 
-def drift_forecast(returns: DataFrame, h: int, *, n: int = 30, every: int = 1) -> DataFrame:
-    """As persistence, but moving on by the mean log return of the last n rows; rows with fewer are left out."""
+def with_drift(returns: DataFrame, n: int = 30, *, keys=("symbol",)) -> DataFrame:
+    """drift: the mean log return of the last n rows; null while they are fewer."""
     from tidewell.operators.indicators import frame
 
-    w = frame(n)
-    rows = returns.withColumn("drift", F.when(F.count("log_return").over(w) == n, F.avg("log_return").over(w))).filter("drift is not null")
-    rows = rows.filter(F.col("i") % every == 0)
+    w = frame(n, keys=keys)
+    return returns.withColumn("drift", F.when(F.count("log_return").over(w) == n, F.avg("log_return").over(w)))
+
+
+def drift_steps(rows: DataFrame, h: int, *, every: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(symbol, i, run_date, base_price, log_return, step, carried columns) from each row with a drift."""
+    rows = rows.filter("drift is not null").filter(F.col("i") % every == 0)
     steps = F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")
-    return rows.select("symbol", "i", F.col("date").alias("run_date"), F.col("avg_close").alias("base_price"), F.col("drift").alias("log_return"), steps)
+    return rows.select("symbol", "i", F.col("date").alias("run_date"), F.col("avg_close").alias("base_price"), F.col("drift").alias("log_return"), *carry, steps)
+
+
+def drift_forecast(returns: DataFrame, h: int, *, n: int = 30, every: int = 1) -> DataFrame:
+    """As persistence, but moving on by the mean log return of the last n rows; rows with fewer are left out."""
+    return drift_steps(with_drift(returns, n), h, every=every)
 
 
 def fit_linear(seq: DataFrame, h: int, *, lags: int = 5, ridge: float = 1e-3, keys=("symbol",)) -> DataFrame:
@@ -136,7 +143,3 @@ def residual_band(samples: DataFrame, *, keys=("symbol", "step"), value: str = "
         *keys, "mean", (F.col("mean") - z * F.col("std")).alias("low"), (F.col("mean") + z * F.col("std")).alias("high"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide("std", "mean"), F.lit(0.0)))).alias("confidence"),
     )
-
-
-def union_models(*frames: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tidewell.operators import indicators
+from tidewell.operators.series import in_blocks
 from tidewell.plans import forecast
 from tidewell.plans.catalog import RETURNS, numbered, rows_frame
 
@@ -20,10 +21,13 @@ PREDICTIONS = f"""{RETURNS}, drifting AS (SELECT *, CASE WHEN count(log_return)
 
 def paths(spark, sf, every: int = 7) -> DataFrame:
     """Drift forecasts of 7 days from each row whose number `every` divides, with volatility and price path."""
-    rows = indicators.realized_vol(indicators.log_return(numbered(spark, sf)))
-    moves = forecast.drift_forecast(rows, 7, every=every)
-    sigma = rows.select("symbol", "i", rows["realized_vol"].alias("sigma"))
-    return forecast.price_path(moves.join(sigma, ["symbol", "i"]))
+
+    def add(rows: DataFrame, keys) -> DataFrame:
+        rows = indicators.realized_vol(indicators.log_return(rows, keys=keys), keys=keys)
+        return forecast.with_drift(rows, keys=keys)
+
+    rows = in_blocks(numbered(spark, sf), 31, add).withColumnRenamed("realized_vol", "sigma")
+    return forecast.price_path(forecast.drift_steps(rows, 7, every=every, carry=("sigma",)))
 
 
 def predictions(spark, sf, every: int = 7) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewell.plans import queries_basic, queries_forecast
-from tidewell.plans.catalog import ORACLES, query
+from tidewell.plans.catalog import ORACLES, query, ticks
+from tidewell.sources import sinks
 
 
 def _without(name: str, condition: str) -> str:
@@ -18,6 +21,13 @@ def walk_forward_all(spark, sf):
     return queries_forecast.walk_forward(spark, sf, every=1)
 
 
+@query(_without("to_kafka_rows", " WHERE price > 200"))
+def to_kafka_rows_all(spark, sf):
+    """Messages of every tick."""
+    rows = sinks.to_kafka_rows(ticks(spark, sf).select("symbol", "price"))
+    return rows.select("key", F.get_json_object("value", "$.symbol").alias("parsed_symbol"), F.get_json_object("value", "$.price").cast("double").alias("price"))
+
+
 #: Queries on forecasts whose SQL has a run on every 7th row; from every row up to seven runs aim at one date.
 FORECASTS = (
     "price_path", "derive_signals", "to_predictions", "run_log", "forecast_band", "residual_band", "history_join", "latest_run",

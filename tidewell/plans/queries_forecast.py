@@ -11,6 +11,7 @@ from tidewell.plans.catalog import AUX, NUMBERED, RETURNS, TICKS, aux, daily, da
 from tidewell.plans.predictions import PREDICTIONS, paths, predictions
 from tidewell.plans.queries_basic import NEAR, TICK_DAILY
 from tidewell.plans.queries_series import _PCT_B, W, ema_cte, moves, strict, wilder_cte, wilder_value
+from tidewell.sources.scratch import kept
 
 FEATURES = features.FEATURES
 
@@ -357,8 +358,8 @@ ACC = f"""{PREDICTIONS}, newest AS (SELECT symbol, prediction_date AS date, pred
 
 
 def accuracy(spark, sf, every=7):
-    rows, pred = daily(spark, sf), predictions(spark, sf, every)
-    days = rows.select("symbol", "date").unionByName(pred.select("symbol", F.col("prediction_date").alias("date")))
+    rows, pred = kept(daily(spark, sf)), kept(predictions(spark, sf, every))
+    days = kept(rows.select("symbol", "date").unionByName(pred.select("symbol", F.col("prediction_date").alias("date"))).distinct())
     return evaluate.evaluate_days(pred, ticks(spark, sf), rows, days)
 
 
@@ -397,7 +398,7 @@ def accuracy_summary(spark, sf, every=7):
  SELECT symbol, {day('run_date')}, {day('prediction_date')}, {r6('predicted_price', 'actual_price')}, round((predicted_price - actual_price) / actual_price * 100, 4) + 0.0 AS error_pct, actual_direction, direction = actual_direction AS direction_correct, (SELECT count(*) FROM j) AS total
  FROM j ORDER BY j.run_date DESC, symbol, j.prediction_date, model_id LIMIT 100 OFFSET 100""")
 def prediction_history(spark, sf, every=7):
-    pred = predictions(spark, sf, every)
+    pred = kept(predictions(spark, sf, every))
     log = pred.filter("symbol <> 'R' and run_date < '1999-01-01'")
     found = evaluate.prediction_history(log, pred, daily(spark, sf), page=2, limit=100)
     return found.select("symbol", "run_date", "prediction_date", "predicted_price", "actual_price", "error_pct", "actual_direction", "direction_correct", "total")

@@ -14,6 +14,8 @@ from tidewell.sources.scratch import scratch_folder
 from tidewell.streaming import ticks as live
 
 W = rows_frame
+#: About as many ticks to a micro-batch of enrich_stream.
+SLICE = 500_000
 BY_DATE = "(PARTITION BY symbol ORDER BY date)"
 
 
@@ -285,10 +287,45 @@ def enrich_stream(spark, sf):
     """The same rows from a stream over time-ordered slices, with the look-back kept as state."""
     folder = scratch_folder(spark)
     rows = ticks(spark, sf)
-    for part in range(3):  # written one after another, so their files come in this order
-        slice_ = rows.filter(F.floor((F.dayofmonth("event_time") - 1) / 11) == part)
-        sinks.append_table(slice_.coalesce(1), f"{folder}/ticks")
+    span = rows.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.count("*").alias("n")).first()
+    parts = max(3, -(-span.n // SLICE))
+    at = F.unix_micros(F.col("event_time").cast("timestamp"))
+    low, high = (F.unix_micros(F.lit(t).cast("timestamp")) for t in (span.lo, span.hi))
+    rows = rows.withColumn("part", F.floor((at - low) * parts / (high - low + 1)))
+    for part in range(parts):  # one after another, each one file, so that they come in the order of time
+        sinks.append_table(rows.filter(F.col("part") == part).drop("part").repartition(1), f"{folder}/ticks")
+    rows = rows.drop("part")
     stream = read_tick_stream(spark, "parquet", rows.schema, f"{folder}/ticks", maxFilesPerTrigger="1")
     out = live.enrich_stream(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
     out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("symbol", "seq", *live.ENRICHED)
+
+
+_CHANGE = "volume % 13 - 6"
+
+
+def _alert_stream(spark, sf):
+    """Ticks of the events file as a stream, with a made-up change of the day."""
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    stream = ticks_from_events(read_tick_stream(spark, "parquet", raw.schema, f"{sf}/events.parque[t]"))
+    return stream.withColumn("change_24h", F.expr(_CHANGE))
+
+
+@query(f"WITH {TICKS} SELECT DISTINCT symbol, {second('event_time')} FROM ticks WHERE abs({_CHANGE}) > 5")
+def stream_alerts(spark, sf):
+    """Keys of the alerts that a stream writes beside its enriched rows; replayed and empty batches write nothing."""
+    folder = scratch_folder(spark)
+    sink = live.enrich_and_alert(f"{folder}/enriched", f"{folder}/alerts")
+    for _ in range(2):  # the second run finds nothing new
+        out = _alert_stream(spark, sf).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
+        out.trigger(availableNow=True).start().awaitTermination()
+    return sinks.read_table(spark, f"{folder}/alerts").select("symbol", "event_time").distinct()
+
+
+@query(f"WITH {TICKS} SELECT symbol, count(DISTINCT event_time) AS rows FROM ticks GROUP BY 1")
+def stream_two_queries(spark, sf):
+    """Rows that the enrichment query writes, run beside the window query with a checkpoint of its own."""
+    folder = scratch_folder(spark)
+    for running in live.start_queries(_alert_stream(spark, sf), folder, interval=None):
+        running.awaitTermination()
+    return sinks.read_table(spark, f"{folder}/enriched").groupBy("symbol").agg(F.count("*").alias("rows"))

@@ -101,13 +101,21 @@ def enrich_stream(df: DataFrame) -> DataFrame:
     return df.select(*columns).groupBy("symbol").applyInPandasWithState(update, out, kept, "append", "NoTimeout")
 
 
-def upsert_batches(path: str, keys: list[str], order_col: str | None = None, transform: Callable[[DataFrame], DataFrame] | None = None):
-    """A foreachBatch sink: each batch is merged by key once, however often it is replayed."""
+def stream_id(batch: DataFrame) -> str:
+    """The id of the query that a micro-batch belongs to; a query begun with a new checkpoint has a new one."""
+    return batch.sparkSession._jsparkSession.sparkContext().getLocalProperty("sql.streaming.queryId") or ""
+
+
+def upsert_batches(path: str, keys: list[str], order_col: str | None = None, transform: Callable[[DataFrame], DataFrame] | None = None, *, by: str | None = None):
+    """A foreachBatch sink: each batch is merged by key once, however often it is replayed.
+
+    With `by`, a time among the keys, only the days of a batch are written anew.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        upsert_table(transform(batch) if transform else batch, path, keys, order_col, version=batch_id + 1)
+        upsert_table(transform(batch) if transform else batch, path, keys, order_col, version=batch_id + 1, source=stream_id(batch), by=by)
 
     return write
 
@@ -118,11 +126,12 @@ def enrich_and_alert(enriched_path: str, alerts_path: str, pct: float = 5.0):
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
+        once = {"version": batch_id + 1, "source": stream_id(batch), "by": "event_time"}
         batch.persist()
         try:
-            upsert_table(enrich_batch(batch), enriched_path, ["symbol", "event_time"], "seq", version=batch_id + 1)
+            upsert_table(enrich_batch(batch), enriched_path, ["symbol", "event_time"], "seq", **once)
             if "change_24h" in batch.columns:
-                upsert_table(price_alerts(batch, pct), alerts_path, ["symbol", "event_time"], version=batch_id + 1)
+                upsert_table(price_alerts(batch, pct), alerts_path, ["symbol", "event_time"], **once)
         finally:
             batch.unpersist()
 
@@ -136,7 +145,7 @@ def start_queries(ticks: DataFrame, folder: str, *, interval: str | None = "30 s
     """
     when = {"processingTime": interval} if interval else {"availableNow": True}
     late = with_lateness(ticks)
-    windows = flatten_window(sliding_stats(late)).writeStream.outputMode("append").foreachBatch(upsert_batches(f"{folder}/window_stats", ["symbol", "window_start"]))
+    windows = flatten_window(sliding_stats(late)).writeStream.outputMode("append").foreachBatch(upsert_batches(f"{folder}/window_stats", ["symbol", "window_start"], by="window_start"))
     unique = late.dropDuplicatesWithinWatermark(["symbol", "event_time"])
     enriched = unique.writeStream.foreachBatch(enrich_and_alert(f"{folder}/enriched", f"{folder}/alerts"))
     return windows.option("checkpointLocation", f"{folder}/checkpoint-windows").trigger(**when).start(), enriched.option("checkpointLocation", f"{folder}/checkpoint-enriched").trigger(**when).start()
