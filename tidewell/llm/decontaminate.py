@@ -136,15 +136,19 @@ def contaminated_texts(docs: DataFrame, bench: DataFrame, *, text: str = "text",
     met = kept.join(how(prints), ["size", "print"], "left_semi")
     met = scratch.keep(met.groupBy("key").agg(F.collect_set(F.struct("size", "first", "count")).alias("met")))
 
-    # Their windows, compared by words.
-    near = texts.join(how(met), "key").dropDuplicates(["key"]).select("key", "text", "met")
+    # Their windows, compared by words. Keys alone are joined with all texts, in a
+    # job of its own, so that Spark can split the join at a text of many copies;
+    # copies are merged before the few texts that are left are shuffled.
+    keys = scratch.keep(met.select("key"))
+    some = scratch.keep(texts.join(how(keys), "key", "left_semi"))
+    near = some.dropDuplicates(["key"]).join(how(met), "key").select("key", "text", "met")
     near = near.mapInPandas(_met_windows, "key binary, n long, size int, start long, words string")
     hits = scratch.keep(near.join(how(words), ["size", "words"]).select("key", "n", "size", "start", "words", "items"))
     spans = hits.groupBy("key").agg(F.first("n").alias("n_words"), F.sort_array(F.collect_set(F.struct("start", "size"))).alias("spans"))
     listed = hits.filter("items > 0").select("key", "size", "words").distinct().join(how(known.filter("item is not null").select("size", "words", "item")), ["size", "words"])
     listed = listed.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("ids"))
     found = scratch.keep(spans.join(listed, "key", "left").select("key", "n_words", _union_length("spans").alias("n_hit"), "spans", "ids"))
-    scratch.drop(prints, words, met, hits, known)
+    scratch.drop(prints, words, met, keys, some, hits, known)
     return found
 
 
@@ -174,14 +178,14 @@ def find_contamination(docs: DataFrame, bench: DataFrame, *, text: str = "text",
     found = contaminated_texts(docs, bench, text=text, **options)
     if not places:  # a narrow table, that more often fits a broadcast
         found = Scratch(docs.sparkSession).keep(found.select("key", "n_hit", "ids"))
-    key, other, hit, at, ids = unused(docs, "__key", "__other", "__hit", "__spans", "__ids")
+    key, other, words, hit, at, ids = unused(docs, "__key", "__other", "__words", "__hit", "__spans", "__ids")
     found = found.select(F.col("key").alias(other), F.col("n_hit").alias(hit), F.col("ids").alias(ids), *[F.col("spans").alias(at)] * places)
-    joined = docs.withColumn(key, text_key(text)).join(found, F.col(key) == F.col(other), "left")
-    joined = joined.withColumn(key, _count_words()(F.col(text)))
+    # Words are counted before the join, so that it carries no text where none is asked for.
+    joined = docs.withColumns({key: text_key(text), words: _count_words()(F.col(text))}).join(found, F.col(key) == F.col(other), "left")
     none = F.array().cast("array<long>")
     part = lambda c: F.coalesce(F.col(f"{at}.{c}").cast("array<long>"), none) if places else none
     result = F.struct(
-        F.col(key).alias("n_words"), F.coalesce(F.col(hit), F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.col(ids), F.array().cast("array<string>")).alias("item_ids"),
+        F.col(words).alias("n_words"), F.coalesce(F.col(hit), F.lit(0).cast("long")).alias("n_hit"), F.coalesce(F.col(ids), F.array().cast("array<string>")).alias("item_ids"),
         part("start").alias("starts"), part("size").alias("sizes"))
     return joined.withColumn(into, result).select(*[c for c in docs.columns if c != into], into)
 
