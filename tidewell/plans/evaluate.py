@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tidewell.operators.clean import paginate
 from tidewell.operators.indicators import actual_direction
 from tidewell.operators.lookup import actual_price, history_join, latest_run
+from tidewell.plans.features import sequences
+from tidewell.plans.forecast import apply_linear, fit_forecaster
 
 
 def forecast_metrics(df: DataFrame) -> DataFrame:
@@ -66,6 +68,27 @@ def walk_forward(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return folds, means
 
 
+def walk_forward_fitted(folds: DataFrame, h: int = 7, kind: str = "linear", *, seq: int = 60, lags: int = 5) -> tuple[DataFrame, DataFrame]:
+    """walk_forward of a forecaster that is fitted anew on the training rows of each (symbol, fold).
+
+    `folds` has the rows of walk_forward_folds with a log_return; a null
+    return, as of a series' first row, is in no sequence. Sequences look back
+    on `seq` rows of their own part, those of the validation part on its
+    context as well, and are numbered by their first target row.
+    """
+    keys = ("symbol", "fold")
+    rows = folds.filter("log_return is not null")
+    made = lambda where: sequences(rows.filter(where), seq, h, features=("log_return", "avg_close"), target="log_return", keys=keys)
+    train = made("part = 'train'")
+    model = fit_forecaster(train, h, kind, lags=lags, keys=keys)
+    # Only numbers of training sequences are needed: they count, and are not judged.
+    counted = train.select(*keys, F.lit("train").alias("part"), F.col("i").alias("sequence"), F.lit(1).alias("step"), F.lit(0.0).alias("y_true"), F.lit(0.0).alias("y_pred"), F.lit(0.0).alias("base_price"))
+    judged = apply_linear(made("part = 'val' or context"), model, lags=lags, keys=keys)
+    base = F.get(F.element_at("x", -1), F.lit(1))
+    judged = judged.select(*keys, F.lit("val").alias("part"), F.col("i").alias("sequence"), "step", F.get("y", F.col("step") - 1).alias("y_true"), F.col("predicted").alias("y_pred"), base.alias("base_price"))
+    return walk_forward(counted.unionByName(judged))
+
+
 def backtest_windows(daily: DataFrame, pred: DataFrame, h: int, *, seed: int = 60, rows: int | None = None) -> DataFrame:
     """Non-overlapping windows of h rows from row `seed` on, each forecast from the row before it.
 

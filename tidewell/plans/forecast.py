@@ -69,6 +69,17 @@ def fit_linear(seq: DataFrame, h: int, *, lags: int = 5, ridge: float = 1e-3, ke
     return sums.mapInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", step int, weights array<double>")
 
 
+def fit_forecaster(seq: DataFrame, h: int, kind: str = "linear", *, lags: int = 5, ridge: float = 1e-3, keys=("symbol",)) -> DataFrame:
+    """(keys, step, weights) for apply_linear, of any kind: persistence, drift (mean of the last `lags` returns) or linear."""
+    if kind == "linear":
+        return fit_linear(seq, h, lags=lags, ridge=ridge, keys=keys)
+    fixed = {"persistence": [0.0] * (lags + 1), "drift": [1.0 / lags] * lags + [0.0]}
+    if kind not in fixed:
+        raise ValueError(f"kind is persistence, drift or linear, not {kind!r}")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(h))).alias("step")
+    return seq.select(*keys).distinct().select(*keys, steps, F.lit(fixed[kind]).alias("weights"))
+
+
 def _inputs(lags: int) -> Column:
     last = F.transform(F.slice("x", -lags, lags), lambda r: F.get(r, F.lit(0)))
     return F.concat(last, F.array(F.lit(1.0)))

@@ -376,6 +376,17 @@ def corr_matrix(spark, sf):
     return stats.corr_matrix(stats.pair_correlation(order_daily(spark, sf)), missing=0.0)
 
 
+_ODD = "CASE WHEN '5-LOW' IN (symbol_a, symbol_b) THEN NULL ELSE r END AS r"
+
+
+@query(f"""WITH {ORDERS}, {_PAIRS} SELECT symbol_a, symbol_b, {r6(_ODD)} FROM pairs UNION ALL SELECT symbol_b, symbol_a, {r6(_ODD)} FROM pairs
+ UNION ALL SELECT s, s, 1.0 FROM (SELECT symbol_a AS s FROM pairs UNION SELECT symbol_b FROM pairs)""")
+def corr_matrix_nulls(spark, sf):
+    """Nulls stay nulls: one of the series is made constant, so it correlates with none."""
+    flat = F.when(F.col("symbol") == "5-LOW", 100.0).otherwise(F.col("avg_close"))
+    return stats.corr_matrix(stats.pair_correlation(order_daily(spark, sf).withColumn("avg_close", flat)))
+
+
 @query(f"""WITH {DAILY} SELECT {day()}, {r6("avg(avg_close) FILTER (symbol = 'A') AS A", "avg(avg_close) FILTER (symbol = 'N') AS N", "avg(avg_close) FILTER (symbol = 'R') AS R")} FROM daily GROUP BY date""")
 def pivot_closes(spark, sf):
     return stats.pivot_closes(daily(spark, sf), ["A", "N", "R"])

@@ -104,6 +104,21 @@ def sequences(spark, sf):
     return made.select("symbol", "split", "i", F.size("x").alias("n_x"), F.size("y").alias("n_y"), at("x", F.lit(0), 1).alias("x_first"), at("x", F.lit(9), 1).alias("x_last"), F.get("y", F.lit(0)).alias("y_first"), F.get("y", F.lit(4)).alias("y_last"), F.aggregate("y", F.lit(0.0), lambda a, b: a + b).alias("y_sum"))
 
 
+@query(f"""WITH {_CHRONO}, fv AS (SELECT *, CASE WHEN count(log_return) OVER w = 7 THEN stddev_samp(log_return) OVER w END AS forward_vol FROM parted WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)),
+ sc AS (SELECT symbol, avg(forward_vol) AS mean, stddev_pop(forward_vol) AS std FROM fv WHERE split = 'train' AND i > 0 GROUP BY 1), md AS (SELECT symbol, quantile_cont(log_return, 0.5) AS middle FROM fv WHERE i > 0 GROUP BY 1),
+ x AS (SELECT symbol, split, i, (log_return > middle)::INT AS up, coalesce((forward_vol - mean) / std, 0.0) AS vol FROM fv JOIN sc USING (symbol) JOIN md USING (symbol) WHERE i > 0),
+ s AS (SELECT symbol, split, i, row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY symbol, split) AS m, sum(up) OVER f AS up, vol AS vol_first, lead(vol, 4) OVER w AS vol_last, sum(vol) OVER f AS vol_sum
+  FROM x WINDOW w AS (PARTITION BY symbol, split ORDER BY i), f AS (PARTITION BY symbol, split ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+ SELECT symbol, split, i::BIGINT AS i, up::BIGINT AS up, {r6('vol_first', 'vol_last', 'vol_sum')} FROM s WHERE k >= 10 AND k <= m - 5""")
+def target_sequences(spark, sf):
+    """Direction and scaled volatility of the target rows of each sequence, shown by ends and sums."""
+    rows = features.scale_vol(ind.forward_vol(parted(spark, sf)).filter("i > 0"))
+    rows = features.direction_labels(rows, col="log_return")
+    made = features.sequences(rows, 10, 5, features=("log_return",), target="log_return", extra=("direction", "vol_scaled"))
+    vol = lambda k: F.get("y_vol_scaled", F.lit(k))
+    return made.select("symbol", "split", "i", F.aggregate("y_direction", F.lit(0), lambda a, b: a + b).alias("up"), vol(0).alias("vol_first"), vol(4).alias("vol_last"), F.aggregate("y_vol_scaled", F.lit(0.0), lambda a, b: a + b).alias("vol_sum"))
+
+
 @query(f"""WITH {RETURNS}, {_MEDIAN}, x AS (SELECT symbol, i, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS m, direction FROM labelled WHERE i > 0),
  s AS (SELECT a.symbol, step, b.direction AS label FROM x a, (SELECT unnest(range(0, 7)) AS step), x b WHERE a.k >= 30 AND a.k <= a.m - 7 AND b.symbol = a.symbol AND b.k = a.k + step)
  SELECT symbol, step::BIGINT AS step, label::BIGINT AS label, count(*) AS n, {r6('count(*) / sum(count(*)) OVER (PARTITION BY symbol, step) AS share')} FROM s GROUP BY symbol, step, label""")
@@ -231,17 +246,13 @@ def residual_band(spark, sf, every=7):
     return forecast.residual_band(paths(spark, sf, every).withColumn("sample", F.col("predicted_price")))
 
 
-def _one_split(spark, sf):
-    rows = ind.log_return(numbered(spark, sf)).filter("i > 0").withColumn("split", F.lit("all"))
-    return features.sequences(rows, 10, 3, features=("log_return",), target="log_return")
-
-
 @query()
 def linear_forecast(spark, sf):
-    """Direct multi-step linear forecasts from the last five returns, against what came."""
-    made = _one_split(spark, sf)
-    model = forecast.fit_linear(made.filter("i < 1800"), 3)
-    return forecast.apply_linear(made.filter("i >= 1800"), model).select("symbol", "i", "step", "predicted", F.get("y", F.col("step") - 1).alias("actual"))
+    """Direct multi-step linear forecasts from the last five returns, fitted on the training split, against what came in the others."""
+    made = features.sequences(parted(spark, sf).filter("i > 0"), 10, 3, features=("log_return",), target="log_return")
+    model = forecast.fit_forecaster(made.filter("split = 'train'"), 3)
+    found = forecast.apply_linear(made.filter("split <> 'train'"), model)
+    return found.select("symbol", "split", "i", "step", "predicted", F.get("y", F.col("step") - 1).alias("actual"))
 
 
 # -- evaluation --------------------------------------------------------------------
@@ -299,6 +310,13 @@ def walk_forward(spark, sf, every=5):
     return evaluate.walk_forward(made)[1]
 
 
+@query()
+def walk_forward_linear(spark, sf):
+    """A linear forecaster fitted in every fold, from all its sequences."""
+    rows = ind.log_return(numbered(spark, sf))
+    return evaluate.walk_forward_fitted(features.walk_forward_folds(rows))[1]
+
+
 def _back(factor: str) -> str:
     return f"""SELECT symbol, (k - 60) // 7 AS window_id, date, avg_close, base, base * {factor} AS p, step FROM
  (SELECT a.symbol, a.k, a.date, a.avg_close, (a.k - 60) % 7 + 1 AS step, b.avg_close AS base, a.m FROM k a JOIN k b ON b.symbol = a.symbol AND b.k = a.k - (a.k - 60) % 7 - 1 WHERE a.k >= 60 AND a.k - (a.k - 60) % 7 + 6 < a.m)"""
