@@ -155,7 +155,8 @@ def link_fingerprints(prints: DataFrame, *, crowd: int = 64, emit: int = 20_000,
     # Keys are made twice, once to be counted and once for the members of shared ones, and not stored.
     keyed = distinct.repartition(tasks, "f").mapInPandas(_keyed, "f long, key long")
     counted = scratch.keep(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-    shared = scratch.keep(keyed.join(counted, "key"))
+    # Shared keys grow with the corpus, so the plan is a merge join at every size.
+    shared = scratch.keep(keyed.join(counted.hint("merge"), "key"))
     scratch.drop(counted)
 
     ends = shared.groupBy("key").agg(F.min("f").alias("lo"), F.max("f").alias("hi"))
