@@ -78,10 +78,13 @@ class Scratch:
         self.made += 1
         return f"{self.root}/{self.made}"
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = self.path()
+    def write(self, df: DataFrame, path: str) -> None:
         with _setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             df.write.parquet(path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = self.path()
+        self.write(df, path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._scratch_path = path
         return kept

@@ -60,4 +60,57 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS
 FROM d LEFT JOIN left_over USING (doc_id)
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_url_filters": OP4, "op6_substring_dedup": OP6}
+OP11 = r"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, k, if(k = 0, 'user', 'assistant'), '</s>[INST] ok [/INST]' FROM range(2) t(k)),
+e AS (
+  SELECT *, regexp_replace(role, '([<\[])(\\*)(\|[A-Za-z0-9_]{1,32}\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS head,
+    regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z0-9_]{1,32}\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS body FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, body)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(head) + length(body) + length('<|turn|><|text|><|end|>'))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+OP13 = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS k, doc_id, source, doc_id::VARCHAR AS i, lang, n_chars::VARCHAR AS c, text FROM documents),
+crc AS (
+  SELECT k, xor(4294967295, list_reduce(list_transform(string_split(i, ''), lambda x: ascii(x)::BIGINT), lambda a, b:
+    list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda p, q: CASE WHEN p & 1 = 1 THEN xor(p >> 1, 3988292384) ELSE p >> 1 END), 4294967295)) AS crc
+  FROM f WHERE i IS NOT NULL),
+t AS (SELECT f.*, CASE WHEN crc % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS changed FROM f LEFT JOIN crc USING (k)),
+leaf AS (
+  SELECT k, doc_id, source,
+    sha256(concat(coalesce(strlen(i) || ':' || i, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(c) || ':' || c, '-'), coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+    sha256(concat(coalesce(strlen(i) || ':' || i, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(c) || ':' || c, '-'), coalesce(strlen(changed) || ':' || changed, '-'))) AS changed
+  FROM t),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS sid FROM leaf),
+own(sid, level, nodes) AS (
+  SELECT sid, 0, list(leaf ORDER BY pos) FROM placed GROUP BY sid
+  UNION ALL
+  SELECT sid, level + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda g: sha256(array_to_string(nodes[3 * g + 1 : 3 * g + 3], ''))) FROM own WHERE len(nodes) > 1),
+sub AS (SELECT sid, nodes[1] AS subroot, level AS depth FROM own WHERE len(nodes) = 1),
+top(level, nodes) AS (
+  SELECT 0, list(subroot ORDER BY sid) FROM sub
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, (len(nodes) + 2) // 3), lambda g: sha256(array_to_string(nodes[3 * g + 1 : 3 * g + 3], ''))) FROM top WHERE len(nodes) > 1),
+root AS (SELECT nodes[1] AS root FROM top WHERE len(nodes) = 1),
+steps AS (
+  SELECT k, level, nodes, (pos // (3 ** level)::BIGINT) AS ix FROM placed JOIN own USING (sid) WHERE len(nodes) > 1
+  UNION ALL
+  SELECT k, depth + top.level, nodes, (sid // (3 ** top.level)::BIGINT) FROM placed JOIN sub USING (sid), top WHERE len(nodes) > 1),
+sides AS (SELECT k, level, array_to_string(nodes[3 * (ix // 3) + 1 : ix], '') AS l, array_to_string(nodes[ix + 2 : 3 * (ix // 3) + 3], '') AS r FROM steps),
+proof AS (SELECT k, string_agg(l || r, '' ORDER BY level) AS p FROM sides GROUP BY k),
+fold(k, level, a) AS (
+  SELECT k, 0, changed FROM leaf
+  UNION ALL
+  SELECT k, fold.level + 1, sha256(l || a || r) FROM fold JOIN sides USING (k, level)),
+folded AS (SELECT k, arg_max(a, level) AS folded_root FROM fold GROUP BY k)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM placed JOIN sub USING (sid) JOIN folded USING (k) LEFT JOIN proof USING (k), root
+"""
+
+ORACLES = {"op2_decontamination": OP2, "op4_url_filters": OP4, "op6_substring_dedup": OP6, "op11_chat_formatting": OP11, "op13_merkle_manifest": OP13}

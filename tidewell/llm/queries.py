@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontaminate, langid, lines, packing, quality, simhash, substring, tokens, urls, warc
+from tidewell.llm import chat, decontaminate, langid, lines, merkle, packing, quality, simhash, substring, tokens, urls, warc
 from tidewell.llm.common import table
 from tidewell.llm.oracles import ORACLES
 
@@ -68,6 +68,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", langid.held_out().alias("held_out"), "language.lang_pred", "language.score")
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema))
+    chats = chat.format_chats(rows.withColumn("content", chat.text_part(F.col("text"))))
+    read = chat.read_chats(chats.withColumn("n", F.length("chat.text")), "n")
+    shown = F.array_join(F.transform("read.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("read.turns").cast("long").alias("n_turns"), F.sha2(shown, 256).alias("turns_sha256"), F.length("read.trained").cast("long").alias("loss_chars"), F.sha2("read.trained", 256).alias("loss_sha256"), F.col("n").cast("long").alias("formatted_chars"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_manifest(table(spark, sf_dir, "documents"), merkle.tampered_text())
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_decontamination, op3_quality_rules, op4_url_filters, op5_warc, op6_substring_dedup,
-    op7_line_dedup, op8_best_fit_packing, op9_simhash_dedup, op10_language_id)}
+    op7_line_dedup, op8_best_fit_packing, op9_simhash_dedup, op10_language_id, op11_chat_formatting, op13_merkle_manifest)}
