@@ -74,6 +74,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT d, lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d),
+q AS (SELECT row_number() OVER () AS q, lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+one AS MATERIALIZED (SELECT q, lang, unnest(w) AS x, unnest(range(len(w))) AS i FROM q),
+total AS (SELECT lang, count(*) AS n FROM one GROUP BY 1),
+grams AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS g
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM q, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k)),
+f AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, g, k, f AS a, c, array_to_string(string_split(g, ' ')[1 : c], ' ') AS lg, array_to_string(string_split(g, ' ')[c + 1 :], ' ') AS rg
+  FROM (SELECT *, unnest(range(1, k)) AS c FROM f WHERE k > 1)),
+s AS (
+  SELECT cuts.lang, cuts.g, a, c, l.f AS l, r.f AS r, n, (1000::HUGEINT * a * n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts JOIN f l ON l.lang = cuts.lang AND l.g = lg JOIN f r ON r.lang = cuts.lang AND r.g = rg JOIN total ON total.lang = cuts.lang),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, c) = 1),
+inner_ AS (
+  SELECT lang, f, array_to_string(string_split(g, ' ')[i : i + m - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2))),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inner_ x WHERE x.lang = low.lang AND x.g = low.g AND 100 * x.f >= 100 * low.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
 OP13 = r"""
 WITH RECURSIVE f AS (
   SELECT row_number() OVER () AS k, doc_id, source, doc_id::VARCHAR AS i, lang, n_chars::VARCHAR AS c, text FROM documents),
@@ -113,4 +139,4 @@ SELECT doc_id, leaf, subroot, root, sha256(coalesce(p, '')) AS proof_sha256, fol
 FROM placed JOIN sub USING (sid) JOIN folded USING (k) LEFT JOIN proof USING (k), root
 """
 
-ORACLES = {"op2_decontamination": OP2, "op4_url_filters": OP4, "op6_substring_dedup": OP6, "op11_chat_formatting": OP11, "op13_merkle_manifest": OP13}
+ORACLES = {"op2_decontamination": OP2, "op4_url_filters": OP4, "op6_substring_dedup": OP6, "op11_chat_formatting": OP11, "op12_collocations": OP12, "op13_merkle_manifest": OP13}

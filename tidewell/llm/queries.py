@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import chat, decontaminate, langid, lines, merkle, packing, quality, simhash, substring, tokens, urls, warc
+from tidewell.llm import chat, collocations, decontaminate, langid, lines, merkle, packing, quality, simhash, substring, tokens, urls, warc
 from tidewell.llm.common import table
 from tidewell.llm.oracles import ORACLES
 
@@ -78,10 +78,14 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("conv_id", F.size("read.turns").cast("long").alias("n_turns"), F.sha2(shown, 256).alias("turns_sha256"), F.length("read.trained").cast("long").alias("loss_chars"), F.sha2("read.trained", 256).alias("loss_sha256"), F.col("n").cast("long").alias("formatted_chars"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify_manifest(table(spark, sf_dir, "documents"), merkle.tampered_text())
 
 
 QUERIES = {f.__name__: f for f in (
     op1_token_counts, op2_decontamination, op3_quality_rules, op4_url_filters, op5_warc, op6_substring_dedup,
-    op7_line_dedup, op8_best_fit_packing, op9_simhash_dedup, op10_language_id, op11_chat_formatting, op13_merkle_manifest)}
+    op7_line_dedup, op8_best_fit_packing, op9_simhash_dedup, op10_language_id, op11_chat_formatting, op12_collocations, op13_merkle_manifest)}
