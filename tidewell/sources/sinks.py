@@ -1,129 +1,16 @@
-"""Keyed and appending sinks on Parquet folders.
-
-A keyed table is a folder of parts and of manifests. Every part holds the rows
-of one bucket of keys, or of one day; the newest manifest names the part of
-each bucket. A batch writes anew the parts that its keys fall into, and then a
-manifest.
-"""
+"""Sinks: appending folders, messages, and what is put over stored rows. Keyed tables are in tables.py."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-
-def merge_upsert(old: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
-    """Old rows with new ones put over them by key; of new rows the last by order_col wins.
-
-    Rows without one of the keys are skipped. Partial aggregation keeps one
-    row for each key before the shuffle.
-    """
-    columns = list(dict.fromkeys([*old.columns, *new.columns]))
-    both = old.withColumn("__batch", F.lit(0)).unionByName(new.withColumn("__batch", F.lit(1)), allowMissingColumns=True)
-    both = both.dropna(subset=keys)
-    rest = [c for c in columns if c not in keys]
-    rank = F.struct("__batch", *([order_col] if order_col else []))
-    last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__row")) if rest else both.select(*keys).distinct()
-    return last.select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in columns])
-
-
-class _Folder:
-    """Small files of a table's folder, in any store that Spark reaches."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, path.rstrip("/")
-        self.store = self.at("").getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-
-    def at(self, name: str):
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
-
-    def names(self, name: str) -> list[str]:
-        return sorted(f.getPath().getName() for f in self.store.listStatus(self.at(name))) if self.store.exists(self.at(name)) else []
-
-    def read(self, name: str) -> str:
-        source = self.store.open(self.at(name))
-        try:
-            return self.jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
-        finally:
-            source.close()
-
-    def write(self, name: str, text: str) -> None:
-        """Writes a file that readers see whole or not at all; fails if it is there already."""
-        draft = f"{name}.{uuid.uuid4().hex[:8]}.tmp"
-        out = self.store.create(self.at(draft), False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        if self.store.exists(self.at(name)) or not self.store.rename(self.at(draft), self.at(name)):
-            self.store.delete(self.at(draft), False)
-            raise RuntimeError(f"{self.path}: another writer was faster")
-
-    def drop(self, name: str) -> None:
-        self.store.delete(self.at(name), True)
-
-
-_BUCKET = "__bucket"
-
-
-def _manifest(folder: _Folder) -> dict:
-    """The newest manifest: version, schema, part of each bucket, last batch of each source, parts no longer in use."""
-    found = [n for n in folder.names("manifests") if n.endswith(".json")]
-    return json.loads(folder.read(f"manifests/{found[-1]}")) if found else {"version": 0, "schema": None, "parts": {}, "applied": {}, "stale": []}
-
-
-def _read_parts(spark: SparkSession, folder: _Folder, schema: T.StructType, parts: list[str]) -> DataFrame:
-    return spark.read.schema(schema).parquet(*[f"{folder.path}/{p}" for p in parts]) if parts else spark.createDataFrame([], schema)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table after its newest finished batch, or None."""
-    folder = _Folder(spark, path)
-    now = _manifest(folder)
-    return _read_parts(spark, folder, T.StructType.fromJson(now["schema"]), list(now["parts"].values())) if now["version"] else None
-
-
-def upsert_table(df: DataFrame, path: str, keys: list[str], order_col: str | None = None, version: int | None = None, *, source: str = "", by: str | None = None, buckets: int = 16) -> None:
-    """Merges df into the table at path; last write wins.
-
-    Rows fall into `buckets` by a hash of their keys, or, with `by`, by the
-    day of that key. Only parts that the batch falls into are read and
-    written; readers see a batch whole or not at all, and the files that a
-    batch replaces go with the next one. `version` numbers the batches of a
-    `source` (a stream): one that was the last is a replay and skipped, an
-    older one is an error, and other sources do not matter. Rows without one
-    of the keys are skipped. Keep `by` and `buckets` the same for a table.
-    Only names of buckets and parts pass the driver.
-    """
-    spark = df.sparkSession
-    folder = _Folder(spark, path)
-    now = _manifest(folder)
-    last = now["applied"].get(source)
-    if version is not None and last is not None and version <= last:
-        if version == last:
-            return
-        raise ValueError(f"batch {version} of {source or 'this source'} comes after {last}")
-    bucket = F.to_date(by).cast("string") if by else F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("string")
-    fresh = df.dropna(subset=keys)
-    touched = sorted(r[0] for r in fresh.select(bucket.alias("b")).distinct().collect())
-    schema = T.StructType.fromJson(now["schema"]) if now["schema"] else T.StructType([])
-    parts = dict(now["parts"])
-    old = _read_parts(spark, folder, schema if now["schema"] else df.schema, [parts[b] for b in touched if b in parts])
-    merged = merge_upsert(old, fresh, keys, order_col)
-    if touched:
-        made = f"parts/{now['version'] + 1:010d}-{uuid.uuid4().hex[:8]}"
-        merged.withColumn(_BUCKET, bucket).hint("rebalance", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{folder.path}/{made}")
-        parts |= {b: f"{made}/{_BUCKET}={b}" for b in touched}
-    stale = [now["parts"][b] for b in touched if b in now["parts"]]
-    applied = now["applied"] | ({source: version} if version is not None else {})
-    after = {"version": now["version"] + 1, "schema": merged.schema.jsonValue(), "parts": parts, "applied": applied, "stale": stale}
-    folder.write(f"manifests/{after['version']:010d}.json", json.dumps(after))
-    for part in now["stale"]:
-        folder.drop(part)
-    for name in folder.names("manifests")[:-3]:
-        folder.drop(f"manifests/{name}")
+
+from tidewell.sources.tables import expire_table, merge_upsert, read_table, upsert_table
+
+__all__ = [
+    "append_missing", "append_table", "backfill_candles", "expire", "expire_table", "hourly_candles", "last_rows", "merge_upsert", "read_table", "series_extent",
+    "stamp_created", "to_kafka_rows", "upsert_table",
+]
 
 
 def append_table(df: DataFrame, path: str) -> None:
