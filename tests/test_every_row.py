@@ -21,7 +21,7 @@ def prices(spark):
     return found
 
 
-def test_walk_forward_all_judges_every_sequence(spark, prices):
+def test_walk_forward_judges_every_sequence(spark, prices):
     want = {}
     for symbol, rows in prices.items():
         p, n, folds = [x for _, x in rows], len(rows), []
@@ -34,12 +34,12 @@ def test_walk_forward_all_judges_every_sequence(spark, prices):
                 folds.append((math.sqrt(sum(e * e for e in errors) / len(errors)), sum(map(abs, errors)) / len(errors)))
         if folds:
             want[symbol] = (len(folds), *[sum(x) / len(folds) for x in zip(*folds)])
-    got = {r.symbol: (r.folds, r.rmse, r.mae) for r in FOUND["walk_forward_all"](spark, SF).collect()}
+    got = {r.symbol: (r.folds, r.rmse, r.mae) for r in FOUND["walk_forward"](spark, SF).collect()}
     assert got.keys() == want.keys() and want
     assert all(got[s] == pytest.approx(want[s], abs=1e-5) for s in want)
 
 
-def test_latest_run_all_chooses_among_runs_of_every_row(spark, prices):
+def test_latest_run_chooses_among_runs_of_every_row(spark, prices):
     runs = defaultdict(list)
     for symbol, rows in prices.items():
         p = [x for _, x in rows]
@@ -47,7 +47,7 @@ def test_latest_run_all_chooses_among_runs_of_every_row(spark, prices):
             drift = math.log(p[i] / p[i - 30]) / 30
             for step in range(1, 8):
                 runs[symbol, rows[i][0].toordinal() + step].append((rows[i][0], p[i] * math.exp(drift * step)))
-    got = {(r.symbol, r.prediction_date): r for r in FOUND["latest_run_all"](spark, SF).collect()}
+    got = {(r.symbol, r.prediction_date): r for r in FOUND["latest_run"](spark, SF).collect()}
     assert len(got) == len(runs) and max(map(len, runs.values())) == 7
     for (symbol, day), made in runs.items():
         newest = max(made)
@@ -55,14 +55,14 @@ def test_latest_run_all_chooses_among_runs_of_every_row(spark, prices):
         assert found.run_date == str(newest[0]) and found.predicted_price == pytest.approx(newest[1], abs=1e-5)
 
 
-def test_forecast_band_all_stands_around_every_price(spark):
+def test_forecast_band_stands_around_every_price(spark):
     key = lambda r: (r.symbol, r.run_date, r.step)
-    path = {key(r): r.predicted_price for r in FOUND["price_path_all"](spark, SF).collect()}
-    band = {key(r): r for r in FOUND["forecast_band_all"](spark, SF).collect()}
+    path = {key(r): r.predicted_price for r in FOUND["price_path"](spark, SF).collect()}
+    band = {key(r): r for r in FOUND["forecast_band"](spark, SF).collect()}
     assert band.keys() == path.keys()
     found = [(b.band_low, path[k] ** 2 / b.band_high) for k, b in band.items()]
     assert all(low == pytest.approx(want, rel=1e-6, abs=1e-5) for low, want in found)
 
 
-def test_persistence_forecast_all_has_every_row(spark, prices):
-    assert FOUND["persistence_forecast_all"](spark, SF).count() == 7 * sum(map(len, prices.values()))
+def test_persistence_forecast_has_every_row(spark, prices):
+    assert FOUND["persistence_forecast"](spark, SF).count() == 7 * sum(map(len, prices.values()))

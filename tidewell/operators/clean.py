@@ -29,10 +29,10 @@ def resolve_symbol(df: DataFrame, dim: DataFrame, alias: str = "alias") -> tuple
     return df.join(names, key == F.col("__alias")).drop("__alias"), df.join(names, key == F.col("__alias"), "left_anti")
 
 
-def price_alerts(df: DataFrame, pct: float = 5.0, change: str = "change_24h") -> DataFrame:
-    """Ticks that moved by more than pct percent, either way."""
+def price_alerts(df: DataFrame, pct: float = 5.0, change: str = "change_24h", *, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Ticks that moved by more than pct percent, either way, with the columns of `carry`."""
     hit = df.filter(F.abs(F.col(change)) > pct)
-    return hit.select("symbol", "event_time", "price", F.col(change).alias("change_24h"), F.lit("PRICE_SPIKE").alias("alert_type"))
+    return hit.select("symbol", "event_time", "price", F.col(change).alias("change_24h"), F.lit("PRICE_SPIKE").alias("alert_type"), *carry)
 
 
 def last_n(df: DataFrame, n: int, time: str = "date") -> DataFrame:

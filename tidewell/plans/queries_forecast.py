@@ -196,19 +196,19 @@ def min_max_scale(spark, sf):
 # -- forecasts ----------------------------------------------------------------------
 
 
-@query(f"WITH {NUMBERED} SELECT symbol, {day('date', 'run_date')}, step::BIGINT AS step, {r6('avg_close AS predicted_price')} FROM numbered, (SELECT unnest(range(1, 8)) AS step) WHERE i % 30 = 0")
-def persistence_forecast(spark, sf, every=30):
-    return forecast.price_path(forecast.persistence_forecast(numbered(spark, sf), 7, every=every)).select("symbol", "run_date", "step", "predicted_price")
+@query(f"WITH {NUMBERED} SELECT symbol, {day('date', 'run_date')}, step::BIGINT AS step, {r6('avg_close AS predicted_price')} FROM numbered, (SELECT unnest(range(1, 8)) AS step)")
+def persistence_forecast(spark, sf):
+    return forecast.price_path(forecast.persistence_forecast(numbered(spark, sf), 7)).select("symbol", "run_date", "step", "predicted_price")
 
 
 @query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, step::BIGINT AS step, {r6('cum_return', 'predicted_price')} FROM pred")
-def price_path(spark, sf, every=7):
-    return paths(spark, sf, every).select("symbol", "run_date", "step", "cum_return", "predicted_price")
+def price_path(spark, sf):
+    return paths(spark, sf).select("symbol", "run_date", "step", "cum_return", "predicted_price")
 
 
 @query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, step::BIGINT AS step, direction, {r6('confidence')}, trend_strength FROM pred")
-def derive_signals(spark, sf, every=7):
-    return forecast.derive_signals(paths(spark, sf, every)).select("symbol", "run_date", "step", "direction", "confidence", "trend_strength")
+def derive_signals(spark, sf):
+    return forecast.derive_signals(paths(spark, sf)).select("symbol", "run_date", "step", "direction", "confidence", "trend_strength")
 
 
 _SOFT = "e0 / (e0 + e1 + e2)", "e1 / (e0 + e1 + e2)", "e2 / (e0 + e1 + e2)"
@@ -224,26 +224,26 @@ def signals_from_logits(spark, sf):
 
 
 @query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, {day('prediction_date')}, 7::BIGINT AS horizon, step::BIGINT AS step, model_id, 2::BIGINT AS version, {r6('predicted_price')}, direction, {r6('confidence')}, trend_strength, 'historical' AS seed_source FROM pred")
-def to_predictions(spark, sf, every=7):
-    return predictions(spark, sf, every)
+def to_predictions(spark, sf):
+    return predictions(spark, sf)
 
 
 @query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, {day('prediction_date')}, horizon::BIGINT AS horizon, model_id, {r6('CASE WHEN step % 2 = 0 THEN predicted_price * 2 ELSE predicted_price END AS predicted_price')} FROM pred")
-def run_log(spark, sf, every=7):
+def run_log(spark, sf):
     """A day's forecasts written twice, with changed prices for even steps."""
-    pred = predictions(spark, sf, every)
+    pred = predictions(spark, sf)
     again = pred.filter("step % 2 = 0").withColumn("predicted_price", F.col("predicted_price") * 2)
     return forecast.run_log(pred, again).select("symbol", "run_date", "prediction_date", "horizon", "model_id", "predicted_price")
 
 
-@query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, step::BIGINT AS step, {r6('predicted_price * exp(-1.96 * sigma) AS band_low', 'predicted_price * exp(1.96 * sigma) AS band_high')} FROM pred")
-def forecast_band(spark, sf, every=7):
-    return forecast.forecast_band(paths(spark, sf, every)).select("symbol", "run_date", "step", "band_low", "band_high")
+@query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, step::BIGINT AS step, round(predicted_price * exp(-1.96 * sigma) + 1.3e-8, 2) + 0.0 AS band_low, round(predicted_price * exp(1.96 * sigma) + 1.3e-8, 2) + 0.0 AS band_high FROM pred", digits=2)
+def forecast_band(spark, sf):
+    return forecast.forecast_band(paths(spark, sf)).select("symbol", "run_date", "step", "band_low", "band_high")
 
 
 @query(f"WITH {PREDICTIONS}, s AS (SELECT symbol, step, avg(predicted_price) AS m, stddev_pop(predicted_price) AS s FROM pred GROUP BY 1, 2) SELECT symbol, step::BIGINT AS step, {r6('m AS mean', 'm - 1.96 * s AS low', 'm + 1.96 * s AS high', 'least(1.0, greatest(0.0, 1 - s / m)) AS confidence')} FROM s")
-def residual_band(spark, sf, every=7):
-    return forecast.residual_band(paths(spark, sf, every).withColumn("sample", F.col("predicted_price")))
+def residual_band(spark, sf):
+    return forecast.residual_band(paths(spark, sf).withColumn("sample", F.col("predicted_price")))
 
 
 @query()
@@ -262,47 +262,47 @@ JUDGED = f"""{PREDICTIONS}, judged AS MATERIALIZED (SELECT p.symbol, p.i AS sequ
  FROM pred p JOIN returns r ON r.symbol = p.symbol AND r.i = p.i + step JOIN (SELECT symbol, arg_max(avg_close, i) AS last_price FROM numbered GROUP BY 1) l ON l.symbol = p.symbol)"""
 
 
-def judged(spark, sf, every=7):
+def judged(spark, sf):
     rows = ind.log_return(numbered(spark, sf))
     ends = rows.groupBy("symbol").agg(F.max_by("avg_close", "i").alias("last_price"))
     came = rows.select("symbol", F.col("i").alias("at"), F.col("log_return").alias("y_true"), F.col("avg_close").alias("actual"))
-    made = paths(spark, sf, every).select("symbol", F.col("i").alias("sequence"), "step", "base_price", F.col("log_return").alias("y_pred"), (F.col("i") + F.col("step")).alias("at"), "predicted_price", "cum_return")
+    made = paths(spark, sf).select("symbol", F.col("i").alias("sequence"), "step", "base_price", F.col("log_return").alias("y_pred"), (F.col("i") + F.col("step")).alias("at"), "predicted_price", "cum_return")
     return made.join(came, ["symbol", "at"]).join(ends, "symbol")
 
 
 @query(f"""WITH {JUDGED}, p AS (SELECT *, last_price * exp(sum(y_true) OVER w) AS t, last_price * exp(sum(y_pred) OVER w) AS q FROM judged WINDOW w AS (PARTITION BY symbol, sequence ORDER BY step))
  SELECT symbol, {r6('sqrt(avg((t - q) * (t - q))) AS rmse', 'avg(abs(t - q)) AS mae', 'avg(CASE WHEN step = 1 THEN (sign(y_true) = sign(y_pred))::INT END) * 100 AS direction_pct')} FROM p GROUP BY 1""")
-def forecast_metrics(spark, sf, every=7):
-    return evaluate.forecast_metrics(judged(spark, sf, every))
+def forecast_metrics(spark, sf):
+    return evaluate.forecast_metrics(judged(spark, sf))
 
 
 @query(f"""WITH {JUDGED}, c AS (SELECT symbol, count(*) FILTER (NOT t AND NOT g) AS n00, count(*) FILTER (NOT t AND g) AS n01, count(*) FILTER (t AND NOT g) AS n10, count(*) FILTER (t AND g) AS n11 FROM (SELECT symbol, y_true > 0 AS t, y_pred > 0 AS g FROM judged) GROUP BY 1)
  SELECT symbol, {r6('100.0 * (n00 + n11) / (n00 + n01 + n10 + n11) AS accuracy_pct', '(2.0 * n00 / (2 * n00 + n01 + n10) + 2.0 * n11 / (2 * n11 + n01 + n10)) / 2 AS f1_macro', '100.0 * n00 / (n00 + n01) AS recall_down', '100.0 * n11 / (n11 + n10) AS recall_up')}, n00, n01, n10, n11 FROM c""")
-def class_metrics(spark, sf, every=7):
+def class_metrics(spark, sf):
     up = lambda c: (F.col(c) > 0).cast("int")
-    return evaluate.class_metrics(judged(spark, sf, every).select("symbol", up("y_true").alias("truth"), up("y_pred").alias("guess")))
+    return evaluate.class_metrics(judged(spark, sf).select("symbol", up("y_true").alias("truth"), up("y_pred").alias("guess")))
 
 
 @query(f"WITH {PREDICTIONS} SELECT p.symbol, step::BIGINT AS step, {r6('avg(abs(d.avg_close - predicted_price) / (abs(d.avg_close) + 1e-10)) * 100 AS mape', 'avg(abs(d.avg_close - predicted_price)) AS mae', 'avg(d.avg_close - predicted_price) AS residual_mean', 'stddev_samp(d.avg_close - predicted_price) AS residual_std')}, count(*) AS n FROM pred p JOIN daily d ON d.symbol = p.symbol AND d.date = prediction_date GROUP BY 1, 2")
-def step_errors(spark, sf, every=7):
+def step_errors(spark, sf):
     from tidewell.operators.lookup import history_join
 
-    return evaluate.step_errors(history_join(predictions(spark, sf, every), daily(spark, sf)))
+    return evaluate.step_errors(history_join(predictions(spark, sf), daily(spark, sf)))
 
 
 _WALK = f"""{FOLDS}, r AS (SELECT *, ln(avg_close / lag(avg_close) OVER (PARTITION BY symbol ORDER BY i)) AS lr FROM numbered),
  seqs AS MATERIALIZED (SELECT f.symbol, fold, part, f.i AS sequence, step, f.avg_close AS base_price, r.lr AS y_true FROM folds f, (SELECT unnest(range(1, 8)) AS step), r
-  WHERE r.symbol = f.symbol AND r.i = f.i + step AND f.i % 5 = 0 AND CASE WHEN part = 'train' THEN f.i + 7 < train_end ELSE f.i + 7 < val_end END),
+  WHERE r.symbol = f.symbol AND r.i = f.i + step AND CASE WHEN part = 'train' THEN f.i + 7 < train_end ELSE f.i + 7 < val_end END),
  kept AS (SELECT symbol, fold, count(DISTINCT sequence) FILTER (part = 'train') AS n_train, count(DISTINCT sequence) FILTER (part = 'val') AS n_val FROM seqs GROUP BY 1, 2 HAVING n_train >= 10 AND n_val >= 3),
  p AS (SELECT *, base_price * exp(sum(y_true) OVER (PARTITION BY symbol, fold, sequence ORDER BY step)) AS t FROM seqs JOIN kept USING (symbol, fold) WHERE part = 'val'),
  m AS (SELECT symbol, fold, sqrt(avg((t - base_price) ** 2)) AS rmse, avg(abs(t - base_price)) AS mae, avg(CASE WHEN step = 1 THEN (sign(y_true) = 0)::INT END) * 100 AS direction_pct FROM p GROUP BY 1, 2)"""
 
 
 @query(f"WITH {_WALK} SELECT symbol, {r6('avg(rmse) AS rmse', 'avg(mae) AS mae', 'avg(direction_pct) AS direction_pct')}, count(*) AS folds FROM m GROUP BY 1")
-def walk_forward(spark, sf, every=5):
-    """Persistence over the folds, from every fifth row; walk_forward_all has all rows."""
+def walk_forward(spark, sf):
+    """Persistence over the folds, from all their sequences."""
     rows = ind.log_return(numbered(spark, sf))
-    folds = features.walk_forward_folds(numbered(spark, sf)).filter(F.col("i") % every == 0)
+    folds = features.walk_forward_folds(numbered(spark, sf))
     steps = folds.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(7)))).withColumn("at", F.col("i") + F.col("step"))
     inside = F.col("i") + 7 < F.when(F.col("part") == "train", F.col("train_end")).otherwise(F.col("val_end"))
     came = rows.select("symbol", F.col("i").alias("at"), F.col("log_return").alias("y_true"))
@@ -375,15 +375,15 @@ ACC = f"""{PREDICTIONS}, newest AS (SELECT symbol, prediction_date AS date, pred
   FROM (SELECT symbol, date FROM daily UNION SELECT symbol, prediction_date FROM pred) w LEFT JOIN newest USING (symbol, date) LEFT JOIN daily a USING (symbol, date) LEFT JOIN daily b ON b.symbol = w.symbol AND b.date = w.date - 1)"""
 
 
-def accuracy(spark, sf, every=7):
-    rows, pred = kept(daily(spark, sf)), kept(predictions(spark, sf, every))
+def accuracy(spark, sf):
+    rows, pred = kept(daily(spark, sf)), kept(predictions(spark, sf))
     days = kept(rows.select("symbol", "date").unionByName(pred.select("symbol", F.col("prediction_date").alias("date"))).distinct())
     return evaluate.evaluate_days(pred, ticks(spark, sf), rows, days)
 
 
 @query(f"WITH {ACC} SELECT symbol, {day()}, {r6('predicted_price', 'actual_price', 'previous_price', 'mae', 'mape')}, direction, actual_direction, (direction = actual_direction)::VARCHAR AS direction_correct, reason FROM acc")
-def evaluate_days(spark, sf, every=7):
-    return accuracy(spark, sf, every).select("symbol", "date", "predicted_price", "actual_price", "previous_price", "mae", "mape", "direction", "actual_direction", F.col("direction_correct").cast("string").alias("direction_correct"), "reason")
+def evaluate_days(spark, sf):
+    return accuracy(spark, sf).select("symbol", "date", "predicted_price", "actual_price", "previous_price", "mae", "mape", "direction", "actual_direction", F.col("direction_correct").cast("string").alias("direction_correct"), "reason")
 
 
 @query(f"""WITH {NEAR}, {TICK_DAILY}, f AS (SELECT symbol, event_time::DATE AS date, max(price) AS predicted_price FROM ticks GROUP BY 1, 2), a AS (SELECT symbol, date, avg(price) AS p FROM near GROUP BY 1, 2)
@@ -402,21 +402,21 @@ def accuracy_metrics(spark, sf):
 
 
 @query(f"WITH {ACC} SELECT symbol, {day()}, {r6('mae', 'mape')} FROM acc WHERE date >= DATE '2001-10-01' - 30")
-def accuracy_history(spark, sf, every=7):
-    return evaluate.accuracy_history(accuracy(spark, sf, every), 30, "2001-10-01").select("symbol", "date", "mae", "mape")
+def accuracy_history(spark, sf):
+    return evaluate.accuracy_history(accuracy(spark, sf), 30, "2001-10-01").select("symbol", "date", "mae", "mape")
 
 
 @query(f"WITH {ACC} SELECT symbol, round(avg(mae), 2) + 0.0 AS avg_mae, round(avg(mape), 2) + 0.0 AS avg_mape, round(avg((direction = actual_direction)::INT) * 100, 1) + 0.0 AS direction_pct, count(*) AS n FROM acc WHERE date >= DATE '1999-01-01' GROUP BY 1")
-def accuracy_summary(spark, sf, every=7):
-    return stats.accuracy_summary(accuracy(spark, sf, every), "1999-01-01")
+def accuracy_summary(spark, sf):
+    return stats.accuracy_summary(accuracy(spark, sf), "1999-01-01")
 
 
 @query(f"""WITH {PREDICTIONS}, log AS (SELECT * FROM pred WHERE symbol <> 'R' AND run_date < DATE '1999-01-01' UNION ALL SELECT * FROM pred WHERE symbol = 'R'),
  j AS (SELECT l.*, r.avg_close AS actual_price, CASE WHEN log_return > 0.01 THEN 'UP' WHEN log_return < -0.01 THEN 'DOWN' WHEN log_return IS NOT NULL THEN 'FLAT' END AS actual_direction FROM log l LEFT JOIN returns r ON r.symbol = l.symbol AND r.date = l.prediction_date)
  SELECT symbol, {day('run_date')}, {day('prediction_date')}, {r6('predicted_price', 'actual_price')}, round((predicted_price - actual_price) / actual_price * 100, 4) + 0.0 AS error_pct, actual_direction, direction = actual_direction AS direction_correct, (SELECT count(*) FROM j) AS total
  FROM j ORDER BY j.run_date DESC, symbol, j.prediction_date, model_id LIMIT 100 OFFSET 100""")
-def prediction_history(spark, sf, every=7):
-    pred = kept(predictions(spark, sf, every))
+def prediction_history(spark, sf):
+    pred = kept(predictions(spark, sf))
     log = pred.filter("symbol <> 'R' and run_date < '1999-01-01'")
     found = evaluate.prediction_history(log, pred, daily(spark, sf), page=2, limit=100)
     return found.select("symbol", "run_date", "prediction_date", "predicted_price", "actual_price", "error_pct", "actual_direction", "direction_correct", "total")
@@ -429,15 +429,15 @@ def vol_errors(spark, sf):
 
 
 @query(f"WITH {JUDGED} SELECT symbol, {r6('avg(CASE WHEN abs(y_pred - y_true) <= 1 THEN 0.5 * (y_pred - y_true) ** 2 ELSE abs(y_pred - y_true) - 0.5 END * CASE WHEN sign(y_pred) = sign(y_true) THEN 1 ELSE 3 END) AS loss')} FROM judged GROUP BY 1")
-def dir_huber(spark, sf, every=7):
-    return evaluate.dir_huber(judged(spark, sf, every))
+def dir_huber(spark, sf):
+    return evaluate.dir_huber(judged(spark, sf))
 
 
 @query(f"WITH {ACC} SELECT symbol, {r6('avg(mape) AS mean_mape')}, count(mape) AS samples, count(mape) >= 5 AND avg(mape) >= 15 AS drifting FROM acc WHERE date > DATE '2001-06-01' - 14 AND date <= DATE '2001-06-01' GROUP BY 1")
-def drift_alert(spark, sf, every=7):
-    return evaluate.drift_alert(accuracy(spark, sf, every), "2001-06-01")
+def drift_alert(spark, sf):
+    return evaluate.drift_alert(accuracy(spark, sf), "2001-06-01")
 
 
 @query(f"WITH {ACC} SELECT symbol, {day('date', 'prediction_date')}, round(avg(abs(round((predicted_price - actual_price) / actual_price * 100, 4))) OVER {W(30)} + 1.3e-8, 3) + 0.0 AS rolling_mape FROM acc WHERE reason IS NULL", digits=3)
-def rolling_mape(spark, sf, every=7):
-    return evaluate.rolling_mape(predictions(spark, sf, every), daily(spark, sf))
+def rolling_mape(spark, sf):
+    return evaluate.rolling_mape(predictions(spark, sf), daily(spark, sf))

@@ -9,13 +9,14 @@ from tidewell.operators import series
 from tidewell.plans.catalog import DAILY, NUMBERED, RETURNS, TICKS, daily, day, numbered, query, r6, rows_frame, second, ticks
 from tidewell.plans.queries_basic import PAIRED, paired
 from tidewell.sources import sinks
+from tidewell.sources.log import append_log
 from tidewell.sources.readers import read_tick_stream, ticks_from_events
 from tidewell.sources.scratch import scratch_folder
 from tidewell.streaming import ticks as live
 
 W = rows_frame
-#: About as many ticks to a micro-batch of enrich_stream.
-SLICE = 500_000
+#: Messages that a trigger of enrich_stream takes at most.
+SLICE = 50_000
 BY_DATE = "(PARTITION BY symbol ORDER BY date)"
 
 
@@ -284,21 +285,24 @@ def enrich_batch(spark, sf):
 
 @query(f"WITH {_ENRICHED} {_ENRICHED_ROWS}")
 def enrich_stream(spark, sf):
-    """The same rows from a stream over time-ordered slices, with the look-back kept as state."""
+    """The same rows from messages in a log: bounded triggers, ticks put in order by event time, look-back kept as state."""
     folder = scratch_folder(spark)
     rows = ticks(spark, sf)
-    span = rows.agg(F.min("event_time").alias("lo"), F.max("event_time").alias("hi"), F.count("*").alias("n")).first()
-    parts = max(3, -(-span.n // SLICE))
-    at = F.unix_micros(F.col("event_time").cast("timestamp"))
-    low, high = (F.unix_micros(F.lit(t).cast("timestamp")) for t in (span.lo, span.hi))
-    rows = rows.withColumn("part", F.floor((at - low) * parts / (high - low + 1)))
-    for part in range(parts):  # one after another, each one file, so that they come in the order of time
-        sinks.append_table(rows.filter(F.col("part") == part).drop("part").repartition(1), f"{folder}/ticks")
-    rows = rows.drop("part")
-    stream = read_tick_stream(spark, "parquet", rows.schema, f"{folder}/ticks", maxFilesPerTrigger="1")
-    out = live.enrich_stream(stream).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
-    out.trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("symbol", "seq", *live.ENRICHED)
+    end = rows.groupBy().agg((F.max("event_time") + F.expr("interval 1 day")).alias("event_time")).select(F.lit("").alias("symbol"), "event_time", F.lit(0.0).alias("price"), F.lit(0.0).alias("volume"), F.lit(-1).cast("long").alias("seq"))
+    sent = rows.unionByName(end.filter("event_time is not null"))  # a last tick of no symbol, for the watermark
+    message = F.to_json(F.struct("symbol", F.unix_micros(F.col("event_time").cast("timestamp")).alias("us"), "price", "volume", "seq"))
+    # One partition keeps the order of time over all symbols; its segments are written and read by many tasks.
+    append_log(sent.select(F.col("symbol").alias("key"), message.alias("value"), "event_time", "seq"), f"{folder}/log", partitions=1, order=["event_time", "seq"], tasks=8)
+    stream = read_tick_stream(spark, "log", path=f"{folder}/log", maxOffsetsPerTrigger=str(SLICE))
+    parsed = stream.select(F.from_json("value", "symbol string, us long, price double, volume double, seq long").alias("m")).select("m.symbol", F.timestamp_micros("m.us").alias("event_time"), "m.price", "m.volume", "m.seq")
+    with live.state_on_disk(spark):
+        out = live.enrich_event_time(parsed).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{folder}/checkpoint")
+        running = out.trigger(processingTime="0 seconds").start(f"{folder}/out")
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    return spark.read.schema(live.ENRICHED_STREAM).parquet(f"{folder}/out").select("symbol", "seq", *live.ENRICHED)
 
 
 _CHANGE = "volume % 13 - 6"
@@ -322,6 +326,16 @@ def stream_alerts(spark, sf):
     return sinks.read_table(spark, f"{folder}/alerts").select("symbol", "event_time").distinct()
 
 
+@query(f"WITH {TICKS} SELECT symbol, {second('event_time')}, {r6('arg_max(price, seq) AS price', f'arg_max({_CHANGE}, seq) AS change_24h')} FROM ticks WHERE abs({_CHANGE}) > 5 GROUP BY symbol, event_time")
+def stream_alert_prices(spark, sf):
+    """Price and change of the same alerts; of ticks of one symbol and time the last by seq counts."""
+    folder = scratch_folder(spark)
+    sink = live.enrich_and_alert(f"{folder}/enriched", f"{folder}/alerts")
+    out = _alert_stream(spark, sf).writeStream.foreachBatch(sink).option("checkpointLocation", f"{folder}/checkpoint")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return sinks.read_table(spark, f"{folder}/alerts").select("symbol", "event_time", "price", "change_24h")
+
+
 @query(f"WITH {TICKS} SELECT symbol, count(DISTINCT event_time) AS rows FROM ticks GROUP BY 1")
 def stream_two_queries(spark, sf):
     """Rows that the enrichment query writes, run beside the window query with a checkpoint of its own."""

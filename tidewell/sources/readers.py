@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.sources.log import read_log_stream
 from tidewell.schemas import HISTORY, TICK_MESSAGE
 
 
@@ -38,7 +39,9 @@ def normalize_history(df: DataFrame) -> DataFrame:
 
 
 def read_tick_stream(spark: SparkSession, kind: str = "kafka", schema=None, path: str | None = None, **options) -> DataFrame:
-    """A stream of raw ticks: Kafka (if its package is there) or files of `schema`."""
+    """A stream of raw ticks: Kafka (if its package is there), a message log (`log`) or files of `schema`."""
+    if kind == "log":
+        return read_log_stream(spark, path, **({"maxOffsetsPerTrigger": "1000"} | options))
     reader = spark.readStream.format(kind)
     if kind == "kafka":
         options = {"startingOffsets": "latest", "failOnDataLoss": "false", "maxOffsetsPerTrigger": "1000"} | options

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewell.operators import indicators as ind
@@ -16,6 +18,8 @@ from tidewell.sources.sinks import upsert_table
 
 LATENESS = "10 minutes"
 ORDER = ("event_time", "seq")
+#: Seconds for which a reader may still read what a batch has replaced.
+KEEP = 600
 #: Rows that the longest look-back needs.
 LOOK_BACK = 60
 
@@ -77,10 +81,11 @@ def enrich_rows(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def enrich_stream(df: DataFrame) -> DataFrame:
-    """enrich_batch() with the look-back carried from batch to batch.
+    """enrich_batch() with the look-back carried from batch to batch, for ticks that come in order.
 
-    Keeps the last 60 rows of each symbol as state; ticks that come in order
-    give the same rows as the whole table would. The state is bounded.
+    Keeps the last 60 rows of each symbol as state and gives out every tick at
+    once; one that is behind is enriched as if it came last. See
+    enrich_event_time() for ticks in any order.
     """
     kind = "symbol string, event_time timestamp, price double, volume double, seq long"
     kept = f"rows array<struct<{', '.join(f.replace(' ', ':') for f in ('event_time timestamp', 'price double', 'volume double', 'seq long'))}>>"
@@ -101,6 +106,108 @@ def enrich_stream(df: DataFrame) -> DataFrame:
     return df.select(*columns).groupBy("symbol").applyInPandasWithState(update, out, kept, "append", "NoTimeout")
 
 
+_ROW = "us long, price double, volume double, seq long"
+_PLAIN = ["us", "price", "volume", "seq"]
+ENRICHED_STREAM = "symbol string, event_time timestamp, price double, volume double, seq long, late long, " + ", ".join(f"{c} double" for c in ENRICHED)
+
+
+class TickEnricher(StatefulProcessor):
+    """State of one symbol: ticks that wait for the watermark, the last 61 that have gone out, and counts.
+
+    Ticks go out when the watermark has passed them, in the order of (event_time, seq),
+    so those that come late but within it stand where they belong. What
+    comes after a later tick has gone out is dropped and counted. Timers of the
+    event time wake a symbol when its next tick is due, and drop its state
+    when it has been idle for `idle` seconds.
+    """
+
+    def __init__(self, idle: float):
+        self.idle = int(idle * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _ROW)
+        self.before = handle.getListState("before", _ROW)
+        self.counts = handle.getValueState("counts", "us long, seq long, late long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh = pd.concat(list(rows))
+        us, seq, late = self.counts.get() or (None, None, 0)
+        if us is not None:
+            behind = (fresh["us"] < us) | ((fresh["us"] == us) & (fresh["seq"] <= seq))
+            if behind.any():
+                self.counts.update((us, seq, late + int(behind.sum())))
+                fresh = fresh[~behind]
+        if len(fresh):
+            self.waiting.appendList(_tuples(fresh))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def _advance(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.waiting.get()), columns=_PLAIN)
+        due = held["us"] <= watermark * 1000
+        us, seq, late = self.counts.get() or (None, None, 0)
+        if due.any():
+            old = pd.DataFrame(list(self.before.get()), columns=_PLAIN)
+            ready = held[due].sort_values(["us", "seq"])
+            rows = ready if old.empty else pd.concat([old, ready], ignore_index=True)
+            self.before.put(_tuples(rows.tail(LOOK_BACK + 1)))
+            us, seq = int(rows["us"].iloc[-1]), int(rows["seq"].iloc[-1])
+            self.counts.update((us, seq, late))
+            held = held[~due]
+            if len(held):
+                self.waiting.put(_tuples(held))
+            else:
+                self.waiting.clear()
+            out = enrich_rows(rows.assign(symbol=key[0], event_time=pd.to_datetime(rows["us"], unit="us", utc=True), late=late))
+            yield out.iloc[len(old) :][["symbol", "event_time", "price", "volume", "seq", "late", *ENRICHED]]
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if len(held):
+            self.handle.registerTimer(-(-int(held["us"].min()) // 1000))
+        elif us is not None and us // 1000 + self.idle > watermark:
+            self.handle.registerTimer(us // 1000 + self.idle)
+        elif us is not None:
+            self.before.clear()
+            self.counts.clear()
+
+
+def _tuples(rows: pd.DataFrame) -> list[tuple]:
+    return [(int(u), float(p), float(v), int(s)) for u, p, v, s in rows[_PLAIN].itertuples(index=False, name=None)]
+
+
+@contextlib.contextmanager
+def state_on_disk(spark: SparkSession):
+    """Queries started within keep their state in RocksDB, which enrich_event_time() needs."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def enrich_event_time(df: DataFrame, *, delay: str = LATENESS, idle: float = 7 * 86400) -> DataFrame:
+    """enrich_batch() over a stream, with the look-back carried from batch to batch.
+
+    Ticks may come up to `delay` out of order and give the rows that the
+    whole table would; they go out when the watermark passes them, so the last ones
+    wait for a later tick of any symbol. Later ones are dropped: by Spark,
+    which counts them in the query's progress, or here, counted in `late` (so
+    far, by symbol). The state of a symbol is its waiting ticks and 61 more; it
+    goes after `idle` seconds of event time without a tick, after which
+    the look-back begins anew. A tick without a price, volume or seq is an
+    error; one without a time is dropped. Start the query within
+    state_on_disk().
+    """
+    late = with_lateness(df.filter("event_time is not null"), delay)
+    columns = late.select("symbol", "event_time", F.unix_micros("event_time").alias("us"), "price", "volume", "seq")
+    return columns.groupBy("symbol").transformWithStateInPandas(TickEnricher(idle), ENRICHED_STREAM, "append", "eventTime")
+
+
 def stream_id(batch: DataFrame) -> str:
     """The id of the query that a micro-batch belongs to; a query begun with a new checkpoint has a new one."""
     return batch.sparkSession._jsparkSession.sparkContext().getLocalProperty("sql.streaming.queryId") or ""
@@ -115,7 +222,7 @@ def upsert_batches(path: str, keys: list[str], order_col: str | None = None, tra
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        upsert_table(transform(batch) if transform else batch, path, keys, order_col, version=batch_id + 1, source=stream_id(batch), by=by)
+        upsert_table(transform(batch) if transform else batch, path, keys, order_col, version=batch_id + 1, source=stream_id(batch), by=by, keep=KEEP)
 
     return write
 
@@ -126,12 +233,12 @@ def enrich_and_alert(enriched_path: str, alerts_path: str, pct: float = 5.0):
     def write(batch: DataFrame, batch_id: int) -> None:
         if batch.isEmpty():
             return
-        once = {"version": batch_id + 1, "source": stream_id(batch), "by": "event_time"}
+        once = {"version": batch_id + 1, "source": stream_id(batch), "by": "event_time", "keep": KEEP}
         batch.persist()
         try:
             upsert_table(enrich_batch(batch), enriched_path, ["symbol", "event_time"], "seq", **once)
             if "change_24h" in batch.columns:
-                upsert_table(price_alerts(batch, pct), alerts_path, ["symbol", "event_time"], **once)
+                upsert_table(price_alerts(batch, pct, carry=("seq",)), alerts_path, ["symbol", "event_time"], "seq", **once)
         finally:
             batch.unpersist()
 
