@@ -1,4 +1,4 @@
-"""Line dedup with whole=True: repeated passages go from their first to their last line."""
+"""Line dedup with whole=True: repeated passages go from their first to their last line. All windows of two lines are the brute force."""
 
 import random
 
@@ -66,6 +66,31 @@ def test_whole_removes_what_chunks_remove_and_repeated_rows_alike(spark):
     assert len(twice) == 2 * len(texts) and {r.doc_id: r.deduped.n_removed for r in twice} == once
 
 
+def test_coarse_chunks_find_what_lines_alone_miss(spark):
+    """Lines that each stand alone in an earlier text have their leaders there; a chunk of them has its own."""
+    r = random.Random(5)
+    passages = [[" ".join(str(r.randrange(10**6)) for _ in range(4)) for _ in range(6)] for _ in range(12)]
+    alone = [line for p in passages for line in p]
+    texts = alone + [f"{k} first\n" + "\n".join(p) + f"\n{k} last" for k, p in enumerate(passages * 2)]
+    gone = lambda spread: sum(x.deduped.n_removed for x in lines.dedup_lines(frame(spark, texts), whole=True, spread=spread).collect())
+    want = sum(t.count("\n") - (s or "").count("\n") for (_, t), s in zip(enumerate(texts), brute.line_dedup(list(enumerate(texts)), spread=2).values()))
+    assert gone(10**9) == 0 < gone(2) == want  # with one chunk to a text, and with chunks of about two lines
+
+
+def test_hashes_and_bytes_of_every_removed_line_are_of_an_earlier_pair(spark):
+    texts = [x.text for x in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    first = {}
+    for i, text in enumerate(texts):
+        for at, pair in windows(text or ""):
+            first.setdefault(pair, (i, at))
+    got = lines.repeated_chunks(frame(spark, texts), whole=True).collect()
+    for x in got:
+        rows = texts[x.doc].split("\n")
+        for c in x.gone:
+            part = tuple(rows[c.first : c.first + c.n])
+            assert all(first[p] < (x.doc, c.first + at) for at, p in windows("\n".join(part)) if p in first)
+
+
 def test_op7_removes_whole_passages(spark):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {r.doc_id: r.n_removed for r in op7_line_dedup(spark, SF).collect()}
