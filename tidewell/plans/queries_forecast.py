@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import indicators as ind
 from tidewell.operators import stats
-from tidewell.plans import evaluate, features, forecast
+from tidewell.plans import bootstrap, evaluate, features, forecast
 from tidewell.plans.catalog import AUX, NUMBERED, RETURNS, TICKS, aux, daily, day, numbered, query, r6, rows_frame, ticks
 from tidewell.plans.predictions import PREDICTIONS, paths, predictions
 from tidewell.plans.queries_basic import NEAR, TICK_DAILY
@@ -246,6 +246,33 @@ def residual_band(spark, sf):
     return forecast.residual_band(paths(spark, sf).withColumn("sample", F.col("predicted_price")))
 
 
+_DRAW = "(((i % 2147483647) * 48271 + b * 69621 + 1) % 2147483647) AS x"
+_LATER = ["(x * x + b) % 2147483647", "(x * 40692 + 7) % 2147483647", "(x * x + b * b) % 2147483647", "(x * 16807) % 2147483647"]
+
+
+def _drawn(table: str, replicates: int) -> str:
+    """Weights w of the rows i of a table in replicates b."""
+    sql = f"SELECT *, {_DRAW} FROM {table}, (SELECT unnest(range(1, {replicates + 1})) AS b)"
+    for step in _LATER:
+        sql = f"SELECT * REPLACE ({step} AS x) FROM ({sql})"
+    return f"SELECT *, {' + '.join(f'(x >= {s})::BIGINT' for s in bootstrap.STEPS)} AS w FROM ({sql})"
+
+
+@query(f"""WITH {PREDICTIONS}, res AS (SELECT pred.symbol, step, i, floor(ln(avg_close / predicted_price) * {float(1 << bootstrap.UNIT)})::BIGINT AS v FROM pred JOIN daily ON daily.symbol = pred.symbol AND daily.date = prediction_date),
+ drawn AS ({_drawn('res', 1000)}), means AS (SELECT symbol, step, b, sum(v::HUGEINT * w)::DOUBLE / {float(1 << bootstrap.UNIT)} / sum(w) AS m FROM drawn WHERE w > 0 GROUP BY 1, 2, 3),
+ f AS (SELECT symbol, step, avg(exp(m)) AS m, stddev_pop(exp(m)) AS s FROM means GROUP BY 1, 2), newest AS (SELECT * FROM pred QUALIFY run_date = max(run_date) OVER (PARTITION BY symbol))
+ SELECT symbol, step::BIGINT AS step, {r6('predicted_price', 'predicted_price * m AS mean', 'predicted_price * (m - 1.96 * s) AS low', 'predicted_price * (m + 1.96 * s) AS high', 'least(1.0, greatest(0.0, 1 - s / m)) AS confidence')} FROM newest JOIN f USING (symbol, step)""")
+def bootstrap_band(spark, sf):
+    """Bands of the newest run from 1,000 resamples of all residuals of each step; a run's steps are drawn together."""
+    made = kept(paths(spark, sf))
+    due = made.withColumn("date", F.date_add("run_date", F.col("step")))
+    known = due.join(daily(spark, sf).select("symbol", "date", F.col("avg_close").alias("actual")), ["symbol", "date"])
+    residuals = known.select("symbol", "step", F.col("i").alias("row"), F.log(F.col("actual") / F.col("predicted_price")).alias("residual"))
+    newest = made.groupBy("symbol").agg(F.max("run_date").alias("run_date"))
+    rows = made.join(newest, ["symbol", "run_date"]).select("symbol", "step", "predicted_price")
+    return bootstrap.bootstrap_band(rows, residuals)
+
+
 @query()
 def linear_forecast(spark, sf):
     """Direct multi-step linear forecasts from the last five returns, fitted on the training split, against what came in the others."""
