@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import indicators as ind
 from tidewell.operators import stats
-from tidewell.plans import bootstrap, evaluate, features, forecast
+from tidewell.plans import bootstrap, evaluate, features, forecast, wide
 from tidewell.plans.catalog import AUX, NUMBERED, RETURNS, TICKS, aux, daily, day, numbered, query, r6, rows_frame, ticks
 from tidewell.plans.predictions import PREDICTIONS, paths, predictions
 from tidewell.plans.queries_basic import NEAR, TICK_DAILY
@@ -340,8 +340,17 @@ def walk_forward(spark, sf):
 @query()
 def walk_forward_linear(spark, sf):
     """A linear forecaster fitted in every fold, from all its sequences."""
-    rows = ind.log_return(numbered(spark, sf))
-    return evaluate.walk_forward_fitted(features.walk_forward_folds(rows))[1]
+    rows = kept(ind.log_return(numbered(spark, sf)))
+    return wide.walk_forward_prefix(rows)[1]
+
+
+@query()
+def wide_forecast(spark, sf):
+    """Three steps from all nine features of 60 rows, fitted on the training split, for every sequence of the others."""
+    rows = kept(split(spark, sf)).withColumn("came", F.col("log_return_1d"))
+    rows = features.apply_scaler(rows, features.fit_scaler(rows))
+    model = wide.fit_wide(rows, 3, target="came")
+    return wide.apply_wide(rows.filter("split <> 'train'"), model, 3, target="came")
 
 
 def _back(factor: str) -> str:
