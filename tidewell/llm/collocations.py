@@ -85,7 +85,8 @@ def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(len(words), np.int64)
             for c in counts:
                 total[: len(c)] += c
-            yield pd.DataFrame({"lang": lang, "word": [w.decode() for w in list(words)[1:]], "f": total[1:]})
+            if len(words) > 1:
+                yield pd.DataFrame({"lang": lang, "word": [w.decode() for w in list(words)[1:]], "f": total[1:]})
         known.clear()
 
     for lang, text in _texts(batches):
@@ -180,6 +181,8 @@ def _shards(ranges: Ranges, salt: int, words_bits, pairs_bits=None):
             order = np.argsort(where, kind="stable")
             edges = np.flatnonzero(np.diff(where[order])) + 1
             cuts = [c for c in np.split(order, edges) if len(c)]
+            if not cuts:
+                return
             yield pd.DataFrame({"lang": lang, "range": [int(where[c[0]]) for c in cuts], "automaton": [Automaton.build(grams[c], counts[c]).dump() for c in cuts]})
 
         for lang, text in _texts(batches):
@@ -200,7 +203,7 @@ _GRAM = "lang string, range long, gram array<long>, f long"
 
 def _rows(lang: str, place: int, grams: np.ndarray, f: np.ndarray) -> pd.DataFrame:
     size = (grams > 0).sum(axis=1)
-    return pd.DataFrame({"lang": lang, "range": place, "gram": pd.Series([g[:n] for g, n in zip(grams.view(np.int64), size)], dtype=object), "f": f})
+    return pd.DataFrame({"lang": pd.Series([lang] * len(f), dtype=object), "range": np.full(len(f), place), "gram": pd.Series([g[:n] for g, n in zip(grams.view(np.int64), size)], dtype=object), "f": f})
 
 
 def _united(shards: DataFrame, least: int) -> DataFrame:
@@ -271,7 +274,8 @@ def _lowest(scale: int):
                     halves.setdefault(int(c["cut"]), {})[int(c["side"])] = int(c["f"])
                 score, cut = min((scale * int(a) * int(n) // (h[0] * h[1]), k) for k, h in halves.items())
                 out.append((lang, gram, a, halves[cut][0], halves[cut][1], n, score))
-            yield pd.DataFrame(out, columns=["lang", "gram", "a", "l", "r", "n", "score"])
+            if out:
+                yield pd.DataFrame(out, columns=["lang", "gram", "a", "l", "r", "n", "score"])
 
     return run
 
