@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.series import decayed_sums, in_blocks, recurrence_halo, series_index
+from tidewell.operators.series import ROWS, decayed_sums, in_blocks, recurrence_halo, series_index
 from tidewell.operators.stats import pearson
 
 KEYS = ("symbol",)
@@ -216,11 +216,28 @@ def rolling_band(df: DataFrame, n: int = 30, *, col: str = "avg_close", order=("
     return df.select("*", *[full(c, col, n, order, keys).alias(name) for name, c in cols.items()])
 
 
-def drawdown(df: DataFrame, *, col: str = "avg_close", order=("date",), keys=KEYS) -> DataFrame:
-    """Fall below the highest price so far, and the deepest fall of the series."""
-    top = F.max(col).over(series(order, keys).rowsBetween(Window.unboundedPreceding, 0))
-    rows = df.withColumn("drawdown", F.try_divide(F.col(col) - top, top))
-    return rows.withColumn("max_drawdown", F.min("drawdown").over(Window.partitionBy(*keys)))
+def drawdown(df: DataFrame, *, col: str = "avg_close", order=("date",), keys=KEYS, bucket: str = "month") -> DataFrame:
+    """Fall below the highest price so far, and the deepest fall of the series.
+
+    A scan in two levels: the maximum of each stretch of a series (by row number i
+    if there is one, else by `bucket` of the first order column), the highest of the
+    stretches before it, and the running maximum inside. So a long series is
+    many tasks, and one task sees only its maxima.
+    """
+    stretch = F.expr(f"i div {ROWS}") if "i" in df.columns else F.date_trunc(bucket, F.col(order[0]))
+    rows = df.withColumn("__stretch", stretch)
+    tops = rows.groupBy(*keys, "__stretch").agg(F.max(col).alias("__top"))
+    before = F.max("__top").over(Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1))
+    named = lambda d, *more: d.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *more)
+    same = lambda d: [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    tops = named(tops, F.col("__stretch").alias("__at"), before.alias("__before"))
+    joined = rows.join(tops, [*same(tops), F.col("__stretch").eqNullSafe(F.col("__at"))], "left")
+    inside = F.max(col).over(Window.partitionBy(*keys, "__stretch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    top = F.greatest("__before", inside)  # nulls are passed over
+    found = joined.withColumn("drawdown", F.try_divide(F.col(col) - top, top)).drop(*tops.columns, "__stretch")
+    deepest = named(found.groupBy(*keys).agg(F.min("drawdown").alias("max_drawdown")), "max_drawdown")
+    out = found.join(deepest, same(deepest), "left").drop(*[f"__k_{k}" for k in keys])
+    return out.select(*df.columns, "drawdown", "max_drawdown")
 
 
 def rolling_corr(pairs: DataFrame, n: int, *, x: str = "x", y: str = "y", order=("date",), keys=("pair",)) -> DataFrame:

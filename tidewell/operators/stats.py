@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,16 +38,71 @@ def pearson(x: str, y: str, over=None) -> Column:
     return F.when(n >= 2, F.try_divide(at(F.covar_pop(cx, cy)), spread))
 
 
-def pair_correlation(daily: DataFrame, price: str = "avg_close") -> DataFrame:
-    """(symbol_a, symbol_b, pearson_corr) for all a < b: one self-join on date, one job."""
-    rows = daily.select("symbol", "date", F.col(price).alias("p"))
-    a = rows.select(F.col("symbol").alias("symbol_a"), "date", F.col("p").alias("pa"))
-    b = rows.select(F.col("symbol").alias("symbol_b"), "date", F.col("p").alias("pb"))
-    # Pairs without a common date are listed too, with a null.
-    joined = a.join(b, "date").filter("symbol_a < symbol_b").groupBy("symbol_a", "symbol_b").agg(pearson("pa", "pb").alias("pearson_corr"))
-    names = rows.select("symbol").distinct()
-    pairs = names.select(F.col("symbol").alias("symbol_a")).join(names.select(F.col("symbol").alias("symbol_b")), F.col("symbol_a") < F.col("symbol_b"))
-    return pairs.join(joined, ["symbol_a", "symbol_b"], "left")
+#: Symbols and days on a side of a tile of pair_correlation.
+TILE_SYMBOLS, TILE_DAYS = 256, 1024
+_MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
+def _tile(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of a tile's symbol pairs over the days that both have: products of matrices of values and of what is there."""
+    left, right = (rows[rows["block"] == k] for k in (key[1], key[2]))
+    days = {d: k for k, d in enumerate(rows["date"].dropna().unique())}
+
+    def matrix(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names = np.array(sorted(part["symbol"].unique()), dtype=object)
+        x, there = np.zeros((len(days), len(names))), np.zeros((len(days), len(names)))
+        full = part[part["p"].notna()]
+        at = full["date"].map(days).to_numpy(int), full["symbol"].map({s: k for k, s in enumerate(names)}).to_numpy(int)
+        x[at], there[at] = full["p"].to_numpy(), 1.0
+        return names, x, there
+
+    a, x, m = matrix(left)
+    b, y, k = (a, x, m) if key[1] == key[2] else matrix(right)
+    sums = dict(zip(_MOMENTS, (m.T @ k, x.T @ k, m.T @ y, (x * x).T @ k, m.T @ (y * y), x.T @ y), strict=True))
+    i, j = np.meshgrid(np.arange(len(a)), np.arange(len(b)), indexing="ij")
+    if key[1] == key[2]:
+        keep = i < j
+    else:
+        keep = np.ones(i.shape, bool)
+    i, j = i[keep], j[keep]
+    first, second = a[i], b[j]
+    swap = np.array([s > t for s, t in zip(first, second)], bool)
+    out = {c: v[keep] for c, v in sums.items()}
+    for c, d in (("sx", "sy"), ("sxx", "syy")):
+        out[c], out[d] = np.where(swap, out[d], out[c]), np.where(swap, out[c], out[d])
+    return pd.DataFrame({"symbol_a": pd.Series(np.where(swap, second, first), dtype=object), "symbol_b": pd.Series(np.where(swap, first, second), dtype=object), **out})
+
+
+def pair_correlation(daily: DataFrame, price: str = "avg_close", *, symbols: int = TILE_SYMBOLS, days: int = TILE_DAYS) -> DataFrame:
+    """(symbol_a, symbol_b, pearson_corr) for all a < b: a blocked product of matrices.
+
+    Symbols fall into blocks of about `symbols`, days into stretches of `days`; a
+    task makes the moments of all pairs of two blocks over one stretch, and
+    these are added up. Each row is copied once for each block, not joined with
+    each symbol of its day. Values are taken from their symbol's mean, so that
+    sums stay exact enough. Pairs with fewer than two common days (none: they
+    are listed too), or a side that is constant there (its deviation is below
+    3e-7 of its distance from the mean), have a null. Rows without a symbol or
+    date are left out, NaN counts as null; a symbol has one row a day.
+    """
+    value = F.nanvl(F.col(price).cast("double"), F.lit(None).cast("double"))
+    rows = daily.filter("symbol is not null").select("symbol", F.to_date("date").alias("date"), value.alias("p"))
+    means = rows.groupBy("symbol").agg(F.avg("p").alias("mean"))
+    blocks = -(-max(means.count(), 1) // symbols)
+    block = F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int")
+    centred = rows.filter("date is not null").join(means, "symbol").select("symbol", "date", (F.col("p") - F.col("mean")).alias("p"), F.floor(F.unix_date("date") / days).alias("stretch"))
+    # A row of no day for each symbol lists the pairs that share none.
+    listed = means.select("symbol", F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("p"), F.lit(None).cast("long").alias("stretch"))
+    dealt = centred.unionByName(listed).withColumn("block", block)
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = dealt.select("*", other.alias("other")).select("*", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    sums = dealt.groupBy("stretch", "one", "two").applyInPandas(_tile, "symbol_a string, symbol_b string, " + ", ".join(f"{c} double" for c in _MOMENTS))
+    total = sums.groupBy("symbol_a", "symbol_b").agg(*[F.sum(c).alias(c) for c in _MOMENTS])
+    n = F.col("n")
+    spread = lambda s, ss: F.col(ss) / n - F.col(s) * F.col(s) / (n * n)
+    varies = lambda s, ss: spread(s, ss) > 1e-13 * F.col(ss) / n
+    r = (F.col("sxy") / n - F.col("sx") * F.col("sy") / (n * n)) / F.sqrt(spread("sx", "sxx") * spread("sy", "syy"))
+    return total.select("symbol_a", "symbol_b", F.when((n >= 2) & varies("sx", "sxx") & varies("sy", "syy"), r).alias("pearson_corr"))
 
 
 def corr_matrix(pairs: DataFrame, missing: float | None = None) -> DataFrame:
