@@ -67,6 +67,28 @@ def upsert_table(spark, sf):
     return sinks.read_table(spark, folder)
 
 
+def _by_day(spark, sf) -> str:
+    """A table of all ticks, one part for each day."""
+    folder = scratch_folder(spark)
+    sinks.upsert_table(ticks(spark, sf).select("symbol", F.col("event_time").cast("timestamp").alias("event_time"), "price", "seq"), folder, ["symbol", "event_time"], "seq", by="event_time")
+    return folder
+
+
+@query(f"WITH {TICKS} SELECT symbol, {second('event_time')}, {r6('arg_max(price, seq) AS price')} FROM ticks WHERE event_time BETWEEN TIMESTAMP '2024-01-10 06:00:00' AND TIMESTAMP '2024-01-12 18:30:00' GROUP BY symbol, event_time")
+def table_lookup(spark, sf):
+    """Rows of a range of times from a table by day, of which only the parts in the range are read."""
+    folder = _by_day(spark, sf)
+    return sinks.read_table(spark, folder, {"event_time": ("2024-01-10 06:00:00", "2024-01-12 18:30:00")}).select("symbol", "event_time", "price")
+
+
+@query(f"WITH {TICKS} SELECT symbol, {second('event_time')}, {r6('arg_max(price, seq) AS price')} FROM ticks WHERE event_time >= TIMESTAMP '2024-01-25 08:00:00' - INTERVAL 7 DAY GROUP BY symbol, event_time")
+def expire_table(spark, sf):
+    """What a table by day keeps when days before a limit leave it."""
+    folder = _by_day(spark, sf)
+    sinks.expire_table(spark, folder, 7, "2024-01-25 08:00:00")
+    return sinks.read_table(spark, folder).select("symbol", "event_time", "price")
+
+
 @query(f"WITH {TICKS} SELECT symbol, count(*) * 2 AS n FROM ticks GROUP BY 1")
 def append_table(spark, sf):
     folder = scratch_folder(spark)
