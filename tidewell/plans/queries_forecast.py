@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.operators import indicators as ind
 from tidewell.operators import stats
 from tidewell.plans import bootstrap, evaluate, features, forecast, wide
-from tidewell.plans.catalog import AUX, NUMBERED, RETURNS, TICKS, aux, daily, day, numbered, query, r6, rows_frame, ticks
+from tidewell.plans.catalog import AUX, NUDGE, NUMBERED, RETURNS, TICKS, aux, daily, day, numbered, query, r6, rows_frame, ticks
 from tidewell.plans.predictions import PREDICTIONS, paths, predictions
 from tidewell.plans.queries_basic import NEAR, TICK_DAILY
 from tidewell.plans.queries_series import _PCT_B, W, ema_cte, moves, strict, wilder_cte, wilder_value
@@ -236,9 +236,17 @@ def run_log(spark, sf):
     return forecast.run_log(pred, again).select("symbol", "run_date", "prediction_date", "horizon", "model_id", "predicted_price")
 
 
-@query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, step::BIGINT AS step, round(predicted_price * exp(-1.96 * sigma) + 1.3e-8, 2) + 0.0 AS band_low, round(predicted_price * exp(1.96 * sigma) + 1.3e-8, 2) + 0.0 AS band_high FROM pred", digits=2)
+def _shown_band(sign: str, name: str) -> str:
+    """A band to six places, from 10,000 on to two: bands reach 10 million, where engines differ in the sixth place."""
+    x = f"predicted_price * exp({sign}1.96 * sigma) + 1.3e-8"
+    return f"CASE WHEN {x} >= 10000 THEN round({x}, 2) ELSE round({x}, 6) END + 0.0 AS {name}"
+
+
+@query(f"WITH {PREDICTIONS} SELECT symbol, {day('run_date')}, step::BIGINT AS step, {_shown_band('-', 'band_low')}, {_shown_band('', 'band_high')} FROM pred")
 def forecast_band(spark, sf):
-    return forecast.forecast_band(paths(spark, sf)).select("symbol", "run_date", "step", "band_low", "band_high")
+    bands = forecast.forecast_band(paths(spark, sf))
+    short = lambda c: F.when(F.col(c) + NUDGE >= 10000, F.round(F.col(c) + NUDGE, 2)).otherwise(F.col(c)).alias(c)
+    return bands.select("symbol", "run_date", "step", short("band_low"), short("band_high"))
 
 
 @query(f"WITH {PREDICTIONS}, s AS (SELECT symbol, step, avg(predicted_price) AS m, stddev_pop(predicted_price) AS s FROM pred GROUP BY 1, 2) SELECT symbol, step::BIGINT AS step, {r6('m AS mean', 'm - 1.96 * s AS low', 'm + 1.96 * s AS high', 'least(1.0, greatest(0.0, 1 - s / m)) AS confidence')} FROM s")
