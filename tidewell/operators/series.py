@@ -16,13 +16,14 @@ ROWS = 4096
 NEGLIGIBLE, RANGE = 42.0, 600.0
 
 
-def series_index(df: DataFrame, time: str = "date", *, keys: tuple[str, ...] = ("symbol",), ties: tuple[str, ...] = (), into: str = "i", bucket: str = "month") -> DataFrame:
+def series_index(df: DataFrame, time: str = "date", *, keys: tuple[str, ...] = ("symbol",), ties: tuple[str, ...] = (), into: str = "i", bucket: str | Column = "month") -> DataFrame:
     """Adds a dense 0-based row number in each series.
 
     Rows are numbered inside (series, month), so a long series is many tasks;
     a running sum over the few bucket counts gives each bucket its offset.
+    `bucket` is a unit of time, or any value that never falls along `time`.
     """
-    rows = df.withColumn("__bucket", F.date_trunc(bucket, F.col(time)))
+    rows = df.withColumn("__bucket", F.date_trunc(bucket, F.col(time)) if isinstance(bucket, str) else bucket)
     counts = rows.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select(*keys, "__bucket", F.coalesce(before, F.lit(0)).alias("__offset"))

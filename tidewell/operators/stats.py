@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.quantiles import exact_quantiles, same_keys
+
 
 def daily_stats(closes: DataFrame) -> DataFrame:
     """One row for each symbol and date; avg_vwap is the mean close, as no trade prices are known."""
@@ -178,12 +180,19 @@ def range_change(daily: DataFrame) -> DataFrame:
 
 
 def describe_series(df: DataFrame, value: str = "avg_close", accuracy: int | None = None) -> DataFrame:
-    """Count, mean, sample deviation, quartiles and extremes; approximate quartiles with `accuracy`."""
-    quart = (lambda q: F.percentile(value, F.lit(q))) if accuracy is None else (lambda q: F.percentile_approx(value, q, accuracy))
-    return df.groupBy("symbol").agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"),
-        quart(0.25).alias("q25"), quart(0.5).alias("q50"), quart(0.75).alias("q75"), F.max(value).alias("max"),
-    )
+    """Count, mean, sample deviation, quartiles and extremes; approximate quartiles with `accuracy`.
+
+    Exact quartiles are selected by histograms (`exact_quantiles`), so that no
+    task holds a series. Nulls are left out; a symbol of nulls alone has a row
+    with a count of 0.
+    """
+    whole = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+    quarters = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    if accuracy is not None:
+        made = df.groupBy("symbol").agg(*whole, *[F.percentile_approx(value, q, accuracy).alias(c) for c, q in quarters.items()])
+    else:
+        made = same_keys(df.groupBy("symbol").agg(*whole), exact_quantiles(df, value, quarters), ("symbol",), "left")
+    return made.select("symbol", "n", "mean", "std", "min", *quarters, "max")
 
 
 def return_histogram(df: DataFrame, value: str = "log_return", bins: int = 80) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import indicators as ind
 from tidewell.operators.lookup import attach_aux
+from tidewell.operators.quantiles import exact_quantiles, same_keys
 from tidewell.operators.series import in_blocks, recurrence_halo, series_index
 from tidewell.sources.sinks import last_rows
 
@@ -14,6 +15,8 @@ from tidewell.sources.sinks import last_rows
 FEATURES = ("log_return_1d", "momentum_30d", "realized_vol_14d", "rsi_14", "log_volume", "macd_norm", "bb_pct_b", "atr_norm", "fear_greed")
 #: Rows that a forecast of so many days is trained on; others use all.
 WINDOW_DAYS = {7: 730, 15: 1095}
+#: Rows of a chunk of sequences, unless these are long.
+CHUNK = 1024
 
 
 def build_features(daily: DataFrame, aux: DataFrame | None = None, *, keys=("symbol",)) -> DataFrame:
@@ -48,12 +51,16 @@ def direction_labels(features: DataFrame, *, col: str = "log_return_1d", accurac
     """direction: 1 above the symbol's median return, else 0.
 
     The median is that of all rows, or with `fit_on` of the rows of that
-    split; `accuracy` makes it approximate, for very long series.
+    split. It is exact and selected by histograms, so that no task holds a
+    series; `accuracy` makes it approximate, in one pass. Rows of a
+    null return, and symbols without a known one, have a null direction.
     """
     rows = features if fit_on is None else features.filter(F.col("split") == fit_on)
-    median = F.percentile(col, F.lit(0.5)) if accuracy is None else F.percentile_approx(col, 0.5, accuracy)
-    middle = rows.groupBy("symbol").agg(median.alias("__median"))
-    return features.join(middle, "symbol").withColumn("direction", (F.col(col) > F.col("__median")).cast("int")).drop("__median")
+    if accuracy is None:
+        middle = exact_quantiles(rows, col, {"__median": 0.5})
+    else:
+        middle = rows.groupBy("symbol").agg(F.percentile_approx(col, 0.5, accuracy).alias("__median"))
+    return same_keys(features, middle, ("symbol",), "left").withColumn("direction", (F.col(col) > F.col("__median")).cast("int")).drop("__median")
 
 
 def chrono_split(df: DataFrame, train: float = 0.8, val: float = 0.1, *, index: str = "i") -> DataFrame:
@@ -78,14 +85,48 @@ def apply_scaler(df: DataFrame, scaler: DataFrame, columns=FEATURES, *, keys=("s
     return joined.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
 
 
+def sequence_chunks(df: DataFrame, seq: int, h: int, *, features=FEATURES, target: str = "log_return_1d", extra: tuple[str, ...] = (), keys=("symbol", "split"), index: str = "i", rows: int = CHUNK) -> DataFrame:
+    """(keys, chunk, first, n, <index>, x, y, y_<extra>): series in chunks of rows from which sequences are cut.
+
+    Chunk c has the rows [c * rows - seq, (c + 1) * rows + h - 1) of its
+    series as arrays in order, so every sequence whose targets begin at one of
+    its `rows` rows lies inside; `first` is the place of the first such row in
+    the arrays, n their number. So seq + h - 1 rows of each chunk are copies,
+    where whole sequences would copy each row seq + h times, and a series is
+    as many tasks as it has chunks. Rows without a key are left out.
+    """
+    at, wide = "__at", max(rows, 16 * (seq + h))
+    numbered = series_index(df, index, keys=tuple(keys), into=at, bucket=F.floor(F.col(index) / wide))
+    # The chunks whose stretch of rows holds this one.
+    reach = F.sequence(F.expr(f"greatest({at} - {h - 1}, 0) div {wide}"), F.expr(f"({at} + {seq}) div {wide}"))
+    row = [F.col(at).alias("at"), F.col(index).alias("index"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.col(target).alias("y"), *[F.col(c).alias(f"y_{c}") for c in extra]]
+    spread = numbered.select(*keys, F.explode(reach).alias("chunk"), F.struct(*row).alias("row"))
+    held = spread.groupBy(*keys, "chunk").agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    begin = F.greatest(F.lit(seq), F.col("chunk") * wide)
+    end = F.least((F.col("chunk") + 1) * wide, F.col("rows")[F.size("rows") - 1]["at"] - h + 2)
+    fields = [F.col("rows.index").alias(index), *[F.col(f"rows.{c}").alias(c) for c in ("x", "y", *[f"y_{c}" for c in extra])]]
+    return held.select(*keys, "chunk", (begin - F.col("rows")[0]["at"]).cast("int").alias("first"), (end - begin).cast("int").alias("n"), *fields).filter("n > 0")
+
+
+def cut_sequences(chunks: DataFrame, seq: int, h: int, *, keys=("symbol", "split"), index: str = "i") -> DataFrame:
+    """(keys, index, x, y, y_<extra>): the sequences of chunks, one row each, cut where they are used without a shuffle."""
+    series = [c for c in chunks.columns if c not in (*keys, "chunk", "first", "n", index)]
+    span = lambda c, k: F.slice(c, k - seq, F.lit(seq)) if c == "x" else F.slice(c, k, F.lit(h))
+    places = F.sequence(F.col("first") + 1, F.col("first") + F.col("n"))
+    cut = F.transform(places, lambda k: F.struct(F.get(F.col(index), k - 1).alias(index), *[span(c, k).alias(c) for c in series]))
+    made = chunks.select(*keys, F.explode(cut).alias("s")).select(*keys, "s.*")
+    return made.filter(F.forall("y", lambda v: v.isNotNull()))
+
+
 def sequences(df: DataFrame, seq: int, h: int, *, features=FEATURES, target: str = "log_return_1d", extra: tuple[str, ...] = (), keys=("symbol", "split"), index: str = "i") -> DataFrame:
-    """(keys, i, x, y, y_<extra>): inputs of rows [i - seq, i) and targets of [i, i + h), inside each split."""
-    w = Window.partitionBy(*keys).orderBy(index)
-    row = F.array(*[F.col(c).cast("double") for c in features])
-    past = F.collect_list(row).over(w.rowsBetween(-seq, -1))
-    ahead = lambda c: F.collect_list(c).over(w.rowsBetween(0, h - 1))
-    made = df.select(*keys, index, past.alias("x"), ahead(target).alias("y"), *[ahead(c).alias(f"y_{c}") for c in extra])
-    return made.filter((F.size("x") == seq) & (F.size("y") == h))
+    """(keys, i, x, y, y_<extra>): inputs of rows [i - seq, i) and targets of [i, i + h), inside each split.
+
+    Cut from chunks of a series (`sequence_chunks`), so that only chunks are
+    shuffled. Sequences with a null target are left out; nulls of the inputs
+    and of `extra` stay in their places.
+    """
+    chunks = sequence_chunks(df, seq, h, features=features, target=target, extra=extra, keys=keys, index=index)
+    return cut_sequences(chunks, seq, h, keys=keys, index=index)
 
 
 def scale_vol(df: DataFrame, col: str = "forward_vol") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.labels import correlation_label, error_band, next_five_minutes
 from tidewell.operators import clean, indicators, lookup, stats
+from tidewell.operators.pages import rank_index
+from tidewell.operators.quantiles import exact_quantiles
 from tidewell.plans.catalog import AUX, CLOSES, DAILY, NUMBERED, ORDERS, RETURNS, TICKS, aux, closes, daily, day, numbered, order_daily, query, r6, rows_frame, second, ticks
 from tidewell.plans.predictions import PREDICTIONS, predictions
 from tidewell.sources import readers, sinks
@@ -211,6 +213,27 @@ def paginate(spark, sf):
     return clean.paginate(daily(spark, sf).select("symbol", "date", "avg_close"), [F.desc("date"), F.asc("symbol")], 3, 50)
 
 
+_RANKED = f"{TICKS}, ranked AS (SELECT symbol, price, seq, row_number() OVER (ORDER BY price DESC NULLS LAST, symbol, seq) - 1 AS rank, count(*) OVER () AS total, ceil(count(*) OVER () / 500.0)::BIGINT AS total_pages FROM ticks)"
+
+
+def _ranked(spark, sf):
+    return rank_index(ticks(spark, sf).select("symbol", "price", "seq"), [F.desc_nulls_last("price"), F.asc("symbol"), F.asc("seq")])
+
+
+@query(f"WITH {_RANKED} SELECT symbol, {r6('price')}, seq, rank FROM ranked")
+def ranked_ticks(spark, sf):
+    """Every tick with its rank by price, from the index that pages are read from."""
+    index = _ranked(spark, sf)
+    return index.ranks(0, index.total)
+
+
+@query(f"WITH {_RANKED} SELECT symbol, {r6('price')}, seq, total, total_pages FROM ranked WHERE rank // 500 = (total_pages + 1) // 2 - 1")
+def deep_page(spark, sf):
+    """The page in the middle of all ticks by price: one part of the index is read."""
+    index = _ranked(spark, sf)
+    return index.page((max(1, -(-index.total // 500)) + 1) // 2, 500)
+
+
 @query(f"WITH {NUMBERED} SELECT symbol, {day()}, i::BIGINT AS i FROM numbered WHERE i >= 29")
 def drop_warmup(spark, sf):
     rows = indicators.momentum(indicators.log_return(numbered(spark, sf)), 30)
@@ -457,6 +480,15 @@ def describe_series(spark, sf):
     return stats.describe_series(daily(spark, sf))
 
 
+_SHARES = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p90": 0.9, "p999": 0.999}
+
+
+@query(f"WITH {TICKS} SELECT symbol, {r6(*[f'quantile_cont(price, {q}) AS {c}' for c, q in _SHARES.items()])} FROM ticks GROUP BY 1 HAVING count(price) > 0")
+def price_quantiles(spark, sf):
+    """Exact quantiles of every symbol's ticks, selected by histograms."""
+    return exact_quantiles(ticks(spark, sf), "price", _SHARES)
+
+
 @query(f"""WITH {RETURNS}, s AS (SELECT symbol, min(log_return) AS lo, max(log_return) AS hi, count(log_return) AS n, avg(log_return) AS mean, stddev_pop(log_return) AS std FROM returns GROUP BY 1),
  b AS (SELECT symbol, least(79, floor((log_return - lo) / ((hi - lo) / 80)))::BIGINT AS bin, lo, hi, n, mean, std FROM returns JOIN s USING (symbol) WHERE log_return IS NOT NULL)
  SELECT symbol, bin, count(*) AS bin_count, {r6('count(*) / (any_value(n) * ((any_value(hi) - any_value(lo)) / 80)) AS density', 'any_value(mean) AS mean', 'any_value(std) AS std')} FROM b GROUP BY 1, 2""")

@@ -104,6 +104,15 @@ def sequences(spark, sf):
     return made.select("symbol", "split", "i", F.size("x").alias("n_x"), F.size("y").alias("n_y"), at("x", F.lit(0), 1).alias("x_first"), at("x", F.lit(9), 1).alias("x_last"), F.get("y", F.lit(0)).alias("y_first"), F.get("y", F.lit(4)).alias("y_last"), F.aggregate("y", F.lit(0.0), lambda a, b: a + b).alias("y_sum"))
 
 
+@query(f"""WITH {_CHRONO}, k AS (SELECT symbol, split, i, row_number() OVER (PARTITION BY symbol, split ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY symbol, split) AS m FROM parted),
+ c AS (SELECT *, greatest(10, chunk * 1024) AS low, least((chunk + 1) * 1024, m - 4) AS high FROM (SELECT *, unnest(range(greatest(k - 4, 0) // 1024, (k + 10) // 1024 + 1)) AS chunk FROM k))
+ SELECT symbol, split, chunk, count(*) AS n_rows, any_value(high - low)::BIGINT AS n, min(i)::BIGINT AS first_i, max(i)::BIGINT AS last_i FROM c WHERE high > low GROUP BY 1, 2, 3""")
+def sequence_chunks(spark, sf):
+    """What is stored for all sequences of 10 rows with targets of 5: chunks of rows, nearly without copies."""
+    chunks = features.sequence_chunks(parted(spark, sf), 10, 5, features=("log_return", "avg_close"), target="log_return")
+    return chunks.select("symbol", "split", "chunk", F.size("x").alias("n_rows"), "n", F.get("i", F.lit(0)).alias("first_i"), F.element_at("i", -1).alias("last_i"))
+
+
 @query(f"""WITH {_CHRONO}, fv AS (SELECT *, CASE WHEN count(log_return) OVER w = 7 THEN stddev_samp(log_return) OVER w END AS forward_vol FROM parted WINDOW w AS (PARTITION BY symbol ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 7 FOLLOWING)),
  sc AS (SELECT symbol, avg(forward_vol) AS mean, stddev_pop(forward_vol) AS std FROM fv WHERE split = 'train' AND i > 0 GROUP BY 1), md AS (SELECT symbol, quantile_cont(log_return, 0.5) AS middle FROM fv WHERE i > 0 GROUP BY 1),
  x AS (SELECT symbol, split, i, (log_return > middle)::INT AS up, coalesce((forward_vol - mean) / std, 0.0) AS vol FROM fv JOIN sc USING (symbol) JOIN md USING (symbol) WHERE i > 0),
