@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import Scratch, row_key, unused, word_bounds
 from tidewell.llm.components import connected_components
+from tidewell.llm.similar import add_sample_keys, similar_groups
 
 #: Generator polynomial of the binary Golay code, a fixed value.
 GOLAY = 0b101011100011
@@ -183,7 +184,7 @@ def link_fingerprints(prints: DataFrame, *, crowd: int = 64, emit: int = 20_000,
     return grouped
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, similarity: float | None = None) -> DataFrame:
     """(doc, key, fingerprint, component_id): one row for each row of docs.
 
     component_id is the smallest id whose text can be reached over links of at
@@ -191,26 +192,36 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     are linked like any other. Null ids are grouped but never give a group its
     id; a group of null ids alone has a null component_id. Repeated rows are
     kept. `key` is a hash of the text, to join results back to repeated ids.
+    With `similarity`, texts of which at least that share of five-word shingles
+    is common are linked as well (`similar_groups`). Whole texts of any length
+    are read; an empty table gives an empty one, and other columns, whatever
+    their names, are not looked at.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(doc_id).alias("doc"), row_key(text).alias("key"), F.col(text).alias("text"))
-    rows = scratch.keep(add_fingerprint(rows, shingle=shingle).drop("text"))
+    source = docs.select(F.col(doc_id).alias("doc"), row_key(text).alias("key"), F.col(text).alias("text"))
+    rows = add_fingerprint(source, shingle=shingle)
+    rows = scratch.keep((rows if similarity is None else add_sample_keys(rows)).drop("text"))
     firsts = scratch.keep(rows.groupBy("fingerprint").agg(F.min("doc").alias("first")))
-    groups = link_fingerprints(firsts, scratch=scratch)
+    linked = groups = link_fingerprints(firsts, scratch=scratch)
+    if similarity is not None:
+        texts = rows.groupBy("key").agg(F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands")).join(groups, "fingerprint")
+        texts = texts.select(F.col("key").alias("t"), F.col("group").alias("g"), "bands")
+        wider = similar_groups(source.select(F.col("key").alias("t"), "text"), texts, similarity, scratch=scratch)
+        groups = groups.join(wider.withColumnRenamed("g", "group"), "group", "left").select("fingerprint", F.coalesce("wider", "group").alias("group"))
     grouped = firsts.join(groups, "fingerprint")
     lowest = grouped.groupBy("group").agg(F.min("first").alias("component_id"))
     lowest = scratch.keep(grouped.join(lowest, "group").select("fingerprint", "component_id"))
-    scratch.drop(firsts, groups)
+    scratch.drop(firsts, linked)
     return rows.join(lowest, "fingerprint").select("doc", "key", "fingerprint", "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """The document of the smallest id of each group; columns as given.
+def keep_one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, similarity: float | None = None) -> DataFrame:
+    """The document of the smallest id of each group of near_duplicates; columns as given, clashing names included.
 
     Groups of null ids alone, and all rows that carry the kept id and text
-    (repeated rows), stay.
+    (repeated rows), stay. An empty table stays empty.
     """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle)
+    found = near_duplicates(docs, doc_id=doc_id, text=text, shingle=shingle, similarity=similarity)
     gone = found.filter("component_id is not null and (doc is null or doc <> component_id)")
     doc, key = unused(docs, "__doc", "__key")
     gone = gone.select(F.col("doc").alias(doc), F.col("key").alias(key)).distinct()
