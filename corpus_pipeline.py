@@ -44,10 +44,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays.
 
-    Texts without a word form one group. Rows of a null id go if their group
+    Linked are fingerprints within 4 bits, and texts of which 80 % of the
+    distinct five-word shingles are common. Texts without a word form one group. Rows of a null id go if their group
     has an id, and else stay.
     """
-    return simhash.keep_one_of_each(docs).select(*COLUMNS)
+    return simhash.keep_one_of_each(docs, similarity=0.8).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
