@@ -105,3 +105,17 @@ def test_recall_of_the_stage_on_documents(spark):
 @pytest.mark.parametrize("text", ["", " \n", None])
 def test_no_words_no_keys(text):
     assert similar.sample_keys(text, 5) is None and similar.sample_keys("a b", 5).shape == (similar.BANDS,)
+
+
+def test_fingerprints_and_keys_take_one_python_worker_a_task(spark, monkeypatch):
+    """Two functions in a row are two workers for each task, which executors keep for the stages that follow."""
+    plans = []
+    keep = simhash.Scratch.keep
+    monkeypatch.setattr(simhash.Scratch, "keep", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(self, df))
+    rows = [(1, "a b c d e f g"), (2, "A b c d e f g"), (3, None), (4, " "), (5, "x y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    simhash.near_duplicates(frame, similarity=0.8)
+    assert max(plan.count("ArrowEvalPython") for plan in plans) == 1
+    apart = similar.add_sample_keys(simhash.add_fingerprint(frame))
+    together = simhash.add_fingerprint_and_keys(frame)
+    assert together.columns == apart.columns and sorted(together.collect()) == sorted(apart.collect())

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import Scratch, row_key, unused, word_bounds
 from tidewell.llm.components import connected_components
-from tidewell.llm.similar import add_sample_keys, similar_groups
+from tidewell.llm.similar import sample_keys, similar_groups
 
 #: Generator polynomial of the binary Golay code, a fixed value.
 GOLAY = 0b101011100011
@@ -127,6 +127,22 @@ def add_fingerprint(docs: DataFrame, *, text: str = "text", shingle: int = 4, in
     return docs.withColumn(into, made.asNondeterministic()(F.col(text)))
 
 
+def add_fingerprint_and_keys(docs: DataFrame, *, text: str = "text", shingle: int = 4, sampled: int = 5) -> DataFrame:
+    """Adds the columns fingerprint and bands (`similar.add_sample_keys`); no shuffle.
+
+    Both come from one function: two in a row take two Python workers for each
+    task, and an executor keeps all its workers for the stages that follow.
+    """
+
+    @F.pandas_udf("fingerprint long, bands array<long>")
+    def made(texts: pd.Series) -> pd.DataFrame:
+        bands = pd.Series([sample_keys(t, sampled) for t in texts], dtype=object)
+        return pd.DataFrame({"fingerprint": pd.Series([text_fingerprint(t, shingle) for t in texts], dtype="int64"), "bands": bands})
+
+    (both,) = unused(docs, "__made")
+    return docs.withColumn(both, made.asNondeterministic()(F.col(text))).select(*docs.columns, f"{both}.fingerprint", f"{both}.bands")
+
+
 def _keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Each fingerprint f once for each of its keys."""
     for batch in batches:
@@ -199,8 +215,8 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     """
     scratch = Scratch(docs.sparkSession)
     source = docs.select(F.col(doc_id).alias("doc"), row_key(text).alias("key"), F.col(text).alias("text"))
-    rows = add_fingerprint(source, shingle=shingle)
-    rows = scratch.keep((rows if similarity is None else add_sample_keys(rows)).drop("text"))
+    rows = add_fingerprint(source, shingle=shingle) if similarity is None else add_fingerprint_and_keys(source, shingle=shingle)
+    rows = scratch.keep(rows.drop("text"))
     firsts = scratch.keep(rows.groupBy("fingerprint").agg(F.min("doc").alias("first")))
     linked = groups = link_fingerprints(firsts, scratch=scratch)
     if similarity is not None:
