@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -101,6 +103,36 @@ def test_dense_cluster_and_chain(spark):
         assert {x.fingerprint: x.group for x in got} == brute.components([(f, f) for f in rows])
 
 
+def joined_on_f(spark, run):
+    """Rows that joins on fingerprints alone made while run() ran."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = store.executionsCount()
+    run()
+    made, executions = 0, store.executionsList()
+    for at in range(known, executions.size()):
+        found = executions.apply(at).executionId()
+        values, nodes = store.executionMetrics(found), store.planGraph(found).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if re.search(r"Join \[f#\d+L\], \[f#\d+L\], Inner", node.desc()):
+                metrics = map(node.metrics().apply, range(node.metrics().size()))
+                made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return made
+
+
+def test_settled_buckets_of_near_copies_are_not_compared_again(spark):
+    """Every pair of 301 fingerprints is linked, so each bucket is one group after its smallest member has met the others."""
+    center = random.Random(4).getrandbits(63)
+    flips = [c for n in range(3) for c in itertools.combinations(range(0, 48, 2), n)]
+    dense = [center ^ sum(1 << b for b in c) for c in flips]
+    chain = [center ^ ((1 << 63) - 1) ^ ((1 << 4 * i) - 1) for i in range(1, 6)]  # neighbours differ by 4 bits, others by more
+    rows = sorted(dense + chain)
+    frame = spark.createDataFrame([(f,) for f in rows], "fingerprint long")
+    got = []
+    made = joined_on_f(spark, lambda: got.extend(simhash.link_fingerprints(frame).collect()))
+    assert {x.fingerprint: x.group for x in got} == brute.components([(f, f) for f in rows])
+    assert made < 1000  # each fingerprint has about a hundred keys
+
+
 def test_components(spark):
     r = random.Random(2)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 380)] + [(400, 400)]

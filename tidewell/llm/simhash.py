@@ -159,7 +159,8 @@ def link_fingerprints(prints: DataFrame, *, crowd: int = 64, emit: int = 20_000,
     tasks of about `emit` fingerprints; only keys that several fingerprints
     share go on. Pairs within a dense bucket are not all emitted: first every
     member is compared with the smallest and largest member of its bucket.
-    After these links are joined up, only members of different groups are
+    After these links are joined up, a bucket whose members all neighbour the
+    smallest is done with; in others only members of different groups are
     compared: those outside the bucket's commonest group with all others. In
     buckets of more than `crowd` members both sides are dealt to as many parts
     as that takes. Every link between different groups is found, so neither
@@ -184,8 +185,9 @@ def link_fingerprints(prints: DataFrame, *, crowd: int = 64, emit: int = 20_000,
     groups = scratch.keep(connected_components(star, scratch=scratch).withColumnRenamed("node", "f"))
     first = scratch.keep(distinct.join(groups, "f", "left").select("f", F.coalesce("component", "f").alias("g")))
 
-    # Links between different groups.
-    member = shared.select("key", "f", "n").join(first, "f")
+    # Links between different groups. A bucket whose members all neighbour the smallest one is one group by now.
+    unsettled = scratch.keep(shared.join(ends, "key").filter(~near("f", "lo")).select("key").distinct())
+    member = scratch.keep(shared.join(unsettled, "key", "left_semi").select("key", "f", "n").join(first, "f"))
     sizes = member.groupBy("key", "g").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "g")).alias("top"), F.count("*").alias("groups")).filter("groups > 1")
     inside = scratch.keep(member.join(mixed.select("key", F.col("top.g").alias("common")), "key"))
@@ -196,7 +198,7 @@ def link_fingerprints(prints: DataFrame, *, crowd: int = 64, emit: int = 20_000,
     links = rare.join(every, met).select(F.col("g1").alias("u"), F.col("g2").alias("v"))
     joined = connected_components(links, scratch=scratch).select(F.col("node").alias("g"), F.col("component").alias("wider"))
     grouped = scratch.keep(first.join(joined, "g", "left").select(F.col("f").alias("fingerprint"), F.coalesce("wider", "g").alias("group")))
-    scratch.drop(distinct, shared, groups, first, inside)
+    scratch.drop(distinct, shared, groups, first, unsettled, member, inside)
     return grouped
 
 
