@@ -119,3 +119,62 @@ def test_fingerprints_and_keys_take_one_python_worker_a_task(spark, monkeypatch)
     apart = similar.add_sample_keys(simhash.add_fingerprint(frame))
     together = simhash.add_fingerprint_and_keys(frame)
     assert together.columns == apart.columns and sorted(together.collect()) == sorted(apart.collect())
+
+
+def joined_up(rows, least=0.8):
+    """Smallest id reachable over pairs of texts that share a key and are similar enough, by all pairs."""
+    sets, keys = {i: grams(t) for i, t in rows}, {i: set(similar.sample_keys(t, 5).tolist()) for i, t in rows}
+    lead = {i: i for i, _ in rows}
+    for _ in rows:
+        before = dict(lead)
+        for a in sets:
+            for b in sets:
+                if keys[a] & keys[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9:
+                    lead[a] = lead[b] = min(lead[a], lead[b])
+        if lead == before:
+            return lead
+    raise AssertionError
+
+
+def test_families_and_fragments_of_one_text(spark):
+    """Copies with edits of their own, families with edits in common, fragments and joined fragments of one text."""
+    rng = random.Random(0)
+    base = [f"w{k}" for k in range(160)]
+    texts = [base]
+    for family in range(4):
+        common = rng.sample(range(160), rng.choice([4, 6, 9]))
+        for copy in range(12):
+            now = list(base)
+            for at in common:
+                now[at] = f"f{family}.{at}"
+            for at in rng.sample(range(160), rng.choice([0, 1, 1, 2])):
+                now[at] = f"c{family}.{copy}.{at}"
+            texts.append(now)
+    texts += [base[a : a + size] for size in (100, 110, 125, 140) for a in (0, 3, 8, 20)]
+    texts += [[*base[:110], *(f"x{k % 3}.{j}" for j in range(35 + k))] for k in range(9)]
+    rng.shuffle(texts)
+    rows = list({" ".join(t): i for i, t in enumerate(texts)}.items())
+    rows = [(i, t) for t, i in rows]
+    frame = spark.createDataFrame([(i, i, t) for i, t in rows], "t long, g long, text string")
+    keyed = similar.add_sample_keys(frame).select("t", "g", "bands")
+    want = joined_up(rows)
+    found = {r.g: r.wider for r in similar.similar_groups(frame.select("t", "text"), keyed, 0.8, crowd=3).collect()}
+    assert len(set(want.values())) > 4 and {i: found.get(i, i) for i in want} == want
+
+
+def test_pairs_follow_the_texts(spark, monkeypatch):
+    """A large group of edited copies is no square of pairs; most of it is one group by fingerprint already."""
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(500):
+        now = list(base)
+        for at in rng.sample(range(150), rng.choice([0, 1, 2, 3, 4, 8])):
+            now[at] = f"c{k}.{at}"
+        rows.append((k, 0 if rng.random() < 0.7 else k, " ".join(now)))
+    frame = spark.createDataFrame(rows, "t long, g long, text string")
+    counts = []
+    verified = similar._verified
+    monkeypatch.setattr(similar, "_verified", lambda pairs, *a: counts.append(pairs.count()) or verified(pairs, *a))
+    similar.similar_groups(frame.select("t", "text"), similar.add_sample_keys(frame).select("t", "g", "bands"), 0.8).collect()
+    assert sum(counts) <= 10 * len(rows), counts
