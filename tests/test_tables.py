@@ -160,3 +160,19 @@ def test_writers_in_threads(spark, path):
     [w.start() for w in writers]
     [w.join() for w in writers]
     assert not errors and sorted(r.k for r in sinks.read_table(spark, path).collect()) == [0, 1, 2, 3, 4, 100]
+
+
+def test_writer_that_is_many_batches_late(spark, path, monkeypatch):
+    """The number it takes was in use, and its manifest has been removed since."""
+    make = lambda k: spark.createDataFrame([(k, k)], "k long, v long")
+    commit = tables._commit
+
+    def late(*a):
+        monkeypatch.setattr(tables, "_commit", commit)
+        for k in range(1, 6):
+            sinks.upsert_table(make(k), path, ["k"], buckets=2, keep=600)
+        return commit(*a)
+
+    monkeypatch.setattr(tables, "_commit", late)
+    sinks.upsert_table(make(0), path, ["k"], buckets=2, keep=600)
+    assert sorted(r.k for r in sinks.read_table(spark, path).collect()) == [0, 1, 2, 3, 4, 5]

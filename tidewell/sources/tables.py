@@ -29,6 +29,8 @@ BUCKETS = 16
 FILTER_BITS = 64 * 32768
 #: How often a writer that was not the first tries again.
 TRIES = 20
+#: Last commits that a manifest names.
+COMMITS = 256
 
 
 def merge_upsert(old: DataFrame, new: DataFrame, keys: list[str], order_col: str | None = None) -> DataFrame:
@@ -193,15 +195,19 @@ def _commit(folder: _Folder, now: dict, after: dict, gone: list[dict], keep: flo
     old = now["stale"]
     still_used = {p["filter"] for p in after["parts"].values()}
     stale = [s for s in old if moment - s["since"] < keep] + [{"path": p["path"], "filter": p["filter"], "since": moment} for p in gone]
-    after |= {"version": now["version"] + 1, "stale": stale}
+    own = uuid.uuid4().hex[:8]
+    after |= {"version": now["version"] + 1, "stale": stale, "commits": [*now.get("commits", []), own][-COMMITS:]}
     folder.put(f"manifests/{after['version']:010d}.json", json.dumps(after))
+    # Old manifests go, so a late writer may find its number free again: what newer ones do not name was not committed.
+    if own not in _manifest(folder).get("commits", []):
+        raise Taken(f"{after['version']}")
     kept_filters = still_used | {s["filter"] for s in stale}
     for s in old:
         if s not in stale:
             folder.drop(s["path"])
             if s["filter"] not in kept_filters:
                 folder.drop(s["filter"])
-    for name in folder.names("manifests")[:-3]:
+    for name in [n for n in folder.names("manifests") if n.endswith(".json")][:-3]:
         folder.drop(f"manifests/{name}")
 
 
