@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from urllib.parse import urlparse
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,10 @@ from tidewell.sources.tables import TRIES, Taken, _Folder
 
 FORMAT = "tidewell_log"
 MESSAGE = "key string, value string, partition int, offset long"
+#: Bytes of a row group of a segment.
+ROW_GROUP = 1 << 20
+#: Messages that a task reads at least before a segment is cut for another, and cuts of a trigger at most.
+STRETCH, STRETCHES = 8192, 256
 
 
 def _ends(segments: list[dict]) -> dict[int, int]:
@@ -51,7 +56,8 @@ def append_log(df: DataFrame, path: str, *, partitions: int = 8, order: Sequence
     rows = df.withColumn("__partition", number).repartitionByRange(tasks or partitions, "__partition", *order)
     rows = rows.sortWithinPartitions("__partition", *order).select("key", "value", "__partition")
     at = f"segments/{uuid.uuid4().hex}"
-    rows.write.partitionBy("__partition").parquet(f"{folder.path}/{at}")
+    # Row groups are small, so that a trigger can begin in the middle of a segment without reading what lies before.
+    rows.write.partitionBy("__partition").option("parquet.block.size", ROW_GROUP).parquet(f"{folder.path}/{at}")
     files = []
     if any(n.startswith("__partition=") for n in folder.names(at)):
         found = spark.read.parquet(f"{folder.path}/{at}").groupBy("__partition", F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
@@ -125,31 +131,39 @@ class LogReader(DataSourceStreamReader):
         return self.at
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        """Stretches of segments between the offsets, long ones cut so that several tasks read them."""
         self.at = dict(end)
-        out = []
+        found = []
         for s in self._known():
             low, high = (max(o.get(str(s["partition"]), 0), s["base"]) if o is start else min(o.get(str(s["partition"]), 0), s["base"] + s["rows"]) for o in (start, end))
             if low < high:
-                out.append(_Segment(f"{self.path}/{s['path']}", s["partition"], s["base"], low, high))
-        return out
+                found.append((s, low, high))
+        most = max(STRETCH, sum(high - low for _, low, high in found) // STRETCHES)
+        cut = [(s, at, min(at + most, high)) for s, low, high in found for at in range(low, high, most)]
+        return [_Segment(f"{self.path}/{s['path']}", s["partition"], s["base"], low, high) for s, low, high in cut]
 
-    def read(self, segment: _Segment) -> Iterator[tuple]:
+    def read(self, segment: _Segment) -> Iterator[pa.RecordBatch]:
+        """Messages of the stretch; row groups that lie outside it are not read."""
         fs, path = _opened(segment.path)
         with fs.open_input_file(path) as source:
             file = pq.ParquetFile(source)
-            at = segment.base
+            at, within = segment.base, []
             for k in range(file.num_row_groups):
                 n = file.metadata.row_group(k).num_rows
                 if at + n > segment.low and at < segment.high:
-                    where = at
-                    for batch in file.iter_batches(row_groups=[k], columns=["key", "value"]):
-                        low, high = max(segment.low - where, 0), min(segment.high - where, len(batch))
-                        if low < high:
-                            rows = batch.slice(low, high - low)
-                            for i, (key, value) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
-                                yield key, value, segment.partition, where + low + i
-                        where += len(batch)
+                    if not within:
+                        where = at
+                    within.append(k)
                 at += n
+            for batch in file.iter_batches(row_groups=within, columns=["key", "value"]) if within else ():
+                low, high = max(segment.low - where, 0), min(segment.high - where, len(batch))
+                if low < high:
+                    offsets = pa.array(range(where + low, where + high), pa.int64())
+                    columns = [*batch.slice(low, high - low).select(["key", "value"]).columns, pa.array([segment.partition] * (high - low), pa.int32()), offsets]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "value", "partition", "offset"])
+                where += len(batch)
+                if where >= segment.high:
+                    break
 
 
 class LogSource(DataSource):

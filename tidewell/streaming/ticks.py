@@ -5,11 +5,13 @@ from __future__ import annotations
 import contextlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ListState
 
 from tidewell.operators import indicators as ind
 from tidewell.operators.clean import price_alerts
@@ -73,7 +75,10 @@ def enrich_rows(rows: pd.DataFrame) -> pd.DataFrame:
     total = lambda s, n: s.rolling(n, min_periods=1).sum()
     change = price.diff()
     gain, loss = change.clip(lower=0).fillna(0.0), (-change).clip(lower=0).fillna(0.0)
-    mid, std = mean(price, 20), price.rolling(20, min_periods=2).std()
+    mid, n = mean(price, 20), price.rolling(20, min_periods=1).count()
+    # Squares around each window's own mean, as the running variance of pandas is off in the sixth place now and then.
+    squares = sum(((price.shift(k) - mid) ** 2).fillna(0.0) for k in range(20))
+    std = np.sqrt(squares / (n - 1).where(n > 1))
     return rows.assign(
         sma_5=mean(price, 5), sma_20=mid, rsi_14=100 - 100 / (1 + mean(gain, 14) / (mean(loss, 14) + 1e-6)),
         vwap=total(price * volume, LOOK_BACK) / (total(volume, LOOK_BACK) + 1e-6), bb_mid=mid, bb_upper=mid + 2 * std, bb_lower=mid - 2 * std,
@@ -106,8 +111,11 @@ def enrich_stream(df: DataFrame) -> DataFrame:
     return df.select(*columns).groupBy("symbol").applyInPandasWithState(update, out, kept, "append", "NoTimeout")
 
 
-_ROW = "us long, price double, volume double, seq long"
-_PLAIN = ["us", "price", "volume", "seq"]
+#: A tick in the state, where ticks are kept by the chunk: one by one they take far longer to store and to read than to enrich.
+_TICK = np.dtype([("us", "<i8"), ("price", "<f8"), ("volume", "<f8"), ("seq", "<i8")])
+_NONE = np.empty(0, _TICK)
+#: Ticks of a chunk, at most.
+CHUNK = 2048
 ENRICHED_STREAM = "symbol string, event_time timestamp, price double, volume double, seq long, late long, " + ", ".join(f"{c} double" for c in ENRICHED)
 
 
@@ -126,43 +134,42 @@ class TickEnricher(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _ROW)
-        self.before = handle.getListState("before", _ROW)
+        self.waiting = handle.getListState("waiting", "ticks binary")
+        self.before = handle.getListState("before", "ticks binary")
         self.counts = handle.getValueState("counts", "us long, seq long, late long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows))
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), _ticks(pd.concat(list(rows))))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), _NONE)
+
+    def _advance(self, key, watermark: int, fresh: np.ndarray) -> Iterator[pd.DataFrame]:
         us, seq, late = self.counts.get() or (None, None, 0)
         if us is not None:
             behind = (fresh["us"] < us) | ((fresh["us"] == us) & (fresh["seq"] <= seq))
             if behind.any():
-                self.counts.update((us, seq, late + int(behind.sum())))
+                late += int(behind.sum())
+                self.counts.update((us, seq, late))
                 fresh = fresh[~behind]
-        if len(fresh):
-            self.waiting.appendList(_tuples(fresh))
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key, watermark: int) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.waiting.get()), columns=_PLAIN)
+        held = np.concatenate([_unpacked(self.waiting), fresh])
         due = held["us"] <= watermark * 1000
-        us, seq, late = self.counts.get() or (None, None, 0)
         if due.any():
-            old = pd.DataFrame(list(self.before.get()), columns=_PLAIN)
-            ready = held[due].sort_values(["us", "seq"])
-            rows = ready if old.empty else pd.concat([old, ready], ignore_index=True)
-            self.before.put(_tuples(rows.tail(LOOK_BACK + 1)))
-            us, seq = int(rows["us"].iloc[-1]), int(rows["seq"].iloc[-1])
+            old, ready = _unpacked(self.before), held[due]
+            rows = np.concatenate([old, ready[np.lexsort((ready["seq"], ready["us"]))]])
+            self.before.put(_packed(rows[-LOOK_BACK - 1 :]))
+            us, seq = int(rows["us"][-1]), int(rows["seq"][-1])
             self.counts.update((us, seq, late))
             held = held[~due]
             if len(held):
-                self.waiting.put(_tuples(held))
+                self.waiting.put(_packed(held))
             else:
                 self.waiting.clear()
-            out = enrich_rows(rows.assign(symbol=key[0], event_time=pd.to_datetime(rows["us"], unit="us", utc=True), late=late))
+            frame = pd.DataFrame({c: rows[c] for c in _TICK.names})
+            out = enrich_rows(frame.assign(symbol=key[0], event_time=pd.to_datetime(frame["us"], unit="us", utc=True), late=late))
             yield out.iloc[len(old) :][["symbol", "event_time", "price", "volume", "seq", "late", *ENRICHED]]
+        elif len(fresh):
+            self.waiting.appendList(_packed(fresh))
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
         if len(held):
@@ -174,20 +181,41 @@ class TickEnricher(StatefulProcessor):
             self.counts.clear()
 
 
-def _tuples(rows: pd.DataFrame) -> list[tuple]:
-    return [(int(u), float(p), float(v), int(s)) for u, p, v, s in rows[_PLAIN].itertuples(index=False, name=None)]
+def _ticks(rows: pd.DataFrame) -> np.ndarray:
+    out = np.empty(len(rows), _TICK)
+    for c in _TICK.names:
+        out[c] = rows[c].astype(_TICK[c])  # a missing seq is an error here
+    return out
+
+
+def _packed(ticks: np.ndarray) -> list[tuple[bytes]]:
+    return [(ticks[at : at + CHUNK].tobytes(),) for at in range(0, len(ticks), CHUNK)]
+
+
+def _unpacked(state: ListState) -> np.ndarray:
+    return np.concatenate([_NONE, *[np.frombuffer(chunk, _TICK) for (chunk,) in state.get()]])
 
 
 @contextlib.contextmanager
-def state_on_disk(spark: SparkSession):
-    """Queries started within keep their state in RocksDB, which enrich_event_time() needs."""
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def state_on_disk(spark: SparkSession, parts: int | None = None):
+    """Queries started within keep their state in RocksDB, which enrich_event_time() needs, and store its changes at each trigger.
+
+    `parts` bounds the shuffle partitions of a new query: each is a store that
+    every trigger loads and commits, with ticks or without, so more of them
+    than can run at once only cost time.
+    """
+    store, shuffle = "spark.sql.streaming.stateStore", "spark.sql.shuffle.partitions"
+    wanted = {f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{store}.rocksdb.changelogCheckpointing.enabled": "true"}
+    if parts:
+        wanted[shuffle] = str(min(parts, int(spark.conf.get(shuffle))))
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def enrich_event_time(df: DataFrame, *, delay: str = LATENESS, idle: float = 7 * 86400) -> DataFrame:
